@@ -79,6 +79,18 @@ def _file_prune(eff: Effective, walk: bool) -> Column:
     return out
 
 
+def content_scan(texts: DataFrame, share_mode: str = "public") -> DataFrame:
+    """(share_id, path, rule, offset, match_len, all_rules) of texts a content rule holds back.
+
+    The content stage alone, for tables that have no file semantics."""
+    clean = texts.select("share_id", "path", T.strip_invisible("text").alias("text"))
+    hits = C.with_hits(clean, "text", "hits", f"'{share_mode}' = 'public'").select(
+        "share_id", "path", F.explode(F.array(F.struct("hits", F.array_min("hits").alias("top")))).alias("k"))
+    return hits.where("k.top IS NOT NULL").selectExpr(
+        "share_id", "path", f"{C.hit_rule('k.top.ord')} AS rule", "k.top.offset AS offset",
+        "k.top.match_len AS match_len", f"{C.rule_set('k.hits')} AS all_rules")
+
+
 _ROW_FIELDS = {"rule": "string", "desc": "string", "detail": "string", "family": "string", "offset": "int",
                "match_len": "int", "all_rules": "array<string>", "abs_path_len": "int"}
 
@@ -215,7 +227,7 @@ class Classified:
         fields = ["share_id", "path", "rule", "desc", "detail", "family", "offset", "match_len", "all_rules", "abs_path_len"]
         files = self.decisions.where("status = 'excluded'").select(*fields)
         dirs = (self.decisions.where(F.col("ign_depth").isNotNull())
-                .select("share_id", F.substring_index("path", "/", F.col("ign_depth")).alias("path")).distinct()
+                .select("share_id", F.expr("substring_index(path, '/', ign_depth)").alias("path")).distinct()
                 .withColumn("rule", F.lit("OPS-GITIGNORE")).withColumn("desc", F.lit(policy.OPS_RULES["OPS-GITIGNORE"]))
                 .withColumn("detail", F.lit("matched ignore file")).withColumn("family", F.lit("ops")))
         return files.unionByName(dirs, allowMissingColumns=True)

@@ -7,13 +7,15 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 from sharegate.functions.paths import ancestors, basename, clean_relative, parent_dir
 from sharegate.functions.text import decode_replace, rendered_lines
 from sharegate.operators.joins import lookup_join
 from sharegate.session import materialize
 
-RULE_TYPE = "struct<regex:string,needle:string,negate:boolean,dir_only:boolean>"
+RULE_TYPE = (StructType().add("regex", StringType()).add("needle", StringType())
+             .add("negate", BooleanType()).add("dir_only", BooleanType()))
 _TOKEN = re.compile(r"\*\*/|\*\*|\*|\?|[^*?]+")
 _WILD = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 _VCS_DIR = r"(?:^|/)\.(?:git|hg|svn)/"

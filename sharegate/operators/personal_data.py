@@ -23,8 +23,6 @@ def redact(df: DataFrame, column: str, allow=None, skip_author: bool = True) ->
 
 
 def pii_counts(df: DataFrame, column: str, by: list[str], allow=None, skip_author: bool = True) -> DataFrame:
-    """Matches and affected texts per rule and the given columns."""
-    per_text = df.select(*by, F.explode(F.expr("array(struct(_id, _hits))")).alias("t")) if "_hits" in df.columns else \
-        df.withColumn("_hits", pii.pii_hits(F.col(column), allow, skip_author))
-    per_rule = per_text.select(*by, F.explode(F.transform("_hits", lambda h: h["ord"])).alias("ord"))
-    return per_rule.groupBy(*by, pii.pii_rule("ord").alias("rule")).agg(F.count(F.lit(1)).alias("n_matches"))
+    """Number of matches per rule and the given columns."""
+    hits = pii_hits(df.select(*by, column), column, allow, skip_author)
+    return hits.groupBy(*by, "rule").agg(F.count(F.lit(1)).alias("n_matches"))

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sharegate.functions.quick import quick_findings
 from sharegate.functions.text import decode_ignore
@@ -25,7 +26,7 @@ def quick_scan(texts: DataFrame) -> DataFrame:
                  .select("share_id", "path", "f.*"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _findings_hash(counts: pd.Series) -> pd.Series:
     """Hash of the comma-joined sorted rule IDs, each as often as it was found."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from sharegate.functions.paths import glob_regex
 from sharegate.operators.joins import lookup_join
@@ -18,7 +19,7 @@ OVERRIDES_SCHEMA = (
 _FIELDS = [f.strip().split(" ") for f in OVERRIDES_SCHEMA.split(",")]
 
 
-@F.pandas_udf("array<struct<glob:string,regex:string>>")
+@F.pandas_udf(ArrayType(StructType().add("glob", StringType()).add("regex", StringType())))
 def _compiled_globs(globs: pd.Series) -> pd.Series:
     # runs on the settings table only, once per share
     return globs.map(lambda gs: None if gs is None else [
