@@ -1,4 +1,8 @@
-"""Personal-data rules as Spark columns: hits with offsets, first hit, redaction."""
+"""Personal-data rules as Spark columns: hits with offsets, first hit, redaction.
+
+``allow`` is a tuple of values that are never findings, or the name of an array column.
+``skip`` is an SQL condition: leave out findings on lines that name an author.
+"""
 
 from __future__ import annotations
 
@@ -6,99 +10,71 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sharegate import policy
-from sharegate.functions.sql import string_array
+from sharegate.functions.sql import any_of, quote, string_array
 from sharegate.functions.text import let, lines_keepends, prefix_starts, rx
 
-_RULES = [(i, rule, rx(pattern), token) for i, (rule, pattern, token) in enumerate(policy.PII_RULES)]
-_AUTHOR = rx(policy.AUTHOR_PATTERN)
-_HIT = "array<struct<offset:int,ord:int,match_len:int>>"
+_RULES = [(i, rule, quote(rx(pattern)), quote(token)) for i, (rule, pattern, token) in enumerate(policy.PII_RULES)]
+_AUTHOR = quote(rx(policy.AUTHOR_PATTERN))
+_NONE = "cast(array() AS array<struct<offset:int,ord:int,match_len:int>>)"
 
 
-def may_hold_pii(text: Column) -> Column:
-    """True iff any rule matches somewhere; keeps the line work off clean texts."""
-    test = F.contains(text, F.lit("@")) & text.rlike(_RULES[0][2])
-    for _, _, regex, _ in _RULES[1:]:
-        test = test | text.rlike(regex)
-    return test
+def may_hold_pii(text: str) -> str:
+    """SQL: does any rule match somewhere? Keeps the line work off clean texts."""
+    email, *others = [f"rlike({text}, {regex})" for _, _, regex, _ in _RULES]
+    return any_of([f"contains({text}, '@') AND {email}", *others])
 
 
 def pii_rule(ordinal: str) -> Column:
     return F.expr(f"get({string_array([r for _, r, _, _ in _RULES])}, {ordinal})")
 
 
-def _flag(value: Column | bool) -> Column:
-    return F.lit(value) if isinstance(value, bool) else value
-
-
-def _allow(value) -> Column | None:
-    if value is None or isinstance(value, Column):
-        return value
-    return F.array(*[F.lit(v) for v in value]) if value else None
-
+def _allow_sql(allow) -> str | None:
+    return allow if isinstance(allow, str) else string_array(allow) if allow else None
 
-def _rule_hits(order: int, regex: str, line: Column, start: Column, allow: Column | None) -> Column:
-    """Hits of one rule in one line, from its matches and the gaps before them."""
 
-    def located(values: Column, gaps: Column) -> Column:
-        spans = F.zip_with(gaps, values, lambda g, v: F.length(g) + F.length(v))
-        hits = F.transform(
-            F.arrays_zip(prefix_starts(spans).alias("s"), gaps.alias("g"), values.alias("v")),
-            lambda z: F.struct((start + z["s"] + F.length(z["g"])).cast("int").alias("offset"),
-                               F.lit(order).alias("ord"), F.length(z["v"]).alias("match_len"),
-                               z["v"].alias("value")))
-        if allow is not None:
-            hits = F.filter(hits, lambda h: ~F.array_contains(allow, h["value"]))
-        return F.transform(hits, lambda h: F.struct(h["offset"], h["ord"], h["match_len"])).cast(_HIT)
+def _rule_hits(order: int, regex: str, allow: str | None) -> str:
+    """Hits of one rule in line ``x.l``, from its matches and the gaps before them."""
+    spans = prefix_starts("zip_with(gs, vs, (g, v) -> length(g) + length(v))")
+    hit = f"named_struct('offset', cast(x.s + z.st + length(z.gs) AS int), 'ord', {order}, 'match_len', length(z.vs))"
+    pieces = let("st", spans, "arrays_zip(st, gs, vs)")
+    if allow is not None:
+        pieces = f"filter({pieces}, p -> NOT array_contains({allow}, p.vs))"
+    hits = let("vs", f"regexp_extract_all(x.l, {regex}, 0)",
+               let("gs", f"slice(split(x.l, {regex}, -1), 1, size(vs))", f"transform({pieces}, z -> {hit})"))
+    return f"if(rlike(x.l, {regex}), {hits}, {_NONE})"
 
-    hits = let(F.regexp_extract_all(line, F.lit(regex), F.lit(0)), lambda values: let(
-        F.slice(F.split(line, regex, -1), 1, F.size(values)), lambda gaps: located(values, gaps)))
-    return F.when(line.rlike(regex), hits).otherwise(F.array().cast(_HIT))
 
-
-def _line_hits(line: Column, start: Column, allow: Column | None) -> Column:
-    return F.concat(*[_rule_hits(order, regex, line, start, allow) for order, _, regex, _ in _RULES])
-
-
-def pii_hits(text: Column, allow=None, skip_author: Column | bool = True) -> Column:
-    """array<struct<offset, ord, match_len>> of all hits in text order (ties: rule order).
+def pii_hits(text: str, allow=None, skip: str = "true") -> Column:
+    """array<struct<offset, ord, match_len>> of all hits in a text column, in text order
+    (ties: rule order).
 
     No rule can match across a line end, so lines are handled one by one: that gives each
     match its author context without looking it up by offset. Matched values are not kept.
     """
-    allow, skip = _allow(allow), _flag(skip_author)
-
-    def of_lines(lines: Column) -> Column:
-        numbered = F.arrays_zip(lines.alias("l"), prefix_starts(F.transform(lines, lambda x: F.length(x))).alias("s"))
-        wanted = F.filter(numbered, lambda z: may_hold_pii(z["l"]) & ~(skip & z["l"].rlike(_AUTHOR)))
-        return F.array_sort(F.flatten(F.transform(wanted, lambda z: _line_hits(z["l"], z["s"], allow))))
-
-    return F.when(text.isNull(), F.lit(None)).when(may_hold_pii(text), let(lines_keepends(text), of_lines)) \
-            .otherwise(F.array().cast(_HIT))
-
-
-def _redact_plain(text: Column) -> Column:
-    for _, _, regex, token in _RULES:
-        text = F.regexp_replace(text, regex, token)
-    return text
-
-
-def _redact_keeping(text: Column, allow: Column) -> Column:
-    def one_rule(regex: str, token: str):
-        def filled(gap: Column, value: Column) -> Column:
-            kept = F.when(value.isNull(), "").when(F.array_contains(allow, value), value).otherwise(F.lit(token))
-            return F.concat(gap, kept)
-        return lambda t: F.array_join(
-            F.zip_with(F.split(t, regex, -1), F.regexp_extract_all(t, F.lit(regex), F.lit(0)), filled), "")
-
-    for _, _, regex, token in _RULES:
-        text = let(text, one_rule(regex, token))
+    allow = _allow_sql(allow)
+    numbered = let("s", prefix_starts("transform(l, y -> length(y))"), "arrays_zip(l, s)")
+    wanted = f"filter({numbered}, x -> {may_hold_pii('x.l')} AND NOT (({skip}) AND rlike(x.l, {_AUTHOR})))"
+    per_line = "concat(" + ", ".join(_rule_hits(order, regex, allow) for order, _, regex, _ in _RULES) + ")"
+    hits = let("l", lines_keepends(text), f"array_sort(flatten(transform({wanted}, x -> {per_line})))")
+    return F.expr(f"CASE WHEN {text} IS NULL THEN NULL WHEN {may_hold_pii(text)} THEN {hits} ELSE {_NONE} END")
+
+
+def _redacted(text: str, allow: str | None) -> str:
+    for order, _, regex, token in _RULES:
+        if allow is None:
+            text = f"regexp_replace({text}, {regex}, {token})"
+        else:
+            kept = f"CASE WHEN v IS NULL THEN '' WHEN array_contains({allow}, v) THEN v ELSE {token} END"
+            text = let(f"t{order}", text, f"array_join(zip_with(split(t{order}, {regex}, -1), "
+                       f"regexp_extract_all(t{order}, {regex}, 0), (g, v) -> concat(g, {kept})), '')")
     return text
 
 
-def redact_pii(text: Column, allow=None, skip_author: Column | bool = True) -> Column:
-    """Text with every finding replaced by its token; author lines and allowed values stay."""
-    allow, skip = _allow(allow), _flag(skip_author)
-    clean = _redact_plain if allow is None else (lambda t: _redact_keeping(t, allow))
-    by_line = F.array_join(F.transform(
-        lines_keepends(text), lambda x: F.when(x.rlike(_AUTHOR), x).otherwise(clean(x))), "")
-    return F.when(~may_hold_pii(text), text).when(skip & text.rlike(_AUTHOR), by_line).otherwise(clean(text))
+def redact_pii(text: str, allow=None, skip: str = "true") -> Column:
+    """Text column with every finding replaced by its token; author lines and allowed values
+    stay. Lines are only cut up for texts that name an author."""
+    allow = _allow_sql(allow)
+    by_line = (f"array_join(transform({lines_keepends(text)}, x -> "
+               f"if(rlike(x, {_AUTHOR}), x, {_redacted('x', allow)})), '')")
+    return F.expr(f"CASE WHEN NOT {may_hold_pii(text)} THEN {text} "
+                  f"WHEN ({skip}) AND rlike({text}, {_AUTHOR}) THEN {by_line} ELSE {_redacted(text, allow)} END")

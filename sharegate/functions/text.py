@@ -16,9 +16,9 @@ LINE_SPLIT = r"(?<=\r\n|[\n\x0B\x0C\x1C-\x1E\u0085\x{2028}\x{2029}])|(?<=\r)(?!\
 LINE_END_TRIM = r"[\s\x1C-\x1F]+$"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` bound to a name, so that it is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def rx(pattern: str) -> str:
@@ -59,50 +59,42 @@ def fold_case(text: Column) -> Column:
     return F.when(F.contains(low, F.lit("\u017f")), F.translate(low, "\u017f", "s")).otherwise(low)
 
 
-def lines_keepends(text: Column) -> Column:
-    return F.split(text, LINE_SPLIT, -1)
+def lines_keepends(text: str) -> str:
+    """SQL array of lines with their terminators; '' follows a final terminator."""
+    return f"split({text}, {quote(LINE_SPLIT)}, -1)"
 
 
-def prefix_starts(lengths: Column) -> Column:
-    """Start offset of each piece, given the pieces' lengths.
+def prefix_starts(lengths: str) -> str:
+    """SQL array of start offsets, given the lengths of consecutive pieces.
 
     Appending inside one fold copies the array at every step, which is quadratic. Blocks
     of about sqrt(n) pieces keep it near n^1.5 for texts with very many pieces.
     """
 
-    def running(values: Column, base: Column) -> Column:
-        seed = F.struct(base.cast("int").alias("pos"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(
-            values, seed,
-            lambda acc, n: F.struct((acc["pos"] + n).cast("int").alias("pos"),
-                                    F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
-            lambda acc: acc["out"])
-
-    def cut(ns: Column) -> Column:
-        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(ns)))).cast("int")
-        blocks = F.when(F.size(ns) > 0, F.sequence(F.lit(0), ((F.size(ns) - 1) / width).cast("int"))) \
-                  .otherwise(F.array().cast("array<int>"))
-        return F.transform(blocks, lambda b: F.slice(ns, b * width + 1, width))
-
-    def joined(chunks: Column) -> Column:
-        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, n: (a + n).cast("int")))
-        return F.flatten(F.zip_with(chunks, running(sums, F.lit(0)), running))
-
-    return let(lengths, lambda ns: let(cut(ns), joined))
-
-
-def rendered_lines(text: Column) -> Column:
-    """Lines without a last empty one: a final terminator opens no further line."""
-    return let(lines_keepends(text), lambda parts: F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
-
-
-def render_block(path: Column, extension: Column, text: Column) -> Column:
-    """One file as a fenced, line-numbered block."""
-    fences = F.create_map(*[F.lit(x) for pair in policy.LANGUAGE_FENCES.items() for x in pair])
-    fence = F.coalesce(F.element_at(fences, F.ltrim(extension, F.lit("."))), F.lit(""))
-    numbered = F.transform(rendered_lines(text), lambda line, i: F.concat(
-        F.lpad((i + 1).cast("string"), F.greatest(F.lit(4), F.length((i + 1).cast("string"))), F.lit(" ")),
-        F.lit(" | "), F.regexp_replace(line, rx(LINE_END_TRIM), "")))
-    return F.concat(F.lit("### "), path, F.lit("\n```"), fence, F.lit("\n"),
-                    F.array_join(numbered, "\n"), F.lit("\n```\n\n"))
+    def running(values: str, base: str) -> str:
+        return (f"aggregate({values}, named_struct('pos', cast({base} AS int), 'out', cast(array() AS array<int>)), "
+                "(acc, n) -> named_struct('pos', cast(acc.pos + n AS int), 'out', concat(acc.out, array(acc.pos))), "
+                "acc -> acc.out)")
+
+    blocks = "if(size(ns) > 0, sequence(0, cast((size(ns) - 1) div w AS int)), cast(array() AS array<int>))"
+    chunks = let("w", "cast(greatest(1, ceil(sqrt(size(ns)))) AS int)",
+                 f"transform({blocks}, b -> slice(ns, b * w + 1, w))")
+    sums = "transform(cs, c -> aggregate(c, 0, (a, n) -> cast(a + n AS int)))"
+    joined = f"flatten(zip_with(cs, {running(sums, '0')}, (c, at) -> {running('c', 'at')}))"
+    return let("ns", lengths, let("cs", chunks, joined))
+
+
+def rendered_lines(text: str) -> str:
+    """SQL array of lines without a last empty one: a final terminator opens no further line."""
+    return let("parts", lines_keepends(text),
+               "if(element_at(parts, -1) = '', slice(parts, 1, size(parts) - 1), parts)")
+
+
+def render_block(path: str, extension: str, text: str) -> str:
+    """SQL for one file as a fenced, line-numbered block."""
+    fences = "map(" + ", ".join(f"{quote(k)}, {quote(v)}" for k, v in policy.LANGUAGE_FENCES.items()) + ")"
+    number = "lpad(cast(i + 1 AS string), greatest(4, length(cast(i + 1 AS string))), ' ')"
+    numbered = (f"transform({rendered_lines(text)}, (x, i) -> concat({number}, ' | ', "
+                f"regexp_replace(x, {quote(rx(LINE_END_TRIM))}, '')))")
+    return (f"concat('### ', {path}, '\\n```', coalesce(element_at({fences}, ltrim('.', {extension})), ''), '\\n', "
+            f"array_join({numbered}, '\\n'), '\\n```\\n\\n')")

@@ -61,8 +61,8 @@ def manifest_header(result: Classified, *, generated_utc: str, source_root: str
 # -- merged shards ---------------------------------------------------------------
 
 def _blocks(files: DataFrame) -> DataFrame:
-    name = basename(F.col("path"))
-    return files.withColumn("block", render_block(F.col("path"), extension(name), decode_replace(F.col("content"))))
+    return (files.withColumns({"_ext": extension(basename(F.col("path"))), "_text": decode_replace(F.col("content"))})
+                 .withColumn("block", F.expr(render_block("path", "_ext", "_text"))).drop("_ext", "_text"))
 
 
 def shard_assignment(files: DataFrame, included: DataFrame, max_chars: int = policy.MAX_SHARD_CHARS) -> DataFrame:

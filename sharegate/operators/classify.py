@@ -163,9 +163,13 @@ def scan(files: DataFrame, eff: Effective, *, walk: bool = True) -> DataFrame:
               .withColumns({"_row": F.expr(_VERDICT), "_allowed": eff.contains("allow", F.col("path")) & ~F.col("_broken")})
               .withColumn("_keep", F.expr("_live AND (_row IS NULL OR _allowed)")))
     if eff.may_scan_pii:
-        readable = F.col("_keep") & eff.value("pii") & F.expr("content IS NOT NULL AND is_valid_utf8(cast(content AS string))")
-        judged = judged.withColumn("_found", I.pii_hits(
-            F.when(readable, F.col("content").cast("string")), eff.array("pii_allow"), eff.value("pii_skip_author")))
+        wanted = "_keep AND _pii_on AND content IS NOT NULL AND is_valid_utf8(cast(content AS string))"
+        allow = eff.array("pii_allow")
+        judged = (judged
+                  .withColumns({"_pii_on": eff.value("pii"), "_author": eff.value("pii_skip_author"),
+                                "_pii_ok": F.lit(None).cast("array<string>") if allow is None else allow})
+                  .withColumn("_pii_text", F.expr(f"if({wanted}, cast(content AS string), NULL)"))
+                  .withColumn("_found", I.pii_hits("_pii_text", None if allow is None else "_pii_ok", "_author")))
         pii = F.struct(F.expr("_found IS NOT NULL AS scanned"), F.expr("coalesce(size(_found), 0) AS n"),
                        I.pii_rule("get(_found, 0).ord").alias("rule"))
     else:

@@ -56,9 +56,9 @@ def gather_ignore_rules(files: DataFrame, extra_names: tuple[str, ...] = ()) ->
     names = [".gitignore", *extra_names]
     order = F.array_position(F.array(*[F.lit(n) for n in names]), basename(F.col("path"))).cast("int")
     lines = (files.where(basename(F.col("path")).isin(names) & ~F.col("path").rlike(_VCS_DIR))
-                  .where(F.col("content").isNotNull())
+                  .where(F.col("content").isNotNull()).withColumn("text", decode_replace(F.col("content")))
                   .select("share_id", parent_dir(F.col("path")).alias("base"), order.alias("name_ord"),
-                          F.posexplode(rendered_lines(decode_replace(F.col("content")))).alias("line_no", "raw"))
+                          F.posexplode(F.expr(rendered_lines("text"))).alias("line_no", "raw"))
                   .withColumn("line", F.regexp_replace("raw", r"(?Ud)[\s\x1C-\x1F]+$", ""))
                   .where((F.col("line") != "") & ~F.col("line").rlike(r"(?Ud)^\s*#")))
     return parsed_rules(lines)

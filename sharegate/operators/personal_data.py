@@ -13,13 +13,13 @@ def pii_hits(df: DataFrame, column: str, allow=None, skip_author: bool = True) -
 
     Texts that cannot match are dropped by the plain patterns before the line work."""
     rest = [c for c in df.columns if c != column]
-    hits = df.select(*rest, F.explode(pii.pii_hits(F.col(column), allow, skip_author)).alias("h"))
+    hits = df.select(*rest, F.explode(pii.pii_hits(column, allow, str(skip_author).lower())).alias("h"))
     return hits.select(*rest, pii.pii_rule("h.ord").alias("rule"), F.col("h.offset").alias("offset"),
                        F.col("h.match_len").alias("match_len"))
 
 
 def redact(df: DataFrame, column: str, allow=None, skip_author: bool = True) -> DataFrame:
-    return df.withColumn(column, pii.redact_pii(F.col(column), allow, skip_author))
+    return df.withColumn(column, pii.redact_pii(column, allow, str(skip_author).lower()))
 
 
 def pii_counts(df: DataFrame, column: str, by: list[str], allow=None, skip_author: bool = True) -> DataFrame:

@@ -134,12 +134,12 @@ def pii_gate(spark, sf):
 
 
 def redacted_documents(spark, sf):
-    docs = K.table(spark, sf, "documents").select("doc_id", redact_pii(F.col("text")).alias("text"))
+    docs = K.table(spark, sf, "documents").select("doc_id", redact_pii("text").alias("text"))
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
 
 
 def redacted_authors(spark, sf):
-    docs = K.load(spark, sf, K.AUTHORS).select("doc_id", redact_pii(F.col("text"), ("press@example.com",)).alias("text"))
+    docs = K.load(spark, sf, K.AUTHORS).select("doc_id", redact_pii("text", ("press@example.com",)).alias("text"))
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
