@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sharegate import policy
-from sharegate.functions.text import decode_ignore, let, rx
+from sharegate.functions.text import decode_ignore, rx
 
+# a literal each rule needs, so that its pattern only runs where it can match
+_NEEDS = {"SEC-CONT-AWS": "AKIA", "SEC-CONT-OPENAI": "sk-", "SEC-CONT-PRIVKEY": " PRIVATE KEY", "LOC-HOST": ".corp.internal"}
 _SECRETS = [(rule, rx(pattern)) for rule, pattern in policy.QUICK_SECRETS]
 _FINDING = "struct<rule:string,severity:string,detail:string>"
 
@@ -16,11 +18,15 @@ def _finding(rule: str, detail: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit("high").alias("severity"), detail.alias("detail")).cast(_FINDING)
 
 
+def _matches(text: Column, rule: str, regex: str) -> Column:
+    return F.contains(text, F.lit(_NEEDS[rule])) & text.rlike(regex)
+
+
 def first_secret(text: Column) -> Column:
     """First secret rule, in rule order, that matches the text; NULL when none does."""
     out = F.when(text.isNull(), F.lit(None))
     for rule, regex in _SECRETS:
-        out = out.when(text.rlike(regex), F.lit(rule))
+        out = out.when(_matches(text, rule, regex), F.lit(rule))
     return out
 
 
@@ -53,7 +59,7 @@ def quick_findings(path: Column, text: Column) -> Column:
     Each rule appears at most once per file, as the first finding in that order. A NULL
     text (unreadable file) leaves the path findings only."""
     found = [F.when(path.rlike(rx(p)), _finding(r, F.lit("dangerous filename"))) for r, p in policy.QUICK_PATH_RULES]
-    found += [F.when(text.rlike(p), _finding(r, F.lit("secret in content"))) for r, p in _SECRETS]
+    found += [F.when(_matches(text, r, p), _finding(r, F.lit("secret in content"))) for r, p in _SECRETS]
     hidden = encoded_secret(text)
     found.append(F.when(hidden.isNotNull(),
                         _finding("SEC-CONT-ENCODED", F.concat(F.lit("encoded "), hidden, F.lit(" secret")))))

@@ -8,7 +8,8 @@ table is kept, with its whole text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from sharegate.sources.tables import spread_few_files
 
 BS, DQ, NL, ZWSP = "chr(92)", "chr(34)", "chr(10)", "\u200b"
 
@@ -123,11 +124,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are going to be scanned."""
+    return spread_few_files(table(spark, sf_dir, name))
+
+
 def load(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run corpus SQL over the given tables (default: documents)."""
     names = tables or ("documents",)
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(f"sharegate_{name}")
+        texts(spark, sf_dir, name).createOrReplaceTempView(f"sharegate_{name}")
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM sharegate_{name}")
     return spark.sql(sql)

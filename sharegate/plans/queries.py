@@ -96,7 +96,7 @@ def per_share_overrides(spark, sf):
 
 def ignore_decisions(spark, sf):
     files = _files(spark, sf, K.TREE_WITH_IGNORES)
-    result = classify(files, ignore_rules=gather_ignore_rules(files))
+    result = classify(files, ignore_rules=gather_ignore_rules(files)).materialized()
     rows = result.decisions.where("status <> 'excluded'").select(
         "share_id", "path", F.coalesce("prune_reason", F.lit("INCLUDE")).alias("decision"))
     return rows.unionByName(result.exclusions.select("share_id", "path", F.col("rule").alias("decision")))
@@ -105,22 +105,22 @@ def ignore_decisions(spark, sf):
 # -- personal data -------------------------------------------------------------
 
 def pii_hits_by_doc(spark, sf):
-    return pii_hits(K.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return pii_hits(K.texts(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
 def pii_by_lang(spark, sf):
-    return pii_counts(K.table(spark, sf, "documents"), "text", ["lang"])
+    return pii_counts(K.texts(spark, sf, "documents"), "text", ["lang"])
 
 
 def pii_by_label(spark, sf):
-    docs = K.table(spark, sf, "documents").select("doc_id", "text")
+    docs = K.texts(spark, sf, "documents").select("doc_id", "text")
     counts = pii_counts(docs, "text", ["doc_id"])  # labels meet a few counts, not the texts
     return (K.table(spark, sf, "labels").join(counts, "doc_id")
             .groupBy("quality", "toxic", "rule").agg(F.sum("n_matches").alias("n_matches"), F.count(F.lit(1)).alias("n_docs")))
 
 
 def pii_pages(spark, sf):
-    return pii_counts(K.table(spark, sf, "pages"), "html", ["page_id"])
+    return pii_counts(K.texts(spark, sf, "pages"), "html", ["page_id"])
 
 
 def pii_authors(spark, sf):
@@ -134,7 +134,7 @@ def pii_gate(spark, sf):
 
 
 def redacted_documents(spark, sf):
-    docs = K.table(spark, sf, "documents").select("doc_id", redact_pii("text").alias("text"))
+    docs = K.texts(spark, sf, "documents").select("doc_id", redact_pii("text").alias("text"))
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
 
 
@@ -209,7 +209,7 @@ def verify_objects(spark, sf):
 
 
 def triage_top_paths(spark, sf):
-    rows = audit.triage_paths(_flat(spark, sf).exclusions.withColumn("share_id", F.lit("all")), prefix="SEC-")
+    rows = audit.triage_paths(_flat(spark, sf).materialized().exclusions.withColumn("share_id", F.lit("all")), prefix="SEC-")
     return rows.select("rule", "rank", "path", "n", "more")
 
 

@@ -16,6 +16,15 @@ def texts_from(df: DataFrame, share_id: Column, path: Column, text: Column) -> D
     return df.select(share_id.alias("share_id"), path.alias("path"), text.alias("text"))
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the table lies in fewer files than there are cores.
+
+    Scanning text is CPU work, and a file may be one row group, which is one task. Tables of
+    many files already fill the cluster and are left alone: their text is never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def read_path_list(spark: SparkSession, location: str, share_id: str = "") -> DataFrame:
     """A path list written by the structural pass: blanks and directory lines are skipped."""
     lines = spark.read.text(location).select(F.btrim("value", F.lit(" \t\r")).alias("path"))
