@@ -23,6 +23,7 @@ FORMAT = "sharegate_tree"
 LISTING = "share_id string, path string, length long, modified timestamp, read_error string"
 FILES = "share_id string, path string, content binary, length long, modified timestamp, read_error string"
 BATCH_BYTES = 32 * 1024 * 1024
+MAX_CELL_BYTES = 1024 * 1024 * 1024  # one value must stay clear of the 2 GiB limit of a cell
 
 
 class Subtree(InputPartition):
@@ -85,17 +86,14 @@ def list_tree(spark: SparkSession, root: str, share_id: str = "", partitions: in
     return spark.read.format(FORMAT).option("share_id", share_id).option("partitions", partitions).load(root)
 
 
-def _reader(root: str):
-    edge, limit = policy.HEAD_TAIL_BYTES, policy.MAX_SCAN_BYTES
+def _load(path: str, length: int) -> bytes:
+    if length > MAX_CELL_BYTES:
+        raise OSError(f"larger than {MAX_CELL_BYTES} bytes")
+    with open(path, "rb") as fh:
+        return fh.read()
 
-    def load(rel: str, length: int) -> bytes:
-        with open(os.path.join(root, rel), "rb") as fh:
-            if length <= limit:
-                return fh.read()
-            head = fh.read(edge)
-            fh.seek(max(length - edge, 0))
-            return head + fh.read()  # both edges are all a large file is scanned for
 
+def _reader(root: str):
     def read(batches):
         for batch in batches:
             rows, size = [], 0
@@ -103,7 +101,7 @@ def _reader(root: str):
                 wanted, row["content"] = row.pop("wanted"), None
                 if wanted:
                     try:
-                        row["content"] = load(row["path"], row["length"])
+                        row["content"] = _load(os.path.join(root, row["path"]), row["length"])
                         size += len(row["content"])
                     except OSError as e:
                         row["read_error"] = type(e).__name__
@@ -125,11 +123,15 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def read_files(listing: DataFrame, root: str, spread: bool = True) -> DataFrame:
-    """Listed files with content. Oversize files are not read, except the two edges of those
-    kinds that are scanned there; their hash is not computed from partial content."""
+def read_files(listing: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """Listed files with their whole content, dealt out over ``tasks`` (default:
+    ``spark.sql.shuffle.partitions``).
+
+    Oversize files are only read if their kind is scanned at that size. A file too large for
+    one value counts as unreadable, so it is withheld."""
     safe = suffix(basename(F.col("path"))).isin(policy.BINARY_SAFE_EXTS)
     wanted = F.col("length").isNotNull() & ((F.col("length") <= policy.MAX_SCAN_BYTES) | safe)
     rows = listing.select("share_id", "path", "length", "modified", "read_error",
                           F.coalesce(wanted, F.lit(False)).alias("wanted"))
-    return (rows.repartition() if spread else rows).mapInArrow(_reader(os.path.abspath(root)), FILES)
+    tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks).mapInArrow(_reader(os.path.abspath(root)), FILES)
