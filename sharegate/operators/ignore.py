@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType, StringType, StructType
 
 from sharegate.functions.paths import ancestors, basename, clean_relative, parent_dir
 from sharegate.functions.text import decode_replace, rendered_lines
-from sharegate.operators.joins import lookup_join
+from sharegate.operators.joins import lookup_join, measured_bytes
 from sharegate.session import materialize
 
 RULE_TYPE = (StructType().add("regex", StringType()).add("needle", StringType())
@@ -78,7 +78,7 @@ def _by_base(rules: DataFrame) -> DataFrame:
     return rules.groupBy("share_id", "base", "depth").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
 
 
-def ignored_paths(paths: DataFrame, by_base: DataFrame, is_dir: bool) -> DataFrame:
+def ignored_paths(paths: DataFrame, by_base: DataFrame, is_dir: bool, size: int | None = None) -> DataFrame:
     """(share_id, path) of the ignored paths; the last matching rule decides.
 
     A path meets the rules of its own ancestor directories only: it is joined on
@@ -87,7 +87,7 @@ def ignored_paths(paths: DataFrame, by_base: DataFrame, is_dir: bool) -> DataFra
     bases = F.concat(F.array(F.lit("")), ancestors(F.col("rel")))
     exploded = paths.select("share_id", "path", rel.alias("rel")) \
                     .select("share_id", "path", "rel", F.explode(bases).alias("base"))
-    met = lookup_join(exploded, by_base, ["share_id", "base"], "inner")
+    met = lookup_join(exploded, by_base, ["share_id", "base"], "inner", size=size)
 
     def applies(r: Column) -> Column:
         test = F.contains(F.col("rel"), r["needle"]) & F.rlike(F.col("rel"), r["regex"])
@@ -106,15 +106,16 @@ def ignore_decisions(files: DataFrame, rules: DataFrame, *, walk: bool = True, m
     ``ign_depth`` is the depth of the shallowest ignored ancestor directory: everything
     below it goes with it, whatever deeper rules say. Needs only (share_id, path)."""
     by_base = materialize(_by_base(rules))
-    owners = by_base.select("share_id").distinct()
-    paths = lookup_join(files.select("share_id", "path"), owners, ["share_id"], "left_semi")
-    single = ignored_paths(paths, by_base, is_dir=False).withColumn("ign_file", F.lit(True))
+    size = measured_bytes(by_base)
+    owners = by_base.select("share_id").distinct()  # smaller than the rules they own
+    paths = lookup_join(files.select("share_id", "path"), owners, ["share_id"], "left_semi", size=size)
+    single = ignored_paths(paths, by_base, is_dir=False, size=size).withColumn("ign_file", F.lit(True))
     if not walk:
         return single.withColumn("ign_depth", F.lit(None).cast("int"))
     ladder = paths.select("share_id", "path", F.posexplode(ancestors(F.col("path"))).alias("i", "dir")) \
                   .where(F.col("i") >= min_depth)
     dirs = ladder.select("share_id", F.col("dir").alias("path")).distinct()
-    ignored = materialize(ignored_paths(dirs, by_base, is_dir=True)).withColumnRenamed("path", "dir")
+    ignored = materialize(ignored_paths(dirs, by_base, is_dir=True, size=size)).withColumnRenamed("path", "dir")
     under = (lookup_join(ladder, ignored, ["share_id", "dir"], "inner")
              .groupBy("share_id", "path").agg((F.min("i") + 1).alias("ign_depth")))
     return single.join(under, ["share_id", "path"], "full_outer") \

@@ -16,16 +16,16 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *,
-                spread_by: str = "path", max_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+                spread_by: str = "path", size: int | None = None, max_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Join ``left`` to a lookup table whose keys may be used very unevenly.
 
-    The lookup side is measured. Up to ``max_bytes`` it is broadcast; beyond that every key
+    The lookup side is measured (or its ``size`` in bytes is passed on). Up to ``max_bytes`` it is broadcast; beyond that every key
     gets ``salts`` copies and ``left`` rows pick one by a hash of ``spread_by``, so a key
     that holds a third of ``left`` still lands in many tasks. Left rows are never copied.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot salt a {how} join")
-    if measured_bytes(right) <= max_bytes:
+    if (measured_bytes(right) if size is None else size) <= max_bytes:
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -30,9 +30,8 @@ def retention_plan(archives: DataFrame, *, now: str, days: int = policy.RETENTIO
         rows = running_sum(rows.withColumn("counted", F.when(F.col("aged") | F.col("kept"), 0).otherwise(F.col("bytes"))),
                            [], order, "counted")
         rows = materialize(rows)
-        total = rows.agg(F.coalesce(F.sum(F.when(~F.col("aged"), F.col("bytes"))), F.lit(0)).alias("total"))
-        rows = rows.crossJoin(F.broadcast(total))  # one row by construction
-        drop = ~F.col("aged") & ~F.col("kept") & (F.col("total") - F.col("before") > cap)
+        total = rows.agg(F.sum(F.when(~F.col("aged"), F.col("bytes")))).first()[0] or 0
+        drop = ~F.col("aged") & ~F.col("kept") & (F.lit(total) - F.col("before") > cap)
     reason = (F.when(F.col("aged"), F.concat(F.lit(f"older than {days}d (age "), F.col("age"), F.lit("d)")))
               .when(drop, F.lit(f"archive over {mb} MB cap")))
     return rows.select("archive_id", "name", "mtime", "bytes",

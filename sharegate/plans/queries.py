@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from sharegate.operators.quick_scan import quick_scan, quick_verdict
 from sharegate.operators.structure import folder_summary, structural_filter
 from sharegate.plans import corpus as K
 from sharegate.policy import ShareSettings
-from sharegate.session import ensure_checkpoint_dir, materialize
+from sharegate.session import ensure_checkpoint_dir, materialize, ship_package
 from sharegate.streaming.gate import gate_stream, route, rule_rollup
 
 NOW_UTC = "2024-02-01T00:00:00Z"
@@ -338,5 +339,13 @@ QUERIES = [
 ]
 
 
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: _shipped(q) for q in QUERIES}

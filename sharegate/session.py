@@ -1,12 +1,29 @@
-"""Session helpers: checkpoints in the shared folder the cluster names."""
+"""Session helpers: the package on the workers, checkpoints in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session that was started without it
+    (no ``--py-files``). Spark distributes the archive; once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sharegate_shipped", None):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sharegate-py-")) / "sharegate.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._sharegate_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder of the session. Only a local master may fall back to a
     temporary folder: on a cluster executors would not find each other's files there."""

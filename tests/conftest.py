@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from sharegate.session import ship_package
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -10,6 +12,7 @@ def spark():
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
 

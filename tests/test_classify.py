@@ -180,7 +180,7 @@ def test_per_share_settings(make_files, spark, monkeypatch):
             ("none", "a.md"): "LOC-RFC1918", ("none", "b.txt"): "INCLUDE", ("none", "c.md"): "SEC-CONT-HF",
             **{("bad", p): "OPS-CONFIG" for p in body}}
     assert run() == want
-    monkeypatch.setattr("sharegate.operators.joins.lookup_join.__kwdefaults__", {"spread_by": "path", "max_bytes": 0, "salts": 4})
+    monkeypatch.setattr("sharegate.operators.joins.lookup_join.__kwdefaults__", {"spread_by": "path", "size": None, "max_bytes": 0, "salts": 4})
     assert run() == want  # the salted way gives the same
 
 
