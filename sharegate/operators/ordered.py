@@ -8,6 +8,7 @@ a column. What must flow from piece to piece is then a small summary per piece.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,21 @@ from pyspark.sql import functions as F
 from sharegate.session import materialize
 
 CHUNK_BYTES = 16 * 1024
+PIECE_ROWS = 1_000_000  # what one task holds at a time
+MIN_ROWS = 1_000  # below this, cutting further gains nothing
 
 
 def segments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with a ``seg`` number that rises with the keys. Range bounds come from a sample,
-    so the result is checkpointed: two readers must see the same pieces.
+    """Rows with a ``seg`` number that rises with the keys, at most about ``PIECE_ROWS`` each.
 
-    The number of pieces is ``spark.sql.shuffle.partitions``, coalesced by AQE."""
-    ranged = df.repartitionByRange(*keys).withColumn("seg", F.spark_partition_id())
-    return materialize(ranged)
+    Range bounds come from a sample, which reads the input a second time, and two readers of
+    the result must see the same pieces. So the narrow input is checkpointed and counted,
+    then cut and checkpointed again; the texts behind it are scanned once."""
+    rows = materialize(df)
+    total = rows.count()
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(1, min(cores, math.ceil(total / MIN_ROWS)), math.ceil(total / PIECE_ROWS))
+    return materialize(rows.repartitionByRange(pieces, *keys).withColumn("seg", F.spark_partition_id()))
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str = "before") -> DataFrame:
@@ -191,9 +198,10 @@ def ordered_sha256(df: DataFrame, group: str, order: list[str], line: Column, ou
     """(group, hash): SHA-256 over the group's lines in the given order.
 
     One SHA-256 stream cannot be split, so its last step reads a group's lines in sequence.
-    It is kept cheap: sorting is a range sort over all tasks, lines travel as 16 KiB
-    chunks, and the last step holds one hash state and one batch in memory."""
-    ranged = (df.select(F.col(group).alias("g"), *order, line.alias("line"))
+    It is kept cheap: sorting is a range sort over all tasks (of checkpointed narrow rows,
+    as range partitioning reads its input twice), lines travel as 16 KiB chunks, and the
+    last step holds one hash state and one batch in memory."""
+    ranged = (materialize(df.select(F.col(group).alias("g"), *order, line.alias("line")))
                 .repartitionByRange("g", *order).sortWithinPartitions("g", *order)
                 .select("g", F.spark_partition_id().alias("seg"), "line"))
     chunks = ranged.mapInArrow(_chunks, "g string, seg int, chunk long, bytes binary")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharegate.functions.paths import is_source_name, basename
+from sharegate.operators.classify import EXPLICIT, WALK
 from sharegate.operators.settings import OVERRIDES_SCHEMA, complete_overrides
 
-EXPLICIT, PATH_LIST, WALK = "explicit files", "path list", "filesystem walk"
+PATH_LIST = "path list"
 
 
 def texts_from(df: DataFrame, share_id: Column, path: Column, text: Column) -> DataFrame:

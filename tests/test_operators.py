@@ -54,8 +54,9 @@ def test_blocks_equal_python(spark):
 
 
 @pytest.fixture
-def many_pieces(spark):
-    """Keep small shuffles in several partitions, so that groups really are cut."""
+def many_pieces(spark, monkeypatch):
+    """Cut small inputs into several pieces too."""
+    monkeypatch.setattr(ordered, "MIN_ROWS", 10)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
