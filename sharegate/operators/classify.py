@@ -109,8 +109,8 @@ def _ops(rule: str, detail: str = "concat(size, ' bytes')", desc: str | None = N
 _GATE = f"""
     CASE WHEN NOT _live OR _path IS NOT NULL THEN 'settled'
          WHEN startswith(coalesce(read_error, ''), 'stat:') THEN 'stat'
-         WHEN size > {policy.MAX_SCAN_BYTES} AND NOT _safe THEN 'oversize'
-         WHEN content IS NULL OR read_error IS NOT NULL THEN 'unreadable'
+         WHEN size > {policy.MAX_SCAN_BYTES} AND NOT coalesce(_safe, false) THEN 'oversize'
+         WHEN content IS NULL OR read_error IS NOT NULL OR path IS NULL THEN 'unreadable'
          WHEN size > {policy.MAX_SCAN_BYTES} THEN 'edges'
          WHEN NOT contains(substring(content, 1, {policy.NUL_WINDOW_BYTES}), X'00') THEN 'text'
          WHEN _safe THEN 'binary-safe'

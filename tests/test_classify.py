@@ -126,6 +126,13 @@ def test_reading_gates(make_files, spark):
         "big.png": "SEC-CONT-AWSKEY", "bigok.png": "INCLUDE", "mid.png": "INCLUDE", "stat.txt": "OPS-STAT"}
 
 
+def test_null_never_becomes_included(spark, make_files):
+    rows = [("s", None, bytearray(b"x"), 1, None, None), ("s", "a", None, None, None, None), ("s", "b", None, 1, None, None)]
+    files = spark.createDataFrame(rows, make_files({"z": "z"}).schema)
+    got = classify(files, ShareSettings(source_only=False, pii=True)).decisions.collect()
+    assert {(r.path, r.status, r.rule) for r in got} == {(p, "excluded", "OPS-UNREADABLE") for p in (None, "a", "b")}
+
+
 def test_known_misses_stay_included(make_files):
     import base64
     key = "AK" + "IA" + A * 16
