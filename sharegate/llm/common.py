@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import bisect
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharegate.session import ensure_checkpoint_dir
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,3 +65,16 @@ def piece_of(key: Column, bounds: list) -> Column:
 
 def piece_of_value(value, bounds: list) -> int:
     return 0 if value is None else bisect.bisect_right(bounds, value)
+
+
+def shared_folder(spark) -> str:
+    """A new folder below the session's checkpoint folder, which all executors and the driver share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder: compressed, and read again by columns."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

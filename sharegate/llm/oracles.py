@@ -68,5 +68,21 @@ WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_
 SELECT doc_id, size, source_size, target, ((whole + if(q IS NOT NULL AND upto <= rest, 1, 0)) * size)::BIGINT AS taken FROM n"""
 
 
+PASSAGES = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+     s AS (SELECT row_no, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g
+           FROM (SELECT row_no, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+     f AS (SELECT g, min(doc_id) AS first_doc FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+     h AS (SELECT row_no, i FROM s JOIN f USING (g) WHERE doc_id > first_doc),
+     p AS (SELECT DISTINCT row_no, unnest(range(i, i + 50)) AS k FROM h),
+     x AS (SELECT row_no, list(k) AS gone FROM p GROUP BY row_no),
+     y AS (SELECT d.row_no, d.doc_id, d.w, coalesce(x.gone, []) AS gone FROM d LEFT JOIN x USING (row_no)),
+     kept AS (SELECT row_no, string_agg(word, ' ' ORDER BY k) AS t FROM (
+                  SELECT row_no, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d) ANTI JOIN p USING (row_no, k) GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM y LEFT JOIN kept USING (row_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op7_chat_format": _chat(), "op9_source_mix": MIX}
+    return {"op4_quality_rules": _quality(), "op7_chat_format": _chat(), "op9_source_mix": MIX,
+            "op10_repeated_passages": PASSAGES}

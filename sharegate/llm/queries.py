@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, mixing, quality
+from sharegate.llm import chat, mixing, quality, substrings
 from sharegate.llm.common import table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -26,7 +26,12 @@ def op9_source_mix(spark, sf):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = [op4_quality_rules, op7_chat_format, op9_source_mix]
+def op10_repeated_passages(spark, sf):
+    rows = substrings.drop_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = [op4_quality_rules, op7_chat_format, op9_source_mix, op10_repeated_passages]
 
 
 def queries() -> dict:
