@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, mixing, quality, substrings
+from sharegate.llm import chat, dartminhash, mixing, quality, substrings
 from sharegate.llm.common import table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -15,6 +15,11 @@ def op4_quality_rules(spark, sf):
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_near_duplicates(spark, sf):
+    rows = dartminhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
 def op7_chat_format(spark, sf):
     probe = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{PROBE}' AS text")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -31,7 +36,7 @@ def op10_repeated_passages(spark, sf):
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op4_quality_rules, op7_chat_format, op9_source_mix, op10_repeated_passages]
+QUERIES = [op4_quality_rules, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
 
 
 def queries() -> dict:
