@@ -7,8 +7,10 @@ columns of ``documents``; the last returns one row per packed piece.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sharegate.llm import quality
+from sharegate.llm import dartminhash, mixing, packing, quality, substrings
+from sharegate.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +18,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates. Documents without words have no near duplicates."""
+    return dartminhash.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that a document with a smaller id has are cut; documents left without a word go."""
+    return substrings.without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, so that sources come near their target words."""
+    mixed = mixing.mix(docs, keep=True).where("copies > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences; a document that is taken twice is packed twice."""
+    return packing.pack(stored(packing.token_pieces(docs)))
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages),
+          ("source mix", source_mix), ("best-fit packing", best_fit_packing)]
 
 #: Weighted sketches, greedy parsing and packing by evolution have no SQL equivalent; tests compare with brute force.
 ORACLE_SQL = None

@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharegate.llm.common import WORD, quoted, stored, text_of
@@ -34,6 +34,7 @@ from sharegate.llm.common import WORD, quoted, stored, text_of
 SHINGLE, SIMILARITY = 5, (4, 5)  # as a fraction: at least 4 / 5
 BANDS, ROWS, SECOND = 40, 6, 8
 SLICE_CELLS = 1 << 20
+NO_ID = (1 << 63) - 1
 _U = np.uint64
 
 
@@ -139,7 +140,7 @@ def shingles(words: Column) -> Column:
 
 def _nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc, node (digest of the words; null without words), _w."""
-    rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
+    rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("doc"),
                        F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0)).alias("_w"))
     return rows.select("doc", F.when(F.size("_w") > 0, F.unhex(F.md5(F.array_join("_w", " ")))).alias("node"), "_w")
 
@@ -157,7 +158,7 @@ def _stars(members: DataFrame, key: str, spin: Column) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have the similarity. Only nodes in a pair have their sets built, from the first document of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
-    rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text_of(text).alias("_t"))
+    rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text).alias("_t"))
     words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
     named = rows.select("doc", "_t").withColumn("node", F.unhex(F.md5(F.array_join(words, " "))))
     sets = named.join(wanted, ["node", "doc"]).select("node", words.alias("_w")).select("node", F.array_distinct(shingles(F.col("_w"))).alias("s"))
@@ -203,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of the input: doc_id, node, class_id (least id of its class), n_links (verified links of its text)."""
+    """One row per row of the input: doc_id, node, label (of the class), class_id (least id of its class), n_links (verified links of its text)."""
     signed = stored(_nodes(docs, doc_id, text).select("doc", "node", shingles(F.col("_w")).alias("_s"))
                     .mapInArrow(_sign, "doc long, node binary, bands array<bigint>"))
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")))
@@ -231,8 +232,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                  .select("node", "doc", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = stored(named)
     first = named.groupBy("label").agg(F.min("doc").alias("class_id"))
-    per_node = named.join(first, "label").select("node", "class_id", "n_links")
+    per_node = named.join(first, "label").select("node", "label", "class_id", "n_links")
     found = signed.where("node IS NOT NULL").select("doc", "node").join(per_node, "node") \
-                  .unionByName(signed.where("node IS NULL").select("doc", "node", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-    none = F.lit((1 << 63) - 1)
-    return found.select(F.nullif("doc", none).alias("doc_id"), "node", F.nullif("class_id", none).alias("class_id"), "n_links")
+                  .unionByName(signed.where("node IS NULL").select("doc", "node", F.col("node").alias("label"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    none = F.lit(NO_ID)
+    return found.select(F.nullif("doc", none).alias("doc_id"), "node", "label", F.nullif("class_id", none).alias("class_id"), "n_links")
+
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input with one row of each class of near duplicates, that of its smallest id (then of the smallest digest, then
+    text). Rows without words are no near duplicates of anything and stay. Texts are shuffled once, by (id, digest)."""
+    rows = near_duplicates(docs, doc_id, text)
+    first = rows.where("node IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "node")).alias("k")).select("k.doc", "k.node")
+    wordless = rows.where("node IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.lit(""))).alias("node")).distinct()
+    keys = first.unionByName(wordless).select(F.col("doc").alias("_doc"), F.col("node").alias("_node"))
+    words = F.array_join(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0)), " ")
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)), "_node": F.unhex(F.md5(words))})
+    turn = F.row_number().over(Window.partitionBy("_doc", "_node").orderBy(text_of(text)))
+    kept = keyed.join(keys, ["_doc", "_node"]).withColumn("_turn", turn)
+    return kept.where((F.col("_turn") == 1) | (F.col("_node") == F.unhex(F.md5(F.lit(""))))).select(*(F.col(quoted(c)) for c in docs.columns))

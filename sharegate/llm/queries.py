@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, dartminhash, mixing, quality, substrings
-from sharegate.llm.common import table
+from sharegate.llm import chat, dartminhash, mixing, packing, quality, substrings
+from sharegate.llm.common import stored, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_best_fit_packing(spark, sf):
+    pieces = stored(packing.token_pieces(table(spark, sf, "documents").select("doc_id", "text")))
+    return packing.pack(pieces)
+
+
 def op4_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,7 +41,7 @@ def op10_repeated_passages(spark, sf):
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op4_quality_rules, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
+QUERIES = [op1_best_fit_packing, op4_quality_rules, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
 
 
 def queries() -> dict:
