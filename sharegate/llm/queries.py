@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, dartminhash, mixing, packing, quality, substrings, token_files
+from sharegate.llm import chat, dartminhash, html_text, mixing, packing, quality, substrings, token_files
 from sharegate.llm.common import shared_folder, stored, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -21,6 +21,10 @@ def op2_token_files(spark, sf):
     return token_files.read_token_file(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_main_text(spark, sf):
+    return html_text.main_text(table(spark, sf, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,7 +51,7 @@ def op10_repeated_passages(spark, sf):
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_best_fit_packing, op2_token_files, op4_quality_rules, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
+QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
 
 
 def queries() -> dict:
