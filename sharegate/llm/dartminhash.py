@@ -145,7 +145,7 @@ def _nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc", F.when(F.size("_w") > 0, F.unhex(F.md5(F.array_join("_w", " ")))).alias("node"), "_w")
 
 
-def _stars(members: DataFrame, key: str, spin: Column) -> DataFrame:
+def star_pairs(members: DataFrame, key: str, spin: Column) -> DataFrame:
     """Pairs (a, b) of each member and the centre of its bucket, a < b, once. The centre has the least ``spin``."""
     m = members.select(key, "node", *(["label"] if "label" in members.columns else []), spin.alias("_spin"))
     who = F.struct("_spin", "node", *(["label"] if "label" in members.columns else []))
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")))
 
     in_bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    links = _verified(stored(_stars(in_bands, "bucket", F.xxhash64("node", "bucket"))), docs, doc_id, text, nodes)
+    links = _verified(stored(star_pairs(in_bands, "bucket", F.xxhash64("node", "bucket"))), docs, doc_id, text, nodes)
     links = stored(links)
     label = stored(components(links))
 
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     .select("node", "label", "bucket", F.xxhash64("bucket").alias("_x"), next_bands.alias("_next")) \
                     .join(mixed, "bucket").select("node", "label", F.explode("_next").alias("_second"), "bucket") \
                     .select("node", "label", F.xxhash64("bucket", "_second").alias("part"))
-    more = stored(_stars(parts, "part", F.xxhash64("node", "part")).join(links, ["a", "b"], "left_anti"))
+    more = stored(star_pairs(parts, "part", F.xxhash64("node", "part")).join(links, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(_verified(more, docs, doc_id, text, nodes)))
     label = stored(components(links))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, dartminhash, html_text, mixing, packing, quality, substrings, token_files
+from sharegate.llm import chat, dartminhash, edit_sketch, html_text, mixing, packing, quality, substrings, token_files
 from sharegate.llm.common import shared_folder, stored, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -30,6 +30,10 @@ def op4_quality_rules(spark, sf):
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_edit_fingerprints(spark, sf):
+    return edit_sketch.with_next_edit(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_near_duplicates(spark, sf):
     rows = dartminhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
@@ -51,7 +55,7 @@ def op10_repeated_passages(spark, sf):
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
+QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op5_edit_fingerprints, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
 
 
 def queries() -> dict:
