@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sharegate.llm.common import WORD, quoted, stored, text_of
+from sharegate.operators.joins import lookup_join
 
 SHINGLE, SIMILARITY = 5, (4, 5)  # as a fraction: at least 4 / 5
 BANDS, ROWS, SECOND = 40, 6, 8
@@ -146,30 +147,36 @@ def _nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def star_pairs(members: DataFrame, key: str, spin: Column) -> DataFrame:
-    """Pairs (a, b) of each member and the centre of its bucket, a < b, once. The centre has the least ``spin``."""
-    m = members.select(key, "node", *(["label"] if "label" in members.columns else []), spin.alias("_spin"))
-    who = F.struct("_spin", "node", *(["label"] if "label" in members.columns else []))
-    centre = m.groupBy(key).agg(F.min(who).alias("_c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    pairs = m.join(centre.select(key, F.col("_c.node").alias("_centre"), *([F.col("_c.label").alias("_cl")] if "label" in members.columns else [])), key)
-    pairs = pairs.where("node <> _centre" + (" AND label <> _cl" if "label" in members.columns else ""))
-    return pairs.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have the similarity. Only nodes in a pair have their sets built, from the first document of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
+    """Pairs (a, b) of each member ``nid`` and the centre of its bucket, a < b, once. The centre has the least ``spin``. With
+    a column ``label`` only members of another label than the centre's are paired."""
+    extra = [c for c in ("label",) if c in members.columns]
+    m = members.select(key, "nid", *extra, spin.alias("_spin"))
+    centre = stored(m.groupBy(key).agg(F.min(F.struct("_spin", "nid", *extra)).alias("_c"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                    .select(key, F.col("_c.nid").alias("_centre"), *(F.col(f"_c.{c}").alias(f"_{c}") for c in extra)))
+    pairs = m.join(centre, key).where("nid <> _centre" + "".join(f" AND {c} <> _{c}" for c in extra))
+    return pairs.select(F.least("nid", "_centre").alias("a"), F.greatest("nid", "_centre").alias("b")).distinct()
+
+
+def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(nid, s): distinct shingles of the wanted nodes, from the first document of each. Texts are not shuffled while the
+    list of wanted nodes is small enough to send; beyond that they are joined by (node, doc)."""
     rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text).alias("_t"))
     words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
-    named = rows.select("doc", "_t").withColumn("node", F.unhex(F.md5(F.array_join(words, " "))))
-    sets = named.join(wanted, ["node", "doc"]).select("node", words.alias("_w")).select("node", F.array_distinct(shingles(F.col("_w"))).alias("s"))
-    sets = stored(sets)
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    named = rows.withColumn("node", F.unhex(F.md5(F.array_join(words, " "))))
+    found = lookup_join(named, wanted, ["node", "doc"], "inner", spread_by="doc").select("nid", words.alias("_w"))
+    return found.select("nid", F.array_distinct(shingles(F.col("_w"))).alias("s"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have the similarity."""
+    sized = sets.select("nid", F.size("s").alias("n"), "s")
     num, den = SIMILARITY
-    total = F.size("sa") + F.size("sb")
-    fits = F.least(F.size("sa"), F.size("sb")) * den >= F.greatest(F.size("sa"), F.size("sb")) * num
-    alike = F.size(F.array_intersect("sa", "sb")) * (num + den) >= total * num
-    return both.where(F.when(fits, alike).otherwise(False)).select("a", "b").distinct()
+    near = pairs.join(sized.select(F.col("nid").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("nid").alias("b"), F.col("n").alias("nb")), "b") \
+                .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+    near = stored(near)
+    both = near.join(sized.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b").join(sized.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a")
+    alike = F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.size("sa") + F.size("sb")) * num
+    return both.where(alike).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,42 +206,48 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
-        edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
+    return stored(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
+        edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: doc_id, node, label (of the class), class_id (least id of its class), n_links (verified links of its text)."""
     signed = stored(_nodes(docs, doc_id, text).select("doc", "node", shingles(F.col("_w")).alias("_s"))
                     .mapInArrow(_sign, "doc long, node binary, bands array<bigint>"))
-    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")))
+    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
+                   .withColumn("nid", F.monotonically_increasing_id()))  # written once, so it stays
+
+    # only buckets with company go on
+    in_bands = nodes.select("nid", F.posexplode("bands").alias("band", "bucket"))
+    company = stored(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    members = stored(in_bands.join(company, "bucket"))
+    wanted = members.select("nid").distinct().join(nodes.select("nid", "node", "doc"), "nid")
+    sets = stored(_sets(docs, doc_id, text, stored(wanted)))
 
-    in_bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    links = _verified(stored(star_pairs(in_bands, "bucket", F.xxhash64("node", "bucket"))), docs, doc_id, text, nodes)
-    links = stored(links)
-    label = stored(components(links))
+    pairs = stored(star_pairs(members, "bucket", F.xxhash64("nid", "bucket")))
+    links = stored(_verified(pairs, sets))
+    label = components(links)
 
     # buckets that hold more than one class are split by each of the next bands
-    labelled = nodes.join(label, "node", "left").select("node", "bands", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.select("label", F.explode("bands").alias("bucket")).groupBy("bucket") \
-                    .agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
+    labelled = members.join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    labelled = stored(labelled)
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket"))
     next_bands = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.get("bands", (F.col("band") + j) % BANDS))
-    parts = labelled.select("node", "label", "bands", F.posexplode("bands").alias("band", "bucket")) \
-                    .select("node", "label", "bucket", F.xxhash64("bucket").alias("_x"), next_bands.alias("_next")) \
-                    .join(mixed, "bucket").select("node", "label", F.explode("_next").alias("_second"), "bucket") \
-                    .select("node", "label", F.xxhash64("bucket", "_second").alias("part"))
-    more = stored(star_pairs(parts, "part", F.xxhash64("node", "part")).join(links, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(_verified(more, docs, doc_id, text, nodes)))
-    label = stored(components(links))
-
-    n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "doc").join(label, "node", "left").join(n_links, "node", "left") \
-                 .select("node", "doc", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    parts = stored(labelled.join(mixed, "bucket").join(nodes.select("nid", "bands"), "nid")
+                   .select("nid", "label", "bucket", F.explode(next_bands).alias("_second"))
+                   .select("nid", "label", F.xxhash64("bucket", "_second").alias("part")))
+    more = star_pairs(parts, "part", F.xxhash64("nid", "part")).join(pairs, ["a", "b"], "left_anti")
+    links = stored(links.unionByName(_verified(stored(more), sets)))
+    label = components(links)
+
+    n_links = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
+    named = nodes.select("nid", "node", "doc").join(label.withColumnRenamed("node", "nid"), "nid", "left").join(n_links, "nid", "left") \
+                 .select("node", "doc", F.coalesce("label", "nid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = stored(named)
     first = named.groupBy("label").agg(F.min("doc").alias("class_id"))
-    per_node = named.join(first, "label").select("node", "label", "class_id", "n_links")
+    per_node = stored(named.join(first, "label").select("node", "label", "class_id", "n_links"))
     found = signed.where("node IS NOT NULL").select("doc", "node").join(per_node, "node") \
-                  .unionByName(signed.where("node IS NULL").select("doc", "node", F.col("node").alias("label"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+                  .unionByName(signed.where("node IS NULL").select("doc", "node", F.lit(None).cast("long").alias("label"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     none = F.lit(NO_ID)
     return found.select(F.nullif("doc", none).alias("doc_id"), "node", "label", F.nullif("class_id", none).alias("class_id"), "n_links")
 

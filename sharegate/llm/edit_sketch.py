@@ -180,8 +180,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
                   .select("doc_id", F.col("fingerprint").alias("node")))
     nodes = rows.select("node").distinct()
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("node", b * width + 1, F.lit(width))))
-    in_bands = nodes.select("node", F.explode(cut).alias("bucket"))
-    pairs = dartminhash.star_pairs(in_bands, "bucket", F.xxhash64("node", "bucket"))
+    in_bands = nodes.select(F.col("node").alias("nid"), F.explode(cut).alias("bucket"))
+    pairs = dartminhash.star_pairs(in_bands, "bucket", F.xxhash64("nid", "bucket"))
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring("a", k + 1, F.lit(1)) == F.substring("b", k + 1, F.lit(1))))
     links = stored(pairs.where(same >= likeness * SAMPLES))
     label = dartminhash.components(links)
