@@ -255,8 +255,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     index = anchors.groupBy("anchor").agg(
         F.min(F.struct("doc", "pos", "block")).alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"),
         F.min("block").alias("b0"), F.max("block").alias("b1"))
-    shared = index.where("last > first.doc").select(
-        "anchor", "first.doc", F.col("first.pos").cast("long").alias("pos"), "first.block", (F.col("b0") == F.col("b1")).alias("same"), "n")
+    # stored, so that the joins on hot anchors and windows can be split
+    shared = stored(index.where("last > first.doc").select(
+        "anchor", "first.doc", F.col("first.pos").cast("long").alias("pos"), "first.block", (F.col("b0") == F.col("b1")).alias("same"), "n"))
     entry = F.struct("anchor", "doc", "pos", "block", "same", "n")
     per_doc = anchors.select("anchor", F.col("doc").alias("_id")).join(shared, "anchor") \
                      .groupBy("_id").agg(F.collect_set(entry).alias("_index"))
@@ -264,7 +265,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     with_hashes = keyed.select("_id", "_text").join(per_doc, "_id").select("_id", hashes.alias("_wh"), "_index")
     windows = stored(with_hashes.mapInArrow(_lookups, "doc long, h1 long, h2 long"))
-    least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_most > _least")
+    least = stored(windows.groupBy("h1", "h2").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_most > _least"))
     hits = windows.join(least, ["h1", "h2"]).where("doc > _least") \
                   .groupBy(F.col("doc").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
 
