@@ -83,6 +83,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256
 FROM y LEFT JOIN kept USING (row_no)"""
 
 
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, if(payload_bytes >= 100 AND page_id <> first_id, 'revisit', 'response') AS record_type,
+       if(payload_bytes >= 100 AND page_id <> first_id, first_id, NULL) AS refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op7_chat_format": _chat(), "op9_source_mix": MIX,
+    return {"op4_quality_rules": _quality(), "op7_chat_format": _chat(), "op8_warc": WARC, "op9_source_mix": MIX,
             "op10_repeated_passages": PASSAGES}

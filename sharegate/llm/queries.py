@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, dartminhash, edit_sketch, html_text, mixing, packing, quality, substrings, token_files
+from sharegate.llm import chat, dartminhash, edit_sketch, html_text, mixing, packing, quality, substrings, token_files, warc
 from sharegate.llm.common import shared_folder, stored, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -45,6 +45,16 @@ def op7_chat_format(spark, sf):
     return chat.read_back(chat.format_chat(rows))
 
 
+def op8_warc(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    archives, index = shared_folder(spark), shared_folder(spark)
+    warc.write_archives(pages, archives)
+    warc.write_index(spark, archives, index)
+    asked = pages.select(warc.capture_key(warc.clean_url(F.col("url")), F.col("page_id")).alias("key"))
+    read = warc.read_captures(warc.lookup(asked, index), archives)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -55,7 +65,7 @@ def op10_repeated_passages(spark, sf):
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op5_edit_fingerprints, op6_near_duplicates, op7_chat_format, op9_source_mix, op10_repeated_passages]
+QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op5_edit_fingerprints, op6_near_duplicates, op7_chat_format, op8_warc, op9_source_mix, op10_repeated_passages]
 
 
 def queries() -> dict:
