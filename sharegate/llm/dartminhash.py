@@ -261,7 +261,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     wordless = rows.where("node IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.lit(""))).alias("node")).distinct()
     keys = first.unionByName(wordless).select(F.col("doc").alias("_doc"), F.col("node").alias("_node"))
     words = F.array_join(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0)), " ")
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)), "_node": F.unhex(F.md5(words))})
-    turn = F.row_number().over(Window.partitionBy("_doc", "_node").orderBy(text_of(text)))
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("_doc"), F.unhex(F.md5(words)).alias("_node"))
+    turn = F.row_number().over(Window.partitionBy("_doc", "_node").orderBy(F.col("_row").getField(text).cast("string")))
     kept = keyed.join(keys, ["_doc", "_node"]).withColumn("_turn", turn)
-    return kept.where((F.col("_turn") == 1) | (F.col("_node") == F.unhex(F.md5(F.lit(""))))).select(*(F.col(quoted(c)) for c in docs.columns))
+    return kept.where((F.col("_turn") == 1) | (F.col("_node") == F.unhex(F.md5(F.lit(""))))).select("_row.*")

@@ -189,15 +189,15 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     """The input with ``text`` and ``n_chars``."""
     pages = pages.drop("text", "n_chars")
     winners = stored(host_paths(pages, url, html).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
-    named = pages.withColumn("_host", host_of(F.col(quoted(url))))
-    joined = lookup_join(named, winners, ["_host"], spread_by=quoted(html))
-    columns = pages.columns
-    schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    named = pages.select(F.struct("*").alias("_row"), F.col(quoted(html)).cast("string").alias("_html"), host_of(F.col(quoted(url))).alias("_host"))
+    joined = lookup_join(named, winners, ["_host"], spread_by="_html")
+    schema = T.StructType([T.StructField("_row", pages.schema), T.StructField("_text", T.StringType()), T.StructField("_n", T.LongType())])
 
     def extract(batches):
         for batch in batches:
-            texts = [Page(source.as_py() or "").text(path.as_py()) for source, path in zip(batch.column(html), batch.column("_path"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                             names=[*columns, "text", "n_chars"])
+            texts = [Page(source.as_py() or "").text(path.as_py()) for source, path in zip(batch.column("_html"), batch.column("_path"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                                             names=["_row", "_text", "_n"])
 
-    return joined.select(*(F.col(quoted(c)) for c in pages.columns), "_path").mapInArrow(extract, schema)
+    found = joined.select("_row", "_html", "_path").mapInArrow(extract, schema)
+    return found.select("_row.*", F.col("_text").alias("text"), F.col("_n").alias("n_chars"))

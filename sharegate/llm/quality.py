@@ -69,15 +69,15 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     stop = ", ".join(quote(w) for w in STOP_WORDS)
     window = ", ".join(f"_w[i + {k}]" for k in range(REPEAT_WINDOW))
     kept = [c for c in df.columns if c.lower() not in MEASURES]
-    base = df.select(*(F.col(quoted(c)) for c in kept), F.expr(f"coalesce(cast({quoted(text)} AS string), '')").alias("_t"))
-    split = base.select(*(F.col(quoted(c)) for c in kept), "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"),
+    base = df.select(F.struct(*(F.col(quoted(c)) for c in kept)).alias("_row"), F.expr(f"coalesce(cast({quoted(text)} AS string), '')").alias("_t"))
+    split = base.select("_row", "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"),
                         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     hashed = split.select(
-        *(F.col(quoted(c)) for c in kept), "_t", "_w", "_l",
+        "_row", "_t", "_w", "_l",
         F.expr(f"if(size(_w) < {REPEAT_WINDOW}, cast(array() AS array<bigint>), transform(sequence(0, size(_w) - {REPEAT_WINDOW}), "
                f"i -> xxhash64({window})))").alias("_h"))
     return hashed.select(
-        *(F.col(quoted(c)) for c in kept),
+        "_row.*",
         F.expr("cast(size(_w) AS bigint)").alias("n_words"),
         F.expr("cast(length(array_join(_w, '')) AS bigint)").alias("word_chars"),
         F.expr("cast(regexp_count(_t, '[#*$%&|<>]') AS bigint)").alias("n_symbols"),
@@ -108,6 +108,5 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    marked = df.select("*", *(F.col(quoted(c)).alias(f"_in_{c}") for c in df.columns if c.lower() in (*MEASURES, "base_failed", "failed", "kept")))
-    good = judge(marked, text, rules).where("kept")
-    return good.select(*((F.col(quoted(f"_in_{c}")) if f"_in_{c}" in good.columns else F.col(quoted(c))).alias(c) for c in df.columns))
+    rows = df.select(F.struct("*").alias("row"), F.col(quoted(text)).alias("text"))
+    return judge(rows, "text", rules).where("kept").select("row.*")

@@ -244,7 +244,7 @@ def _cut(batches):
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space); columns of these names are replaced."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    keyed = docs.select("*", F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("_id"), text_of(text).alias("_text"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("_id"), text_of(text).alias("_text"))
     words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     none = F.array().cast("array<bigint>")
@@ -271,26 +271,23 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     payload = per_doc.join(hits, "_id", "left")
     rows = keyed.join(payload, "_id", "left").withColumn("_wh", F.when(F.col("_index").isNull(), none).otherwise(hashes))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType()), T.StructField("_kept", T.StringType())])
-    cut = rows.select(*(F.col(quoted(c)) for c in docs.columns), "_id", "_text", "_wh", "_index", "_hits").mapInArrow(_cut, schema)
-    words = F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))
-    split = cut.select("*", words.alias("_w"))
-    return split.select(*(F.col(quoted(c)) for c in docs.columns), F.size("_w").cast("long").alias("n_words"),
+    schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("_removed", T.LongType()), T.StructField("_kept", T.StringType())])
+    cut = rows.select("_row", "_id", "_text", "_wh", "_index", "_hits").mapInArrow(_cut, schema)
+    own = F.coalesce(F.col("_row").getField(text).cast("string"), F.lit(""))
+    split = cut.select("*", F.regexp_extract_all(own, F.lit(WORD), F.lit(0)).alias("_w"))
+    return split.select("_row.*", F.size("_w").cast("long").alias("n_words"),
                         F.col("_removed").alias("n_removed"), F.coalesce("_kept", F.array_join("_w", " ")).alias("kept_text"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input, where a text that loses words becomes its kept words; rows whose every word goes are dropped.
     Other texts stay as they are, also empty ones. A column ``n_chars`` follows the text."""
-    marked = drop_repeats(docs.select("*", *(F.col(quoted(c)).alias(f"_in_{c}") for c in docs.columns if c in ("n_words", "n_removed", "kept_text"))), doc_id, text)
-    kept = marked.where("n_removed = 0 OR n_removed < n_words")
-    new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(quoted(text)))
+    rows = docs.select(F.struct("*").alias("row"), F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text"))
+    kept = drop_repeats(rows, "id", "text").where("n_removed = 0 OR n_removed < n_words")
+    new = {text: F.col("kept_text"), "n_chars": F.length("kept_text")}
     columns = []
-    for c in docs.columns:
-        if c == text:
-            columns.append(new.alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(quoted(f"_in_{c}" if f"_in_{c}" in marked.columns else c)).alias(c))
+    for field in docs.schema:
+        was = F.col("row").getField(field.name)
+        now = F.when(F.col("n_removed") > 0, new[field.name].cast(field.dataType)).otherwise(was) if field.name in new else was
+        columns.append(now.alias(field.name))
     return kept.select(*columns)
