@@ -1,41 +1,76 @@
 """Token ids of whole texts with a public byte-level BPE, inside Python workers.
 
 The pre-tokeniser never joins anything across a single blank or line break between two other characters, so a text is the
-concatenation of its words, each with the blank or break before it. Ids of words are remembered per worker
-(``CACHE_WORDS`` at most, then forgotten), which spares most of the merging. Texts with other white space, runs of blanks or blank ends are
-encoded whole. A word followed by marks is two pre-tokens, so only the word needs merging.
+concatenation of its words, each with the blank or break before it. Ids of words are remembered per worker (twice ``CACHE_WORDS`` at
+most; the older half is forgotten), which spares most of the merging. A word followed by marks is two pre-tokens, so only the word needs
+merging; a word of letters is one pre-token, which goes to the model without the tokenizer's bookkeeping. Texts with other white space,
+runs of blanks or blank ends are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+from array import array
+
+END_ID, CACHE_WORDS = 2, 600_000
+#: White space beside blank and line break, by Unicode or by Python's split.
+OTHER_SPACE = tuple(map(chr, [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+RUNS = ("  ", " \n", "\n ", "\n\n")
+_encoders: dict[str, "Encoder"] = {}
 
-import numpy as np
 
-END_ID, CACHE_WORDS = 2, 1_000_000
-_encoders: dict[str, "Encoder"] = {}
+def _bytes_of(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
 class Words(dict):
     """Ids (bytes of little-endian uint32) of words after a blank or with their line break."""
 
-    def __init__(self, encode):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.encode, self.marks = encode, {}
+        self.tokenizer, self.older, self.marks = tokenizer, {}, {}
+        self.merge, self.characters = tokenizer.model.tokenize, _byte_characters()
+
+    def encode(self, text: str) -> bytes:
+        return _bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self._new(word)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def _new(self, word: str) -> bytes:
+        if word.isalpha():
+            return _bytes_of([t.id for t in self.merge((" " + word).encode().decode("latin-1").translate(self.characters))])
         k = len(word)
         while k and not word[k - 1].isalnum():
             k -= 1
         if 0 < k < len(word) and word[k - 1].isalpha():
             mark = word[k:]
             if mark not in self.marks:
+                if len(self.marks) >= CACHE_WORDS:
+                    self.marks.clear()
                 self.marks[mark] = self.encode(mark)
-            found = self[word[:k]] + self.marks[mark]
-        else:
-            found = self.encode(word if word[:1] == "\n" else " " + word)
-        self[word] = found
-        return found
+            return self[word[:k]] + self.marks[mark]
+        return self.encode(word if word[:1] == "\n" else " " + word)
 
 
 class Encoder:
@@ -45,22 +80,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
-        self.words, self.end = Words(self.whole), np.array([END_ID], "<u4").tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.words, self.end = Words(self.tokenizer), _bytes_of([END_ID])
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a text and the end id, as bytes; a null text is empty."""
         if not text:
             return self.end
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return self.whole(text) + self.end
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS) or any(x in text for x in OTHER_SPACE):
+            return self.words.encode(text) + self.end
         first, *rest = text.replace("\n", " \n").split(" ")
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.words.marks.clear()
-        return self.whole(first) + b"".join(map(self.words.__getitem__, rest)) + self.end
+        return self.words.encode(first) + b"".join(map(self.words.__getitem__, rest)) + self.end
 
 
 def encoder(path: str) -> Encoder:
