@@ -29,7 +29,7 @@ from sharegate.llm import tokenize
 from sharegate.llm.common import quoted, stored
 
 CAPACITY = 1024
-SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 32_768, 3, 2, 6, 4
+SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 32_768, 2, 2, 3, 3
 
 
 class Room:
@@ -55,86 +55,95 @@ class Room:
         return found, free
 
 
-def best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Put ``items`` (in this order) into ``bins``, which it changes, or into new ones."""
-    room = Room(capacity)
-    for b, members in enumerate(bins):
-        room.put(b, capacity - sum(sizes[i] for i in members))
+Packing = tuple[list[list[int]], list[int]]  # bins and what they hold
+
+
+def best_fit(bins: list[list[int]], filled: list[int], items: list[int], sizes: list[int], capacity: int) -> Packing:
+    """Put ``items`` (in this order) into ``bins`` or into new ones. Bins that receive an item are copied first."""
+    room, own = Room(capacity), set()
+    for b, f in enumerate(filled):
+        if f < capacity:
+            room.put(b, capacity - f)
     for i in items:
         b, free = room.take(sizes[i])
         if b < 0:
             b, free = len(bins), capacity
             bins.append([])
+            filled.append(0)
+            own.add(b)
+        elif b not in own:
+            bins[b] = list(bins[b])
+            own.add(b)
         bins[b].append(i)
-        room.put(b, free - sizes[i])
-    return bins
-
-
-def fills(bins: list[list[int]], sizes: list[int]) -> list[int]:
-    return [sum(sizes[i] for i in b) for b in bins]
+        filled[b] += sizes[i]
+        if free > sizes[i]:
+            room.put(b, free - sizes[i])
+    return bins, filled
 
 
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
+def fitness(p: Packing, capacity: int) -> tuple[int, int]:
     """Fewer bins first, then unequal ones: full bins beside empty ones leave room for the next generation."""
-    return -len(bins), sum((f / capacity) ** 2 for f in fills(bins, sizes))
+    return -len(p[0]), sum(f * f for f in p[1])
 
 
-def crossover(into: list[list[int]], of: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    filled = fills(of, sizes)
-    order = sorted(range(len(of)), key=filled.__getitem__, reverse=True)[: max(1, len(of) // 2)]
-    injected = [of[b] for b in rng.sample(order, max(1, len(order) // 2))]
-    taken = {i for b in injected for i in b}
-    child, displaced = [list(b) for b in injected], []
-    for b in into:
+def crossover(into: Packing, of: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+    order = sorted(range(len(of[0])), key=of[1].__getitem__, reverse=True)[: max(1, len(of[0]) // 2)]
+    injected = rng.sample(order, max(1, len(order) // 2))
+    taken = {i for b in injected for i in of[0][b]}
+    bins, filled, displaced = [of[0][b] for b in injected], [of[1][b] for b in injected], []
+    for b, f in zip(*into, strict=True):
         if taken.isdisjoint(b):
-            child.append(list(b))
+            bins.append(b)
+            filled.append(f)
         else:
             displaced += [i for i in b if i not in taken]
-    return mutate(child, sizes, capacity, rng, displaced)
+    return mutate((bins, filled), sizes, capacity, rng, displaced)
 
 
-def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.Random, displaced: list[int] = ()) -> list[list[int]]:
-    """Dissolve some of the emptiest bins (of this individual's own) and put their items back with the displaced ones."""
-    filled = fills(bins, sizes)
-    open_ = [b for b in range(len(bins)) if filled[b] < capacity]
+def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random, displaced: list[int] = ()) -> Packing:
+    """Dissolve some of the emptiest bins and put their items back with the displaced ones, the largest first."""
+    bins, filled = p
+    open_ = [b for b, f in enumerate(filled) if f < capacity]
     worst = sorted(open_, key=filled.__getitem__)[: max(2, len(open_) // 10)]
     gone = set(rng.sample(worst, min(len(worst), rng.randint(1, max(1, len(worst))))))
     loose = [*displaced, *(i for b in gone for i in bins[b])]
     loose.sort(key=sizes.__getitem__, reverse=True)
-    return best_fit([b for k, b in enumerate(bins) if k not in gone], loose, sizes, capacity)
+    return best_fit([b for k, b in enumerate(bins) if k not in gone], [f for k, f in enumerate(filled) if k not in gone], loose, sizes, capacity)
 
 
-def _code(bins: list[list[int]], n: int) -> bytes:
+def _code(p: Packing, n: int) -> bytes:
     out = np.empty(n, np.int32)
-    for b, members in enumerate(bins):
+    for b, members in enumerate(p[0]):
         out[members] = b
     return out.tobytes()
 
 
 def _bins(code: bytes) -> list[list[int]]:
     of = np.frombuffer(code, np.int32)
+    if not len(of):
+        return []
     order = np.argsort(of, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)] if len(of) else []
+    ends = np.flatnonzero(np.diff(of[order])) + 1
+    order = order.tolist()
+    return [order[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(order)], strict=True)]
 
 
 def evolve(sizes: list[int], population: list[bytes], capacity: int, seed: str, generations: int = GENERATIONS) -> list[bytes]:
     """The best POPULATION individuals after some generations, the best first."""
     rng, n = random.Random(seed), len(sizes)
     least = max(1, -(-sum(sizes) // capacity))
-    people = [_bins(c) for c in population]
+    people = [(b, [sum(sizes[i] for i in x) for x in b]) for b in map(_bins, population)]
     if not people:
-        down = sorted(range(n), key=sizes.__getitem__, reverse=True)
-        people = [best_fit([], down, sizes, capacity)]
-        while len(people) < POPULATION and len(people[0]) > least:
-            people.append(mutate([list(b) for b in people[0]], sizes, capacity, rng))
-    rank = lambda p: fitness(p, sizes, capacity)
+        people = [best_fit([], [], sorted(range(n), key=sizes.__getitem__, reverse=True), sizes, capacity)]
+        while len(people) < POPULATION and len(people[0][0]) > least:
+            people.append(mutate(people[0], sizes, capacity, rng))
+    rank = lambda p: fitness(p, capacity)
     people.sort(key=rank, reverse=True)
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(people[0][0]) <= least:
             break
         a, b = people[0], people[rng.randrange(1, len(people))] if len(people) > 1 else people[0]
-        children = [crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng), mutate([list(x) for x in a], sizes, capacity, rng)]
-        people = sorted([*people, *children], key=rank, reverse=True)[:POPULATION]
+        people = sorted([*people, crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng)], key=rank, reverse=True)[:POPULATION]
     return [_code(p, n) for p in people[:POPULATION]]
 
 

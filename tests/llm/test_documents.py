@@ -113,19 +113,20 @@ def test_packing_edges(spark, edge_docs):
 
 def test_evolution_finds_what_decreasing_best_fit_misses():
     sizes = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6] * 3 + [36, 36, 28] * 2  # best fit decreasing leaves gaps
-    down = len(packing.best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 60))
+    down = len(packing.best_fit([], [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 60)[0])
     best = packing.evolve(sizes, [], 60, "seed", generations=60)
     found = packing._bins(best[0])
-    assert sorted(i for b in found for i in b) == list(range(len(sizes))) and max(packing.fills(found, sizes)) <= 60
+    assert sorted(i for b in found for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in found) <= 60
     assert len(found) <= down
 
 
 def test_crossover_keeps_every_item_once():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 100) for _ in range(300)]
-    a, b = (packing.best_fit([], rng.sample(range(300), 300), sizes, 128) for _ in range(2))
+    a, b = (packing.best_fit([], [], rng.sample(range(300), 300), sizes, 128) for _ in range(2))
     child = packing.crossover(a, b, sizes, 128, rng)
-    assert sorted(i for x in child for i in x) == list(range(300)) and max(packing.fills(child, sizes)) <= 128
+    assert sorted(i for x in child[0] for i in x) == list(range(300)) and max(child[1]) <= 128
+    assert child[1] == [sum(sizes[i] for i in x) for x in child[0]]
 
 
 # -- near duplicates ---------------------------------------------------------------
