@@ -31,9 +31,9 @@ def first_secret(text: Column) -> Column:
 
 
 def base64_decodes(text: Column) -> Column:
-    """Decodes of the first base64-like runs, lenient on padding. A body one character
+    """Decodes of all base64-like runs, lenient on padding. A body one character
     over a multiple of four cannot be decoded and is NULL."""
-    tokens = F.slice(F.regexp_extract_all(text, F.lit(policy.QUICK_BASE64), F.lit(0)), 1, policy.BASE64_TOKENS)
+    tokens = F.regexp_extract_all(text, F.lit(policy.QUICK_BASE64), F.lit(0))
     return F.transform(tokens, lambda t: F.when(
         F.length(F.rtrim(t, F.lit("="))) % 4 != 1, decode_ignore(F.unbase64(F.rtrim(t, F.lit("="))))))
 

@@ -12,6 +12,7 @@ from sharegate.functions.text import decode_replace, render_block
 from sharegate.operators import audit
 from sharegate.operators.classify import Classified
 from sharegate.operators.ordered import greedy_bins, ordered_sha256
+from sharegate.operators.settings import complete_overrides, one_per_share
 from sharegate.policy import ShareSettings, policy_fingerprint
 from sharegate.session import materialize
 
@@ -50,10 +51,18 @@ def manifest_header(result: Classified, *, generated_utc: str, source_root: str
     if shards is not None:
         n = shards.groupBy("share_id").agg(F.count(F.lit(1)).alias("shard_count"))
         out = out.join(n, "share_id", "left").withColumn("shard_count", F.coalesce("shard_count", F.lit(0)))
+    mode, fingerprint = F.lit(settings.share_mode), F.lit(policy_fingerprint(settings))
+    if result.overrides is not None:
+        # a share with settings of its own is recorded with its mode and a fingerprint over both
+        rows = one_per_share(complete_overrides(result.overrides))
+        own = rows.select("share_id", F.col("share_mode").alias("_mode"), F.to_json(F.struct(*sorted(c for c in rows.columns if c != "share_id"))).alias("_own"))
+        out = out.join(own, "share_id", "left")
+        mode = F.coalesce("_mode", mode)
+        fingerprint = F.when(F.col("_own").isNull(), fingerprint).otherwise(F.sha2(F.concat(fingerprint, "_own"), 256))
     return (out.withColumn("schema", F.lit("sharegate.manifest/v1"))
-               .withColumn("generated_utc", F.lit(generated_utc)).withColumn("share_mode", F.lit(settings.share_mode))
+               .withColumn("generated_utc", F.lit(generated_utc)).withColumn("share_mode", mode)
                .withColumn("policy_version", F.lit(policy.POLICY_VERSION))
-               .withColumn("policy_sha256", F.lit(policy_fingerprint(settings)))
+               .withColumn("policy_sha256", fingerprint).drop("_mode", "_own")
                .withColumn("source_root", F.lit(source_root)).withColumn("focus", F.lit(settings.focus))
                .withColumn("selection", F.lit(result.selection)))
 

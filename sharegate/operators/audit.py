@@ -103,9 +103,9 @@ def verify_objects(listed: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def verify_hashes(header: DataFrame, recomputed: DataFrame, column: str = "content_sha256") -> DataFrame:
-    """Recorded against recomputed hash per share: MATCH or MISMATCH."""
+    """Recorded against recomputed hash per share: MATCH or MISMATCH. A share without files has the hash of nothing."""
     new = recomputed.select("share_id", F.col(column).alias("recomputed"))
-    same = F.col(column).eqNullSafe(F.col("recomputed"))
+    same = F.col(column).eqNullSafe(F.coalesce("recomputed", F.sha2(F.lit(""), 256)))
     return header.select("share_id", column).join(new, "share_id", "left") \
                  .select("share_id", F.when(same, "MATCH").otherwise("MISMATCH").alias("result"))
 

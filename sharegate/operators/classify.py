@@ -105,19 +105,21 @@ def _ops(rule: str, detail: str = "concat(size, ' bytes')", desc: str | None = N
     return _row(rule=quote(rule), desc=desc or quote(policy.OPS_RULES[rule]), detail=detail, family="'ops'", **more)
 
 
-# What a file is read as. Everything not listed before "text" is settled without a content scan.
-_GATE = f"""
+def _gate(settings: ShareSettings) -> str:
+    """What a file is read as. Everything not listed before "text" is settled without a content scan."""
+    most, window = settings.max_scan_bytes, settings.nul_window_bytes
+    over = "false" if most is None else f"size > {most}"
+    head = "content" if window is None else f"substring(content, 1, {window})"
+    return f"""
     CASE WHEN NOT _live OR _path IS NOT NULL THEN 'settled'
          WHEN startswith(coalesce(read_error, ''), 'stat:') THEN 'stat'
-         WHEN size > {policy.MAX_SCAN_BYTES} AND NOT coalesce(_safe, false) THEN 'oversize'
+         WHEN {over} AND NOT coalesce(_safe, false) THEN 'oversize'
          WHEN content IS NULL OR read_error IS NOT NULL OR path IS NULL THEN 'unreadable'
-         WHEN size > {policy.MAX_SCAN_BYTES} THEN 'edges'
-         WHEN NOT contains(substring(content, 1, {policy.NUL_WINDOW_BYTES}), X'00') THEN 'text'
+         WHEN {over} THEN 'binary-safe'
+         WHEN NOT contains({head}, X'00') THEN 'text'
          WHEN _safe THEN 'binary-safe'
          ELSE 'binary' END"""
 
-_EDGES = (f"concat(substring(content, 1, {policy.HEAD_TAIL_BYTES}), X'0A', "
-          f"substring(content, -{policy.HEAD_TAIL_BYTES}, {policy.HEAD_TAIL_BYTES}))")
 
 _VERDICT = f"""
     CASE WHEN _live AND _broken THEN {_ops("OPS-CONFIG", "'share settings'")}
@@ -137,6 +139,10 @@ _VERDICT = f"""
     END"""
 
 
+# An override only lets through what has been read: a file nobody could look into stays withheld.
+_READ = "content IS NOT NULL AND read_error IS NULL AND path IS NOT NULL"
+
+
 def scan(files: DataFrame, eff: Effective, *, walk: bool = True) -> DataFrame:
     """Path, reading and content rules in one projection chain; no shuffle, no Python.
 
@@ -152,15 +158,14 @@ def scan(files: DataFrame, eff: Effective, *, walk: bool = True) -> DataFrame:
                             "_safe": P.suffix(F.col("base")).isin(policy.BINARY_SAFE_EXTS)})
               .withColumn("_live", F.expr("_dir IS NULL AND _file IS NULL"))
               .withColumn("_path", F.when(F.col("_live"), P.path_rule("base", settings.deny_globs, eff.deny_table)))
-              .withColumn("_gate", F.expr(_GATE))
+              .withColumn("_gate", F.expr(_gate(settings)))
               .withColumns({"_text": F.when(F.expr("_gate = 'text'"), T.decode_text(F.col("content"))),
-                            "_bin": F.expr(f"decode(CASE _gate WHEN 'edges' THEN {_EDGES} "
-                                           "WHEN 'binary-safe' THEN content END, 'ISO-8859-1')")})
+                            "_bin": F.expr("decode(if(_gate = 'binary-safe', content, NULL), 'ISO-8859-1')")})
               .withColumns({"_text": T.strip_invisible("_text"), "_bin": T.strip_invisible("_bin")}))
     read = C.with_hits(staged, "_text", "_hits", eff.public)
     read = C.with_hits(read, "_bin", "_bhits", secrets_only=True, relaxed=True)
     judged = (read.withColumn("_top", F.expr("coalesce(array_min(_hits), array_min(_bhits))"))
-              .withColumns({"_row": F.expr(_VERDICT), "_allowed": eff.contains("allow", F.col("path")) & ~F.col("_broken")})
+              .withColumns({"_row": F.expr(_VERDICT), "_allowed": eff.contains("allow", F.col("path")) & ~F.col("_broken") & F.expr(_READ)})
               .withColumn("_keep", F.expr("_live AND (_row IS NULL OR _allowed)")))
     if eff.may_scan_pii:
         wanted = "_keep AND _pii_on AND content IS NOT NULL AND is_valid_utf8(cast(content AS string))"
@@ -220,6 +225,7 @@ class Classified:
     decisions: DataFrame
     settings: ShareSettings
     selection: str = WALK
+    overrides: DataFrame | None = None
 
     @property
     def included(self) -> DataFrame:
@@ -267,4 +273,4 @@ def classify(files: DataFrame, settings: ShareSettings = ShareSettings(), *, ove
     if ignore_rules is not None and settings.respect_ignore:
         min_depth = settings.focus.strip("/").count("/") + 1 if settings.focus else 0
         ignored = ignore_decisions(files, ignore_rules, walk=walk, min_depth=min_depth)
-    return Classified(decide(scanned, ignored), settings, selection)
+    return Classified(decide(scanned, ignored), settings, selection, overrides)

@@ -2,51 +2,39 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
 
 from sharegate.functions.paths import ancestors, basename, clean_relative, parent_dir
 from sharegate.functions.text import decode_replace, rendered_lines
 from sharegate.operators.joins import lookup_join, measured_bytes
 from sharegate.session import materialize
 
-RULE_TYPE = (StructType().add("regex", StringType()).add("needle", StringType())
-             .add("negate", BooleanType()).add("dir_only", BooleanType()))
-_TOKEN = re.compile(r"\*\*/|\*\*|\*|\?|[^*?]+")
-_WILD = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 _VCS_DIR = r"(?:^|/)\.(?:git|hg|svn)/"
+# negation, an escaped first sign, the pattern, the mark of a directory
+_LINE = r"(?s)^(!?)(?:\\(?=[#!]))?(.*?)(/?)$"
+_PIECES = r"(?s)\*\*/|\*\*|\*|\?|[^*?]+"
+_SIGNS = r"([\x00-\x7F&&[^A-Za-z0-9_/]])"  # escaped one by one; Java allows that for any ASCII sign
 
 
-def _quote(literal: str) -> str:
-    return re.sub(r"([^\w/])", lambda m: "\\" + m[1] if ord(m[1]) < 128 else m[1], literal)
-
-
-def parse_ignore_line(base: str, line: str) -> dict:
-    """One ignore line as a regex on the share-relative path. ``needle`` is its longest
-    literal piece, which every matching path must contain."""
-    negate = line.startswith("!")
-    body = line[1:] if negate else line
-    if body[:2] in ("\\#", "\\!"):
-        body = body[1:]
-    dir_only = body.endswith("/")
-    body = body[:-1] if dir_only else body
-    floating = "/" not in body.rstrip("/")
-    tokens = _TOKEN.findall(body.lstrip("/"))
-    prefix = _quote(base + "/") if base else ""
-    regex = "(?Ud)^" + prefix + ("(?:.*/)?" if floating else "") \
-        + "".join(_WILD.get(t) or _quote(t) for t in tokens) + "(?:/.*)?$"
-    needle = max((t for t in tokens if t not in _WILD), key=len, default="")
-    return {"regex": regex, "needle": needle, "negate": negate, "dir_only": dir_only}
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, _SIGNS, r"\\$1")
 
 
-@F.pandas_udf(RULE_TYPE)
-def _parse(base: pd.Series, line: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_ignore_line(b, x) for b, x in zip(base, line)],
-                        columns=["regex", "needle", "negate", "dir_only"])
+def ignore_rule(base: Column, line: Column) -> Column:
+    """One ignore line as struct(regex, needle, negate, dir_only); the regex reads share-relative paths. ``needle`` is
+    the longest literal piece, which every matching path must contain."""
+    part = lambda k: F.regexp_extract(line, _LINE, k)
+    pattern = F.ltrim(part(2), F.lit("/"))
+    pieces = F.regexp_extract_all(pattern, F.lit(_PIECES), F.lit(0))
+    anywhere = ~F.contains(F.rtrim(part(2), F.lit("/")), F.lit("/"))
+    body = F.array_join(F.transform(pieces, lambda p: F.when(p == "**/", "(?:.*/)?").when(p == "**", ".*").when(p == "*", "[^/]*")
+                                    .when(p == "?", "[^/]").otherwise(escaped(p))), "")
+    prefix = F.when(base == "", F.lit("")).otherwise(escaped(F.concat(base, F.lit("/"))))
+    regex = F.concat(F.lit("(?Ud)^"), prefix, F.when(anywhere, F.lit("(?:.*/)?")).otherwise(F.lit("")), body, F.lit("(?:/.*)?$"))
+    literals = F.filter(pieces, lambda p: ~F.rlike(p, F.lit(r"^[*?]")))
+    longest = F.array_max(F.transform(literals, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    return F.struct(regex.alias("regex"), F.coalesce(longest, F.lit("")).alias("needle"), (part(1) == "!").alias("negate"), (part(3) == "/").alias("dir_only"))
 
 
 def gather_ignore_rules(files: DataFrame, extra_names: tuple[str, ...] = ()) -> DataFrame:
@@ -68,7 +56,7 @@ def parsed_rules(lines: DataFrame) -> DataFrame:
     """(share_id, base, name_ord, line_no, line) -> rules with regex and flags."""
     depth = F.when(F.col("base") == "", 0).otherwise(F.size(F.split("base", "/", -1)))
     return lines.select("share_id", "base", depth.alias("depth"), "name_ord", "line_no",
-                        _parse("base", "line").alias("r")) \
+                        ignore_rule(F.col("base"), F.col("line")).alias("r")) \
                 .select("share_id", "base", "depth", "name_ord", "line_no", "r.*")
 
 

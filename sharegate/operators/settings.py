@@ -32,6 +32,15 @@ def complete_overrides(overrides: DataFrame) -> DataFrame:
     return overrides.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in _FIELDS])
 
 
+def one_per_share(rows: DataFrame) -> DataFrame:
+    """One settings row per share. A share mode other than the two, and a second row for a share, are
+    configuration errors: such a share is withheld whole."""
+    bad = F.coalesce(F.col("config_error"), F.lit(False)) | ~F.coalesce(F.col("share_mode").isin("public", "private"), F.col("share_mode").isNull())
+    packed = rows.withColumn("config_error", bad).select("share_id", F.struct(*[c for c in rows.columns if c != "share_id"]).alias("o"))
+    folded = packed.groupBy("share_id").agg(F.first("o").alias("o"), F.count(F.lit(1)).alias("n"))
+    return folded.select("share_id", "o.*", "n").withColumn("config_error", F.col("config_error") | (F.col("n") > 1)).drop("n")
+
+
 class Effective:
     """Column view of the settings of each row's share."""
 
@@ -43,7 +52,7 @@ class Effective:
         """Bring the share's override row to each row as one struct column ``_o``."""
         if overrides is None:
             return df
-        rows = complete_overrides(overrides).withColumn("deny_table", _compiled_globs("deny_globs"))
+        rows = one_per_share(complete_overrides(overrides)).withColumn("deny_table", _compiled_globs("deny_globs"))
         packed = rows.select("share_id", F.struct(*[c for c in rows.columns if c != "share_id"]).alias("_o"))
         return lookup_join(df, packed, ["share_id"])
 

@@ -9,45 +9,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sharegate.sources.tables import spread_few_files
-
 BS, DQ, NL, ZWSP = "chr(92)", "chr(34)", "chr(10)", "\u200b"
 
 # slot -> SQL recipe; slots not listed append nothing
 SEEDS = {
-    0: "'12345678' || ':A' || repeat('A', 34)",
-    1: "'gl' || 'pat-' || repeat('A', 20)",
-    2: "'xo' || 'xb-1234567890'",
-    3: "'hf' || '_' || repeat('a', 34)",
-    4: "'AI' || 'za' || repeat('A', 35)",
-    5: "'AK' || 'IA' || repeat('A', 16)",
-    6: "'sk_' || 'live_' || repeat('A', 24)",
-    7: "'gh' || 'p_' || repeat('A', 36)",
-    8: "'np' || 'm_' || repeat('A', 36)",
-    9: "'pypi-' || 'AgEIcHlwaS5vcmc' || repeat('A', 50)",
-    10: "'SG.' || repeat('A', 22) || '.' || repeat('A', 43)",
-    11: "'sk' || '-ant-' || repeat('A', 24)",
-    12: "'-----BEGIN RSA ' || 'PRIVATE KEY-----'",
-    13: "'sk' || '-' || repeat('A', 32)",
-    14: "'PuTTY-User-' || 'Key-File-2'",
-    15: "'ey' || 'J' || repeat('A', 10) || '.ey' || 'J' || repeat('A', 10) || '.' || repeat('A', 10)",
-    16: f"'{{ ' || {DQ} || 'auths' || {DQ} || ': {{ }} }}'",
-    17: "'peer 10.1.2.3 up'",
-    18: f"'pass' || 'word = ' || {DQ} || 'supersecret123' || {DQ}",
-    19: "'nic 00:1A:2B:3C:4D:5E'",
-    20: f"'aws_secret_' || 'access_key=' || {DQ} || repeat('A', 40) || {DQ}",
-    21: "'github' || '_pat_' || repeat('A', 60)",
-    22: "'peer 100.64.1.2 up'",
-    23: "'postgres://user:' || 'pass@dbhost/app'",
-    24: "'addr fd12:3456:0:0:0:0:1 up'",
-    25: f"'share ' || {BS} || {BS} || 'fileserver' || {BS} || 'public'",
-    26: f"'path C:' || {BS} || 'Users' || {BS} || 'alice'",
-    27: "'host database.internal reachable'",
-    28: f"'Host bastion' || {NL} || '  HostName jump.example'",
-    29: "'path /home/alice/project'",
-    30: "'10.9.8.7 then ' || 'AK' || 'IA' || repeat('B', 16) || ' and ' || 'gh' || 'p_' || repeat('B', 36)",
-    31: "'path /home/ubuntu/ci'",
-    37: f"'AK{ZWSP}' || 'IA' || repeat('A', 16)",
+    0: "'31415926' || ':A' || repeat('Ax', 17)",
+    1: "'gl' || 'pat-' || repeat('b7', 10)",
+    2: "'xo' || 'xa-' || repeat('5', 12)",
+    3: "'hf' || '_' || repeat('Zz', 17)",
+    4: "'AI' || 'za' || repeat('pQ_r5', 7)",
+    5: "'AS' || 'IA' || repeat('7KQM', 4)",
+    6: "'rk_' || 'test_' || repeat('yY3', 9)",
+    7: "'gh' || 'o_' || repeat('Gh1', 12)",
+    8: "'np' || 'm_' || repeat('pN6', 12)",
+    9: "'pypi-' || 'AgEIcHlwaS5vcmc' || repeat('w_', 25) || 'w'",
+    10: "'SG.' || repeat('s2', 11) || '.' || repeat('t', 43)",
+    11: "'sk' || '-ant-' || repeat('cd9', 10)",
+    12: "'-----BEGIN OPENSSH ' || 'PRIVATE KEY-----'",
+    13: "'sk' || '-proj-' || repeat('oP4i', 9)",
+    14: "'PuTTY-User-' || 'Key-File-3'",
+    15: "'ey' || 'J' || repeat('h5', 8) || '.ey' || 'J' || repeat('p6', 9) || '.' || repeat('s7', 7)",
+    16: f"'{{' || {DQ} || 'auths' || {DQ} || ' : {{ }}}}'",
+    17: "'printer at 192.168.77.5 is out of paper'",
+    18: f"'api' || '-key: ' || {DQ} || 'open-sesame-42' || {DQ}",
+    19: "'label says 3E-1 or 3e:1f:aa:09:7b:c4'",
+    20: f"'AWS_SECRET_' || 'ACCESS_KEY : ' || {DQ} || repeat('zX8/', 10) || {DQ}",
+    21: "'github' || '_pat_' || repeat('f_3', 21)",
+    22: "'tailnet node 100.77.8.9 joined'",
+    23: "'mysql://reader:' || 'letmein9@db.example/stock'",
+    24: "'bind to fd77:1:2:3:4:5:6 first'",
+    25: f"'drawings on ' || {BS} || {BS} || 'nas-02' || {BS} || 'plans'",
+    26: f"'saved below E:' || {BS} || 'Users' || {BS} || 'm.novak'",
+    27: "'ask grafana.lan for the graphs'",
+    28: f"'Host gate' || {NL} || '   HostName gate.example'",
+    29: "'mounted /Users/m.novak/photos/raw'",
+    30: "'172.18.0.4 had ' || 'AK' || 'IA' || repeat('9B', 8) || ' beside ' || 'gh' || 'r_' || repeat('k1', 18)",
+    31: "'built in /home/runner/work'",
+    37: f"'AC{ZWSP}' || 'CA' || repeat('2W', 8)",
 }
 # Quick-scan seeds: the same tokens hidden in base64 and hex, per engine.
 QUICK_SEEDS = {
@@ -59,10 +57,10 @@ QUICK_SEEDS = {
     17: "{b64}'nothing to see in this plain text'{end}",
 }
 AUTHOR_SEEDS = {
-    0: f"{NL} || '@author maintainer@example.com' || {NL} || 'ssn 123-45-6789'",
-    1: f"{NL} || 'Copyright (c) Jane <jane@example.com> 415-555-0199'",
-    2: f"{NL} || 'write to help@example.com or 415-555-0199' || {NL}",
-    3: "'card 4111 1111 1111 1111 of press@example.com'",
+    0: f"{NL} || 'maintained by sam@example.com' || {NL} || 'number 219-09-9999'",
+    1: f"{NL} || '(c) Sam Roe <sam@example.com> 604-555-0182'",
+    2: f"{NL} || 'orders: shop@example.com, 604 555 0182' || {NL}",
+    3: "'paid with 5500 0000 0000 0004, press@example.com'",
 }
 BASES = {0: "'.env'", 1: "'server.pem'", 2: "'id_rsa'", 3: "'.env.example'", 4: "'notes.bak'", 5: "'dump.sql'"}
 DIRS = {1: "'node_modules'", 2: "'.ssh'", 3: "'logs'", 4: "'docs/Build'", 5: "'docs'", 6: "'src/my_venv/lib'",
@@ -105,7 +103,7 @@ CONVERSATIONS = (f"SELECT conv_id, turn, role AS share_id, 'conv/' || cast(conv_
                  "FROM conversations")
 # URL path as file path; a page without one is the host's index
 PAGES = ("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS share_id, "
-         "regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS path, html FROM pages")
+         f"regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS path, {seeded_text('html', 'page_id')} AS html FROM pages")
 AUTHORS = (f"SELECT doc_id, source AS share_id, source || '/doc_' || cast(doc_id AS varchar(20)) || '.md' AS path, "
            f"text || {pick('doc_id', 7, AUTHOR_SEEDS, chr(39) * 2)} AS text FROM documents")
 
@@ -124,16 +122,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts are going to be scanned."""
-    return spread_few_files(table(spark, sf_dir, name))
-
-
 def load(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run corpus SQL over the given tables (default: documents)."""
     names = tables or ("documents",)
     for name in names:
-        texts(spark, sf_dir, name).createOrReplaceTempView(f"sharegate_{name}")
+        table(spark, sf_dir, name).createOrReplaceTempView(f"sharegate_{name}")
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM sharegate_{name}")
     return spark.sql(sql)

@@ -23,13 +23,14 @@ from sharegate.streaming.gate import gate_stream, route, rule_rollup
 NOW_UTC = "2024-02-01T00:00:00Z"
 RETENTION_NOW, RETENTION_DAYS, RETENTION_MB = "1998-08-03 00:00:00", 2000, 256
 SHARD_CHARS = 20_000
+TEXTS = ShareSettings(max_scan_bytes=None)  # a long document is scanned, not withheld
 
 
 def _files(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return files_from_texts(K.load(spark, sf, sql))
 
 
-def _flat(spark, sf, settings: ShareSettings = ShareSettings()) -> Classified:
+def _flat(spark, sf, settings: ShareSettings = TEXTS) -> Classified:
     return classify(_files(spark, sf, K.FLAT), settings)
 
 
@@ -52,14 +53,14 @@ def content_scan_pages(spark, sf):
 
 def share_mode_diff(spark, sf):
     public = _flat(spark, sf).decision_map
-    private = _flat(spark, sf, ShareSettings(share_mode="private")).decision_map
+    private = _flat(spark, sf, ShareSettings(share_mode="private", max_scan_bytes=None)).decision_map
     return audit.diff_decisions(public, private)
 
 
 # -- paths, precedence, overrides --------------------------------------------
 
 def path_rule_decisions(spark, sf):
-    d = classify(_files(spark, sf, K.TREE)).decisions
+    d = classify(_files(spark, sf, K.TREE), TEXTS).decisions
     return d.select("share_id", "path", "status", "rule", "prune_reason", "family", "detail")
 
 
@@ -68,7 +69,7 @@ def decision_map(spark, sf):
 
 
 def source_only_and_filters(spark, sf):
-    settings = ShareSettings(source_only=True, exclude_folders=("SRC",), exclude_exts=(".sql",),
+    settings = ShareSettings(max_scan_bytes=None, source_only=True, exclude_folders=("SRC",), exclude_exts=(".sql",),
                              exclude_paths=("docs/Build/",), deny_globs=("doc_*7.md",), focus=None)
     d = classify(_files(spark, sf, K.TREE), settings).decisions
     return d.select("share_id", "path", "status", "rule", "prune_reason")
@@ -88,16 +89,16 @@ def _overrides(spark, sf) -> DataFrame:
 
 def allow_override_log(spark, sf):
     rows = _overrides(spark, sf)
-    return classify(_files(spark, sf, K.FLAT), overrides=rows).override_log
+    return classify(_files(spark, sf, K.FLAT), TEXTS, overrides=rows).override_log
 
 
 def per_share_overrides(spark, sf):
-    return classify(_files(spark, sf, K.FLAT), overrides=_overrides(spark, sf)).decision_map
+    return classify(_files(spark, sf, K.FLAT), TEXTS, overrides=_overrides(spark, sf)).decision_map
 
 
 def ignore_decisions(spark, sf):
     files = _files(spark, sf, K.TREE_WITH_IGNORES)
-    result = classify(files, ignore_rules=gather_ignore_rules(files)).materialized()
+    result = classify(files, TEXTS, ignore_rules=gather_ignore_rules(files)).materialized()
     rows = result.decisions.where("status <> 'excluded'").select(
         "share_id", "path", F.coalesce("prune_reason", F.lit("INCLUDE")).alias("decision"))
     return rows.unionByName(result.exclusions.select("share_id", "path", F.col("rule").alias("decision")))
@@ -106,22 +107,22 @@ def ignore_decisions(spark, sf):
 # -- personal data -------------------------------------------------------------
 
 def pii_hits_by_doc(spark, sf):
-    return pii_hits(K.texts(spark, sf, "documents").select("doc_id", "text"), "text")
+    return pii_hits(K.table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
 def pii_by_lang(spark, sf):
-    return pii_counts(K.texts(spark, sf, "documents"), "text", ["lang"])
+    return pii_counts(K.table(spark, sf, "documents"), "text", ["lang"])
 
 
 def pii_by_label(spark, sf):
-    docs = K.texts(spark, sf, "documents").select("doc_id", "text")
+    docs = K.table(spark, sf, "documents").select("doc_id", "text")
     counts = pii_counts(docs, "text", ["doc_id"])  # labels meet a few counts, not the texts
     return (K.table(spark, sf, "labels").join(counts, "doc_id")
             .groupBy("quality", "toxic", "rule").agg(F.sum("n_matches").alias("n_matches"), F.count(F.lit(1)).alias("n_docs")))
 
 
 def pii_pages(spark, sf):
-    return pii_counts(K.texts(spark, sf, "pages"), "html", ["page_id"])
+    return pii_counts(K.table(spark, sf, "pages"), "html", ["page_id"])
 
 
 def pii_authors(spark, sf):
@@ -129,13 +130,13 @@ def pii_authors(spark, sf):
 
 
 def pii_gate(spark, sf):
-    settings = ShareSettings(pii=True, pii_allow=("press@example.com",))
+    settings = ShareSettings(pii=True, pii_allow=("press@example.com",), max_scan_bytes=None)
     d = classify(_files(spark, sf, K.AUTHORS), settings).decisions
     return d.select("share_id", "path", "status", "rule", "detail", F.col("pii_matches").cast("long").alias("pii_matches"))
 
 
 def redacted_documents(spark, sf):
-    docs = K.texts(spark, sf, "documents").select("doc_id", redact_pii("text").alias("text"))
+    docs = K.table(spark, sf, "documents").select("doc_id", redact_pii("text").alias("text"))
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
 
 
@@ -184,15 +185,15 @@ def _tracked(spark, sf) -> DataFrame:
 
 
 def tracked_not_shipped(spark, sf):
-    return audit.tracked_not_shipped(_tracked(spark, sf), classify(_files(spark, sf, K.TREE)).included)
+    return audit.tracked_not_shipped(_tracked(spark, sf), classify(_files(spark, sf, K.TREE), TEXTS).included)
 
 
 def shipped_not_tracked(spark, sf):
-    return audit.shipped_not_tracked(_tracked(spark, sf), classify(_files(spark, sf, K.TREE)).included)
+    return audit.shipped_not_tracked(_tracked(spark, sf), classify(_files(spark, sf, K.TREE), TEXTS).included)
 
 
 def tracked_reason_buckets(spark, sf):
-    result = classify(_files(spark, sf, K.TREE)).materialized()
+    result = classify(_files(spark, sf, K.TREE), TEXTS).materialized()
     rows = audit.tracked_reasons(_tracked(spark, sf), result.included, result.exclusions)
     return rows.groupBy("share_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,15 +17,6 @@ def texts_from(df: DataFrame, share_id: Column, path: Column, text: Column) -> D
     return df.select(share_id.alias("share_id"), path.alias("path"), text.alias("text"))
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores when the table lies in fewer files than there are cores.
-
-    Scanning text is CPU work, and a file may be one row group, which is one task. Tables of
-    many files already fill the cluster and are left alone: their text is never shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
-
-
 def read_path_list(spark: SparkSession, location: str, share_id: str = "") -> DataFrame:
     """A path list written by the structural pass: blanks and directory lines are skipped."""
     lines = spark.read.text(location).select(F.btrim("value", F.lit(" \t\r")).alias("path"))
@@ -50,13 +41,15 @@ def select_files(files: DataFrame, *, explicit: DataFrame | None = None, path_li
 
 def overrides_from_json(df: DataFrame, share_id: str = "share_id", body: str = "json") -> DataFrame:
     """Per-share settings from JSON text. A text that does not parse marks the share
-    ``config_error``; such a share is withheld whole instead of losing its deny rules."""
+    ``config_error``; such a share is withheld whole instead of losing its deny rules. So is one whose
+    ``share_mode`` is neither public nor private. Ignore files are turned off by ``respect_gitignore`` (or ``respect_ignore``)."""
     fields = [f for f in OVERRIDES_SCHEMA.split(", ") if not f.startswith(("share_id ", "config_error "))]
-    schema = ", ".join([*fields, "_corrupt string"])
+    schema = ", ".join([*fields, "respect_gitignore boolean", "_corrupt string"])
     parsed = df.select(F.col(share_id).alias("share_id"), F.col(body).alias("_body"), F.from_json(
         F.col(body), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("o"))
     broken = F.col("_body").isNotNull() & (F.col("o").isNull() | F.col("o._corrupt").isNotNull())
-    return complete_overrides(parsed.select("share_id", "o.*", broken.alias("config_error")))
+    rows = parsed.select("share_id", "o.*", broken.alias("config_error"))
+    return complete_overrides(rows.withColumn("respect_ignore", F.coalesce("respect_gitignore", "respect_ignore")))
 
 
 def structural_config(df: DataFrame, body: str = "json") -> dict[str, list[str]]:

@@ -31,8 +31,19 @@ class Subtree(InputPartition):
         self.folder, self.deep = folder, deep
 
 
+def _name(rel: str) -> tuple[str, str | None]:
+    """A path as text, and an error if its bytes are not UTF-8: those are escaped as \\xNN."""
+    try:
+        rel.encode()
+    except UnicodeEncodeError:
+        return os.fsencode(rel).decode("utf-8", "backslashreplace"), "stat:name is not UTF-8"
+    return rel, None
+
+
 def _entry(share: str, root: str, path: str) -> tuple:
-    rel = os.path.relpath(path, root).replace(os.sep, "/")
+    rel, error = _name(os.path.relpath(path, root).replace(os.sep, "/"))
+    if error:
+        return share, rel, None, None, error
     try:
         st = os.stat(path)
     except OSError as e:
@@ -40,6 +51,13 @@ def _entry(share: str, root: str, path: str) -> tuple:
     return share, rel, st.st_size, dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc), None
 
 
+def _folders(folder: str) -> list[str]:
+    try:
+        return [e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+    except OSError:
+        return []  # its reader reports it
+
+
 class TreeReader(DataSourceReader):
     """One partition per folder of the upper levels; each lists its subtree."""
 
@@ -52,19 +70,19 @@ class TreeReader(DataSourceReader):
         level, done = [self.root], []
         while level and len(level) + len(done) < self.target:
             done += level
-            level = sorted(e.path for folder in level for e in os.scandir(folder) if e.is_dir(follow_symlinks=False))
+            level = sorted(p for folder in level for p in _folders(folder))
         return [Subtree(f, False) for f in done] + [Subtree(f, True) for f in level]
 
     def read(self, part: Subtree):
-        for folder, dirs, names in os.walk(part.folder, onerror=_fail):
+        lost: list[OSError] = []
+        for folder, dirs, names in os.walk(part.folder, onerror=lost.append):
             for name in names:
                 yield _entry(self.share, self.root, os.path.join(folder, name))
             if not part.deep:
                 dirs.clear()
-
-
-def _fail(error: OSError) -> None:
-    raise error  # a folder that cannot be listed must not look empty
+        for error in lost:  # a folder that cannot be listed must not look empty
+            rel = _name(os.path.relpath(error.filename, self.root).replace(os.sep, "/"))[0]
+            yield self.share, rel, None, None, f"stat:{type(error).__name__}: {error.strerror}"
 
 
 class TreeSource(DataSource):
@@ -123,14 +141,18 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def read_files(listing: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+def read_files(listing: DataFrame, root: str, tasks: int | None = None, *, max_bytes: int | None = policy.MAX_SCAN_BYTES,
+               allow: tuple[str, ...] = ()) -> DataFrame:
     """Listed files with their whole content, dealt out over ``tasks`` (default:
     ``spark.sql.shuffle.partitions``).
 
-    Oversize files are only read if their kind is scanned at that size. A file too large for
-    one value counts as unreadable, so it is withheld."""
+    Files above ``max_bytes`` (the run's ``max_scan_bytes``) are only read if their kind is scanned at any size or their path is in ``allow``. A file
+    too large for one value counts as unreadable, so it is withheld."""
     safe = suffix(basename(F.col("path"))).isin(policy.BINARY_SAFE_EXTS)
-    wanted = F.col("length").isNotNull() & ((F.col("length") <= policy.MAX_SCAN_BYTES) | safe)
+    wanted = F.col("length").isNotNull()
+    if max_bytes is not None:
+        small = (F.col("length") <= max_bytes) | safe
+        wanted &= small if not allow else small | F.col("path").isin(*allow)
     rows = listing.select("share_id", "path", "length", "modified", "read_error",
                           F.coalesce(wanted, F.lit(False)).alias("wanted"))
     tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -21,14 +21,14 @@ from sharegate.sources import sinks, tables, tree
 from sharegate.streaming.gate import gate_stream, route
 from tests import brute
 
-DOC = "# Guide\n\nContact help@acme.com or call 415-555-0199.\nMy card is 4111 1111 1111 1111 and SSN 123-45-6789.\n"
-CODE = "# @author jane.doe@acme.com\n# Copyright (c) 2026 Jane Doe <jane@acme.com>\nprint('hello')\n"
+DOC = "Lost and found\n\nMail desk@harbour.example, ring 604 555 0182\nor show 3782-8224-6310-005 with number 219-09-9999 at the desk.\n"
+CODE = "/* maintained by k.ito@harbour.example */\n/* (c) harbour, ops@harbour.example */\nreturn 0;\n"
 TEXTS = [DOC, CODE, DOC + CODE, "", "no data", "\U0001F600 a@b.co\r\nx 123-45-6789 maintainer: q@z.org 415 555 0199\x0by@z.org",
          "a@b.co,a@b.co;c@d.org\r\r\n(415)555-0199 +1 415.555.0199", "\n".join(f"u{i}@ex.org 123-45-{i:04}" for i in range(300)),
          " ".join(f"u{i}@ex.org" for i in range(500)), "4111-1111-1111-1111 411111111111111 4111111111111111 41111111111111111"]
 
 
-@pytest.mark.parametrize("allow, skip", [((), True), ((), False), (("a@b.co", "123-45-6789", "help@acme.com"), True)])
+@pytest.mark.parametrize("allow, skip", [((), True), ((), False), (("a@b.co", "123-45-6789", "desk@harbour.example"), True)])
 def test_pii_equals_python(spark, allow, skip):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
     flag = str(skip).lower()
@@ -42,15 +42,20 @@ def test_pii_equals_python(spark, allow, skip):
 def test_pii_rules_and_no_values(spark):
     df = spark.createDataFrame([(DOC,)], "t string")
     rows = pii_hits(df, "t").collect()
-    assert [r.rule for r in rows] == ["PII-EMAIL", "PII-PHONE", "PII-CC", "PII-SSN"] and "acme" not in str(rows)
+    assert [r.rule for r in rows] == ["PII-EMAIL", "PII-PHONE", "PII-CC", "PII-SSN"] and "harbour" not in str(rows)
     assert df.select(pii_rule("cast(NULL AS int)").alias("r")).first().r is None
 
 
-def test_blocks_equal_python(spark):
-    texts = ["x = 1  \n\ny\r\nz", "", "\n", "a\tb \x1f\n c  \n", "one\x0ctwo\x85three", "\n".join("abc " for _ in range(10050))]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for row in df.select("i", F.expr(render_block("'a/b.py'", "'.py'", "t")).alias("b")).collect():
-        assert row.b == brute.block("a/b.py", texts[row.i], "python")
+def test_blocks(spark):
+    want = {
+        "x = 1  \n\ny\r\nz": "   1 | x = 1\n   2 | \n   3 | y\n   4 | z", "": "", "\n": "   1 | ", "a\tb \x1f\n c  \n": "   1 | a\tb\n   2 |  c",
+        "one\x0ctwo\x85three": "   1 | one\n   2 | two\n   3 | three"}
+    df = spark.createDataFrame([(t,) for t in [*want, "abc \n" * 10050]], "t string")
+    got = {r.t: r.b for r in df.select("t", F.expr(render_block("'a/b.py'", "'.py'", "t")).alias("b")).collect()}
+    for text, body in want.items():
+        assert got[text] == "### a/b.py\n```python\n" + body + "\n```\n\n"
+    lines = got["abc \n" * 10050].split("\n")
+    assert lines[10050] == "10049 | abc" and lines[2] == "   1 | abc" and len(lines) == 10055
 
 
 @pytest.fixture
@@ -117,7 +122,7 @@ def test_pack_and_verify(spark, make_files, tmp_path):
     shards = {r.name: r for r in out["shards"].collect()}
     assert sorted(shards) == ["_MERGED/source_code_part01.txt", "_MERGED/source_code_part02.txt"]
     first = shards["_MERGED/source_code_part01.txt"]
-    assert first.text == brute.block("a.md", "hi\n", "markdown") + brute.block("b.py", "print(1)\n", "python")
+    assert first.text == "### a.md\n```markdown\n   1 | hi\n```\n\n### b.py\n```python\n   1 | print(1)\n```\n\n"
     assert first.sha256 == hashlib.sha256(first.text.encode()).hexdigest() and first.chars == len(first.text)
     assert "10.1.2.3" not in "".join(s.text for s in shards.values())
     assert {r.path for r in out["tracked_not_shipped"].collect()} == {"k.pem", "lost.c"}
@@ -179,7 +184,7 @@ def test_quick_scan(spark, make_files):
     hidden = "encoded SEC-CONT-AWS secret"
     assert got == {("a/id_rsa", "SEC-PATH-KEY"): "dangerous filename", ("a/id_rsa", "SEC-CONT-PRIVKEY"): "secret in content",
                    ("p.txt", "SEC-CONT-AWS"): "secret in content", ("b.txt", "SEC-CONT-ENCODED"): hidden, ("u.txt", "SEC-CONT-ENCODED"): hidden,
-                   ("h.txt", "SEC-CONT-ENCODED"): hidden, ("in.txt", "SEC-CONT-ENCODED"): hidden, ("bad.txt", "SEC-CONT-AWS"): "secret in content",
+                   ("h.txt", "SEC-CONT-ENCODED"): hidden, ("in.txt", "SEC-CONT-ENCODED"): hidden, ("out.txt", "SEC-CONT-ENCODED"): hidden, ("bad.txt", "SEC-CONT-AWS"): "secret in content",
                    ("x/.env", "SEC-PATH-ENV"): "dangerous filename", ("n.txt", "LOC-HOST"): "secret in content"}
     rows = {r.share_id: r for r in quick_verdict(texts, found).collect()}
     ids = ",".join(sorted(rule for _, rule in got))
