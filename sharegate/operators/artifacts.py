@@ -30,6 +30,24 @@ def content_hash(files: DataFrame) -> DataFrame:
     return ordered_sha256(files, "share_id", ["path"], line, "content_sha256")
 
 
+def content_hash_tree(files: DataFrame) -> DataFrame:
+    """(share_id, content_sha256): a hash of the same list that no single task has to read.
+
+    A file belongs to the leaf that the first four hexadecimal digits of its path's SHA-256 name. A leaf's hash is that of its
+    sorted lines, a branch's (two digits) that of its sorted leaf lines, a share's that of its branches. Leaves are fixed by
+    the path, so the value does not depend on partitions."""
+    digits = F.sha2("path", 256)
+    rows = files.select("share_id", F.substring(digits, 1, 2).alias("branch"), F.substring(digits, 1, 4).alias("leaf"),
+                        F.concat("path", F.lit("\u0000"), "sha256", F.lit("\n")).alias("line"))
+
+    def level(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias(out))
+
+    leaves = level(rows, ["share_id", "branch", "leaf"], "h").select("share_id", "branch", F.concat("leaf", F.lit(" "), "h", F.lit("\n")).alias("line"))
+    branches = level(leaves, ["share_id", "branch"], "h").select("share_id", F.concat("branch", F.lit(" "), "h", F.lit("\n")).alias("line"))
+    return level(branches, ["share_id"], "content_sha256")
+
+
 def manifest_header(result: Classified, *, generated_utc: str, source_root: str = "",
                     shards: DataFrame | None = None) -> DataFrame:
     """One row per share with counts, content hash and the policy that applied.

@@ -108,6 +108,26 @@ AUTHORS = (f"SELECT doc_id, source AS share_id, source || '/doc_' || cast(doc_id
            f"text || {pick('doc_id', 7, AUTHOR_SEEDS, chr(39) * 2)} AS text FROM documents")
 
 
+UNREADABLE = (f"SELECT doc_id, share_id, path, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS text FROM ({PLAIN})")
+# every text names a private address; shares are numbered by their names
+LOCAL_TEXTS = ("SELECT share_id, cast(substring(share_id, 4) AS int) AS share_no, path, text || ' printer at 192.168.77.5 ' AS text "
+               f"FROM ({PLAIN})")
+LONG = (f"SELECT share_id, path, CASE WHEN doc_id % 499 = 7 THEN text || repeat(' lorem ipsum', 360000) || ' AS' || 'IA' || repeat('7KQM', 4) || "
+        f"repeat(' dolor sit a', 360000) ELSE text END AS text FROM ({PLAIN})")
+AREAS = ("SELECT source AS share_id, 'area/a' || cast(doc_id % 3 AS varchar(20)) || '/b' || cast(doc_id % 5 AS varchar(20)) || '/doc_' || "
+         "cast(doc_id AS varchar(20)) || '.md' AS path, text FROM documents")
+
+
+def many_runs(b64: str, end: str) -> str:
+    """Every seventh document ends in a hidden token behind 300 harmless runs."""
+    noise = f"repeat({b64}'nothing to see in this plain text'{end} || ' ', 300)"
+    return ("SELECT doc_id, source AS share_id, source || '/doc_' || cast(doc_id AS varchar(20)) || '.md' AS path, CASE WHEN doc_id % 7 = 0 THEN "
+            f"text || ' ' || {noise} || {b64}'key AK' || 'IA' || repeat('Q', 16){end} ELSE text END AS text FROM documents")
+
+
+MANY_SPARK, MANY_DUCKDB = many_runs("base64(", ")"), many_runs("to_base64(encode(", "))")
+
+
 def quick_corpus(b64: str, hex_: str, end: str) -> str:
     seeds = {k: v.format(b64=b64, hex=hex_, end=end) for k, v in QUICK_SEEDS.items()}
     return (f"SELECT doc_id, source AS share_id, source || '/d' || cast(doc_id AS varchar(20)) || '/' || {_name('doc_id')} "

@@ -16,7 +16,8 @@ from sharegate.operators.personal_data import pii_counts, pii_hits
 from sharegate.operators.quick_scan import quick_scan, quick_verdict
 from sharegate.operators.structure import folder_summary, structural_filter
 from sharegate.plans import corpus as K
-from sharegate.policy import ShareSettings
+from sharegate.policy import ShareSettings, policy_fingerprint
+from sharegate.sources.tables import overrides_from_json, select_files
 from sharegate.session import ensure_checkpoint_dir, materialize, ship_package
 from sharegate.streaming.gate import gate_stream, route, rule_rollup
 
@@ -329,6 +330,100 @@ def stream_rule_rollup(spark, sf):
                .select((F.unix_timestamp("window_start") / 3600).cast("long").alias("conv_id"), "rule", "n")
 
 
+# -- what must stay withheld, settings, verification ----------------------------------
+
+def allow_unreadable(spark, sf):
+    """Everything is denied by name and the oldest document of each share allowed; every fifth document cannot be read."""
+    docs = K.load(spark, sf, K.UNREADABLE)
+    rows = docs.groupBy("share_id").agg(F.array(F.min("path")).alias("allow"), F.array(F.lit("*.md")).alias("deny_globs"))
+    return classify(files_from_texts(docs), TEXTS, overrides=rows).decision_map
+
+
+def override_settings(spark, sf):
+    """Settings as JSON by share: private, an unknown mode, broken JSON, and none."""
+    docs = K.load(spark, sf, K.LOCAL_TEXTS)
+    body = F.expr("CASE share_no % 4 WHEN 0 THEN '{\"share_mode\": \"private\", \"respect_gitignore\": false}' WHEN 1 THEN '{\"share_mode\": \"Public\"}' "
+                  "WHEN 2 THEN '{\"share_mode\": ' END")
+    settings = docs.select("share_id", "share_no").distinct().select("share_id", body.alias("json")).where("json IS NOT NULL")
+    result = classify(files_from_texts(docs), TEXTS, overrides=overrides_from_json(settings))
+    return result.decision_map
+
+
+def manifest_header_per_share(spark, sf):
+    docs = K.load(spark, sf, K.LOCAL_TEXTS)
+    rows = docs.where("share_no % 4 = 0").select("share_id", F.lit("private").alias("share_mode")).distinct()
+    header = artifacts.manifest_header(classify(files_from_texts(docs), TEXTS, overrides=rows).materialized(), generated_utc=NOW_UTC)
+    own = F.col("policy_sha256") != policy_fingerprint(TEXTS)
+    return header.select("share_id", "file_count", "excluded_count", "share_mode", own.alias("own_policy"))
+
+
+def long_texts(spark, sf):
+    """A credential in the middle of a text above the size limit for files is found."""
+    return classify(files_from_texts(K.load(spark, sf, K.LONG)), TEXTS).decision_map
+
+
+def reading_gates(spark, sf):
+    """Contents as bytes: text, NUL, image, missing, stat failure, Latin-1."""
+    docs = K.load(spark, sf, K.PLAIN).withColumn("k", F.col("doc_id") % 6)
+    key = F.lit("id " + "AK" + "IA" + "Z" * 16 + " ").cast("binary")
+    content = F.when(F.col("k") == 0, F.col("text").cast("binary")).when(F.col("k") == 1, F.concat(F.unhex(F.lit("00")), F.col("text").cast("binary"))) \
+               .when(F.col("k") == 2, F.concat(F.unhex(F.lit("89504E4700")), F.col("text").cast("binary"), key)) \
+               .when(F.col("k") == 5, F.concat(F.unhex(F.lit("636166E9")), key, F.col("text").cast("binary")))
+    files = docs.select("share_id", F.when(F.col("k") == 2, F.concat("path", F.lit(".png"))).otherwise(F.col("path")).alias("path"), content.alias("content"),
+                        F.octet_length(content).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"),
+                        F.when(F.col("k") == 4, F.lit("stat:OSError: gone")).alias("read_error"))
+    return classify(files, TEXTS).decision_map
+
+
+def focus_and_output(spark, sf):
+    """Focus folder, the run's own output and an excluded path that no directory rule also cuts."""
+    settings = ShareSettings(max_scan_bytes=None, focus="area/a1", output_prefix="area/a1/b2", exclude_paths=("area/a1/b3/",))
+    return classify(files_from_texts(K.load(spark, sf, K.AREAS)), settings).decisions.select("share_id", "path", "status", "prune_reason")
+
+
+def select_paths(spark, sf):
+    """Documents with a label as path list; an empty list falls through to all."""
+    files = _files(spark, sf, K.PLAIN)
+    labels = K.table(spark, sf, "labels").select("doc_id")
+    listed = K.load(spark, sf, K.PLAIN).join(labels, "doc_id", "left_semi").select("share_id", "path")
+    chosen, how = select_files(files, path_list=listed)
+    rest, fallen = select_files(files, path_list=listed.where("false"))
+    return chosen.select("share_id", "path", F.lit(how).alias("selection")).unionByName(rest.select("share_id", "path", F.lit(fallen).alias("selection")))
+
+
+def quick_many_runs(spark, sf):
+    """A secret behind 300 harmless base64 runs."""
+    return quick_scan(K.load(spark, sf, K.MANY_SPARK))
+
+
+def content_hash_tree(spark, sf):
+    docs = K.load(spark, sf, K.PLAIN)
+    return artifacts.content_hash_tree(docs.select("share_id", "path", F.sha2("text", 256).alias("sha256")))
+
+
+def _delivery(spark, sf):
+    """Recorded hashes, and those of a delivery in which toxic documents changed and share src1 is empty. Share src2 was empty from the start."""
+    docs = K.load(spark, sf, K.PLAIN)
+    toxic = K.table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("changed"))
+    listed = docs.where("share_id <> 'src2'").select("doc_id", "share_id", "path", F.sha2("text", 256).alias("sha256"))
+    sent = listed.join(toxic, "doc_id", "left").where("share_id <> 'src1'") \
+                 .withColumn("sha256", F.when(F.col("changed"), F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    shares = docs.select("share_id").distinct()
+    header = shares.join(artifacts.content_hash(listed), "share_id", "left") \
+                   .withColumn("content_sha256", F.coalesce("content_sha256", F.lit(artifacts.EMPTY_SHA256)))
+    return listed, sent, header
+
+
+def verify_hashes(spark, sf):
+    listed, sent, header = _delivery(spark, sf)
+    return audit.verify_hashes(header, artifacts.content_hash(sent))
+
+
+def verify_status(spark, sf):
+    listed, sent, header = _delivery(spark, sf)
+    return audit.share_status(audit.verify_objects(listed, sent), audit.verify_hashes(header, artifacts.content_hash(sent)))
+
+
 QUERIES = [
     content_exclusions_by_rule, content_first_hit, content_scan_pages, share_mode_diff, path_rule_decisions, decision_map,
     source_only_and_filters, gate_verdict, allow_override_log, per_share_overrides, ignore_decisions, pii_hits_by_doc,
@@ -337,6 +432,8 @@ QUERIES = [
     shipped_not_tracked, tracked_reason_buckets, verify_objects, triage_top_paths, triage_ext_histogram,
     shard_assignment, shard_manifest, retention_plan, retention_summary, ledger_rollup, quick_findings,
     quick_scan_verdict, quick_verdict_pages, structural_paths, folder_sums, structural_pages, stream_gate, stream_rule_rollup,
+    allow_unreadable, override_settings, manifest_header_per_share, long_texts, reading_gates, focus_and_output, select_paths, quick_many_runs,
+    content_hash_tree, verify_hashes, verify_status,
 ]
 
 
