@@ -13,7 +13,7 @@ import os
 import sys
 from array import array
 
-END_ID, CACHE_WORDS = 2, 600_000
+END_ID, CACHE_WORDS = 2, 300_000
 #: White space beside blank and line break, by Unicode or by Python's split.
 OTHER_SPACE = tuple(map(chr, [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
