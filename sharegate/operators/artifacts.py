@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharegate import policy
@@ -25,8 +27,9 @@ def manifest_files(included: DataFrame) -> DataFrame:
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    """(share_id, content_sha256) over the sorted (path, file hash) list of each share."""
-    line = F.concat("path", F.lit("\u0000"), "sha256", F.lit("\n"))
+    """(share_id, content_sha256) over the sorted (path, file hash) list of each share. A file without a hash is an error."""
+    sha = F.coalesce("sha256", F.raise_error(F.concat(F.lit("included file without a hash: "), "path")).cast("string"))
+    line = F.concat("path", F.lit("\u0000"), sha, F.lit("\n"))
     return ordered_sha256(files, "share_id", ["path"], line, "content_sha256")
 
 
@@ -172,18 +175,41 @@ def share_report(header: DataFrame, exclusions: DataFrame, settings: ShareSettin
     return fixed.unionByName(counts).unionByName(files)
 
 
+# -- names and times ---------------------------------------------------------------
+
+def generated_utc(epoch: int | str | None = None) -> str:
+    """The time that a run records: now, or a pinned number of seconds, so that a repeated run gives the same artifacts."""
+    at = dt.datetime.now(dt.timezone.utc) if epoch is None else dt.datetime.fromtimestamp(int(epoch), dt.timezone.utc)
+    return at.isoformat()
+
+
+def share_name(template: str = "{prefix}{stamp}_share_{mode}", prefix: str = "", suffix: str = ".zip") -> Column:
+    """Name of each share's archive from its header row. ``{stamp}`` is the time in UTC as yyyymmddThhmmssZ, ``{mode}`` the share
+    mode, ``{focus}`` the focus folder with underscores."""
+    stamp = F.date_format(F.to_timestamp("generated_utc"), "yyyyMMdd'T'HHmmss'Z'")
+    focus = F.btrim(F.replace(F.coalesce("focus", F.lit("")), F.lit("/"), F.lit("_")), F.lit("_"))
+    name = F.lit(template)
+    for mark, value in (("{prefix}", F.lit(prefix)), ("{stamp}", stamp), ("{mode}", F.col("share_mode")), ("{focus}", focus)):
+        name = F.replace(name, F.lit(mark), value)
+    return F.concat(name, F.lit(suffix))
+
+
 # -- ledger --------------------------------------------------------------------------
 
-def share_events(header: DataFrame, exclusions: DataFrame, *, archive: str = "", archive_bytes: int | None = None) -> DataFrame:
-    """One ``share`` event per share. The excluded paths themselves are the exclusion table
-    of the same share and time, not an array inside the event."""
+def share_events(header: DataFrame, exclusions: DataFrame, *, archive: str = "", archive_bytes: int | None = None,
+                 max_chars: int | None = None) -> DataFrame:
+    """One ``share`` event per share. The excluded paths and the overrides are the exclusion and override tables of the same
+    share and time, not arrays inside the event."""
+    for name in ("shard_count", "raw_files_included"):
+        if name not in header.columns:
+            header = header.withColumn(name, F.lit(None).cast("long" if name == "shard_count" else "boolean"))
     return (header.join(audit.rule_tally(exclusions), "share_id", "left")
             .select(F.lit("share").alias("event"), F.col("generated_utc").alias("timestamp_utc"), "share_id",
                     F.lit(archive).alias("archive"), F.lit(archive_bytes).cast("long").alias("archive_bytes"),
                     "content_sha256", "share_mode", "policy_version", "policy_sha256", "source_root", "focus",
                     "selection", F.col("file_count").alias("included_count"), F.col("total_bytes").alias("included_bytes"),
-                    "excluded_count",
-                    F.coalesce("excluded_by_rule", F.expr("cast(map() AS map<string,bigint>)")).alias("excluded_by_rule")))
+                    "excluded_count", F.col("shard_count").alias("merged_shards"), F.lit(max_chars).cast("long").alias("merged_max_chars"),
+                    "raw_files_included", F.coalesce("excluded_by_rule", F.expr("cast(map() AS map<string,bigint>)")).alias("excluded_by_rule")))
 
 
 def ledger_rollup(ledger: DataFrame, bucket: str = "day") -> DataFrame:
@@ -219,5 +245,5 @@ def pack(files: DataFrame, result: Classified, *, generated_utc: str, source_roo
         "exclusions": result.exclusions, "pruned": result.pruned, "overrides": result.override_log,
         "checksums": checksum_lines(manifest_files(result.included), shards),
         "report": share_report(header, result.exclusions, settings),
-        "events": share_events(header, result.exclusions),
+        "events": share_events(header, result.exclusions, max_chars=settings.max_chars if merge else None),
     }

@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FILES_PER_SHARE = 32
+
+
+def by_share(df: DataFrame) -> DataFrame:
+    """Rows of a share in at most FILES_PER_SHARE tasks, instead of a file of every share from every task."""
+    key = "path" if "path" in df.columns else df.columns[0]
+    return df.repartition("share_id", F.pmod(F.xxhash64(key), F.lit(FILES_PER_SHARE)))
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
     """Each result table as Parquet under ``folder``, cut by share."""
     for name, df in tables.items():
         writer = df.write.mode(mode)
         if "share_id" in df.columns:
-            writer = writer.partitionBy("share_id")
+            writer = by_share(df).write.mode(mode).partitionBy("share_id")
         writer.parquet(f"{folder}/{name}")
 
 

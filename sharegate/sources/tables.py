@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharegate.functions.paths import is_source_name, basename
 from sharegate.operators.classify import EXPLICIT, WALK
 from sharegate.operators.settings import OVERRIDES_SCHEMA, complete_overrides
+from sharegate.policy import ShareSettings
 
 PATH_LIST = "path list"
 
@@ -17,11 +20,16 @@ def texts_from(df: DataFrame, share_id: Column, path: Column, text: Column) -> D
     return df.select(share_id.alias("share_id"), path.alias("path"), text.alias("text"))
 
 
-def read_path_list(spark: SparkSession, location: str, share_id: str = "") -> DataFrame:
-    """A path list written by the structural pass: blanks and directory lines are skipped."""
+def read_path_list(spark: SparkSession, location: str, share_id: str = "", root: str | None = None) -> DataFrame:
+    """A path list written by the structural pass: blanks and directory lines are skipped. Absolute lines below
+    ``root`` become relative to it."""
     lines = spark.read.text(location).select(F.btrim("value", F.lit(" \t\r")).alias("path"))
+    relative = F.regexp_replace("path", r"^\./", "")
+    if root is not None:
+        top = root.rstrip("/") + "/"
+        relative = F.when(F.startswith("path", F.lit(top)), F.expr(f"substring(path, {len(top) + 1})")).otherwise(relative)
     return (lines.where((F.col("path") != "") & ~F.endswith("path", F.lit("/")))
-                 .select(F.lit(share_id).alias("share_id"), F.regexp_replace("path", r"^\./", "").alias("path")).distinct())
+                 .select(F.lit(share_id).alias("share_id"), relative.alias("path")).distinct())
 
 
 def select_files(files: DataFrame, *, explicit: DataFrame | None = None, path_list: DataFrame | None = None) -> tuple[DataFrame, str]:
@@ -61,5 +69,11 @@ def structural_config(df: DataFrame, body: str = "json") -> dict[str, list[str]]
             for k in ("exclude_dirs", "exclude_exts", "exclude_filenames")}
 
 
+def with_structural_config(settings: ShareSettings, config: dict[str, list[str]]) -> ShareSettings:
+    """The run's settings with the shared structural names added; pass the same config to ``structural_filter``."""
+    more = {"exclude_folders": "exclude_dirs", "exclude_exts": "exclude_exts", "exclude_names": "exclude_filenames"}
+    return replace(settings, **{field: tuple(dict.fromkeys([*getattr(settings, field), *config[kind]])) for field, kind in more.items()})
+
+
 def source_files(files: DataFrame) -> DataFrame:
     return files.where(is_source_name(basename(F.col("path"))))

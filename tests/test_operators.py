@@ -240,3 +240,43 @@ def test_stream_equals_batch_and_replay(spark, make_files, tmp_path):
     assert got == {r.path for r in batch.where("status = 'included'").collect()} == {"m0", "m4"}
     held = {r.path: r.rule for r in spark.read.parquet(f"{tmp_path}/held").collect()}
     assert held == {"m1": "LOC-RFC1918", "m2": "SEC-CONT-AWSKEY", "m3": "OPS-UNREADABLE"}
+
+
+def test_names_times_and_events(spark):
+    assert artifacts.generated_utc("86400") == "1970-01-02T00:00:00+00:00"
+    row = ("s", artifacts.generated_utc(86400), "private", "a/b/")
+    df = spark.createDataFrame([row], "share_id string, generated_utc string, share_mode string, focus string")
+    got = df.select(artifacts.share_name(prefix="x-").alias("a"), artifacts.share_name("{mode}_{focus}", suffix="").alias("b")).first()
+    assert (got.a, got.b) == ("x-19700102T000000Z_share_private.zip", "private_a_b")
+
+
+def test_content_hash_refuses_missing_hashes(spark):
+    df = spark.createDataFrame([("s", "a", None)], "share_id string, path string, sha256 string")
+    with pytest.raises(Exception, match="without a hash: a"):
+        artifacts.content_hash(df).collect()
+
+
+def test_empty_share_verifies(spark):
+    header = spark.createDataFrame([("s", artifacts.EMPTY_SHA256), ("t", "other")], "share_id string, content_sha256 string")
+    got = audit.verify_hashes(header, header.where("false")).collect()
+    assert {(r.share_id, r.result) for r in got} == {("s", "MATCH"), ("t", "MISMATCH")}
+
+
+def test_shared_structural_config(spark):
+    config = tables.structural_config(spark.createDataFrame([('{"exclude_dirs": ["Old"], "exclude_exts": [".TMP"]}',)], "json string"))
+    settings = tables.with_structural_config(ShareSettings(exclude_exts=(".x",)), config)
+    assert (settings.exclude_folders, settings.exclude_exts, settings.exclude_names) == (("old",), (".x", ".tmp"), ())
+
+
+def test_path_list_with_absolute_lines(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("/data/top/a/b.md\n./c.md\n\nd/\n")
+    got = {r.path for r in tables.read_path_list(spark, str(tmp_path / "list.txt"), root="/data/top").collect()}
+    assert got == {"a/b.md", "c.md"}
+
+
+def test_tree_reports_odd_names(spark, tmp_path):
+    (tmp_path / "ok.txt").write_text("x")
+    with open(os.fsencode(str(tmp_path)) + b"/bad\xff.txt", "wb") as fh:
+        fh.write(b"x")
+    got = {r.path: r.read_error for r in tree.list_tree(spark, str(tmp_path)).collect()}
+    assert got == {"ok.txt": None, "bad\\xff.txt": "stat:name is not UTF-8"}
