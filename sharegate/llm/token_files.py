@@ -26,7 +26,7 @@ from sharegate.llm.common import piece_of, quoted, range_bounds, size_estimate
 
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-BLOCK_IDS, CHUNK_IDS, PART_BYTES, MOST_PARTS = 4096, 1 << 18, 16 << 20, 20_000
+BLOCK_IDS, CHUNK_IDS, PART_BYTES, MOST_PARTS = 4096, 1 << 18, 4 << 20, 20_000
 _U = np.uint64
 _COUNT = np.array(COUNTS, np.int64)
 _COUNT[0] = 1
