@@ -30,7 +30,7 @@ from sharegate.llm.common import piece_of, quoted, range_bounds, size_estimate,
 
 SAMPLES, PERIOD, CLASSES = 128, 4096, 64
 CELLS = 1 << 23  # padded characters that walk together
-PART_BYTES, MOST_PARTS, CHUNK_CHARS = 16 << 20, 20_000, 6_000_000
+PART_BYTES, MOST_PARTS, CHUNK_CHARS = 4 << 20, 20_000, 4_000_000
 FIRST_ID = -(1 << 63)
 
 
