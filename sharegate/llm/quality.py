@@ -109,4 +109,6 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the columns they came with."""
     rows = df.select(F.struct("*").alias("row"), F.col(quoted(text)).alias("text"))
-    return judge(rows, "text", rules).where("kept").select("row.*")
+    # the generator keeps the filter above it: pushed below, it would repeat every measure for each rule that reads it
+    judged = judge(rows, "text", rules).select("row", F.explode(F.array(F.struct("kept"))).alias("k"))
+    return judged.where("k.kept").select("row.*")
