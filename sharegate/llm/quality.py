@@ -102,13 +102,13 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     """The input with its measures, ``base_failed``, ``failed`` (names of the rules it breaks) and ``kept``."""
     m = measured(df.drop("base_failed", "failed", "kept"), text)
     broken = F.array(*(F.when(~verdict(r), F.lit(r.name)) for r in rules)) if rules else F.array().cast("array<string>")
-    return m.withColumns({"base_failed": base_failed(), "failed": F.array_compact(broken)}) \
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    judged = m.withColumns({"base_failed": base_failed(), "failed": F.array_compact(broken)}) \
+              .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    # the generator keeps later filters above it: pushed below, one would repeat every measure for each rule that reads it
+    return judged.select(F.explode(F.array(F.struct("*"))).alias("_judged")).select("_judged.*")
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with the columns they came with."""
     rows = df.select(F.struct("*").alias("row"), F.col(quoted(text)).alias("text"))
-    # the generator keeps the filter above it: pushed below, it would repeat every measure for each rule that reads it
-    judged = judge(rows, "text", rules).select("row", F.explode(F.array(F.struct("kept"))).alias("k"))
-    return judged.where("k.kept").select("row.*")
+    return judge(rows, "text", rules).where("kept").select("row.*")
