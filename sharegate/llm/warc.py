@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharegate.llm.common import quoted, size_estimate, stored, text_of
+from sharegate.llm.common import quoted, stored, text_of
 from sharegate.operators.joins import lookup_join
 
 MIN_REVISIT, ARCHIVE_BYTES, BLOCK_LINES, PART_LINES, MOST_PARTS = 100, 16 << 20, 256, 50_000, 2_000
@@ -82,9 +82,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.when(revisit, F.concat(head("WARC-Refers-To", urn(F.col("_first"))), head("X-Refers-To-Page", F.coalesce(F.col("_first").cast("string"), F.lit(""))),
                                  head("WARC-Profile", REVISIT_PROFILE))).otherwise(F.lit("")),
         head("Content-Type", "application/http; msgtype=response"), head("Content-Length", F.octet_length(block).cast("string")), F.lit(BREAK), block)
-    archives = size_estimate(rows, "html", ARCHIVE_BYTES)
-    placed = rows.select(F.xxhash64("page_id", "digest", "url").alias("_h"), record.alias("value")).repartition(archives, "_h").select("value")
-    placed.write.option("lineSep", END).text(path)
+    # each task writes the pages it has read, without a shuffle, in archives of about ARCHIVE_BYTES
+    size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(quoted(html)).cast("string")))).first()
+    most = max(1, ARCHIVE_BYTES * size[0] // max(1, size[1] or 0))
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 def _headers(raw: bytes) -> dict[str, str]:
