@@ -185,6 +185,32 @@ def test_near_duplicates_in_crowds(make_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_in_a_template_crowd(make_docs):
+    """Texts of one template at 0.67 to each other, and planted pairs at 0.8 to 0.85 among them."""
+    rng = random.Random(4)
+    template, fresh = [f"t{i}" for i in range(200)], iter(range(10**9))
+    own = lambda n: [f"o{next(fresh)}" for _ in range(n)]
+    rows = [(i, " ".join(template + own(50)), "a") for i in range(3000)]
+    for k in range(12):
+        shared = own(20 + 2 * k)
+        rows += [(5000 + 2 * k + j, " ".join(template + shared + own(26)), "a") for j in range(2)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(make_docs(rows)).collect()}
+    assert got == {i: 5000 + (i - 5000) // 2 * 2 if i >= 5000 else i for i, _, _ in rows}
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    rng = random.Random(6)
+    sets = []
+    for _ in range(150):
+        base = sets[rng.randrange(len(sets))] if sets and rng.random() < 0.8 else set(range(rng.randrange(40)))
+        sets.append({x for x in base if rng.random() < 0.93} | {rng.randrange(400) for _ in range(rng.randrange(1, 5))})
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    df = spark.createDataFrame([(i, i, sorted(s)) for i, s in enumerate(sets)], "nid long, label long, s array<bigint>")
+    got = {(r.a, r.b) for r in dartminhash.prefix_pairs(df).collect()}
+    assert want and want <= got
+
+
 def test_near_duplicates_edges(edge_docs):
     rows = dartminhash.near_duplicates(edge_docs).collect()
     assert len(rows) == edge_docs.count()
