@@ -120,6 +120,18 @@ def test_evolution_finds_what_decreasing_best_fit_misses():
     assert len(found) <= down
 
 
+def test_production_parameters_beat_decreasing_best_fit():
+    rng = random.Random(1)
+    sizes = [rng.randrange(200, 600) for _ in range(2000)]
+    down = len(packing.best_fit([], [], sorted(range(2000), key=lambda i: -sizes[i]), sizes, 1024)[0])
+    people = [[] for _ in range(packing.ISLANDS)]
+    for epoch in range(packing.EPOCHS):
+        if epoch:
+            people = [list(dict.fromkeys(p + people[k - 1][:1])) for k, p in enumerate(people)]
+        people = [packing.evolve(sizes, p, 1024, f"s/{k}/{epoch}") for k, p in enumerate(people)]
+    assert down == 801 and min(len(packing._bins(p[0])) for p in people) <= 799  # 800 with 2 islands, 3 generations, population 3
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 100) for _ in range(300)]
