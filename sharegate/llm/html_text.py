@@ -42,6 +42,8 @@ ARTICLE = frozenset("article main content entry post story articlebody body text
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3
 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
 CONTAINERS = frozenset("html body div section article main td center blockquote figure details table tbody tr ul ol dl".split())
+#: Containers that are a part of the text around them.
+INNER = frozenset("blockquote figure details table tbody tr td ul ol dl".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the value ends where the key begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,6 +62,7 @@ class Page:
     def __init__(self, source: str):
         self.nodes, self.blocks = [(-1, "", 0, False, False)], []
         self.parts, self.links = [], 0
+        self.headed = set()  # containers with an h1
         stack = [("", 0)]  # element name, node
         in_link, at = 0, 0
         for m in _TOKEN.finditer(source):
@@ -109,6 +112,11 @@ class Page:
                 dropped = parent[3] or name in DROPPED or marked and name not in ("html", "body")
                 self.nodes.append((node, path, parent[2] + 1, dropped, name in ("article", "main") or article and name in ("div", "section", "td")))
                 node = len(self.nodes) - 1
+            if name == "h1":
+                up = node
+                while up >= 0 and up not in self.headed:
+                    self.headed.add(up)
+                    up = self.nodes[up][0]
             stack.append((name, node))
         if at < len(source):
             self._text(source[at:], in_link)
@@ -148,9 +156,33 @@ class Page:
         for k in range(len(self.nodes) - 1, 0, -1):  # parents come before their children
             own[self.nodes[k][0]] += own[k]
         score = [t * 1.25 ** min(n[2], 50) * (2 if n[4] else 1) for t, n in zip(own, self.nodes, strict=True)]
-        best = max(range(len(score)), key=score.__getitem__)
+        best = self._climbed(max(range(len(score)), key=score.__getitem__), own)
         return best, own[best]
 
+    def _climbed(self, best: int, own: list[float]) -> int:
+        """The outermost container around the best one whose further text belongs to it: its outermost article (or main) element,
+        then containers that add mostly text of their own, parts of the same kind as the one below, or a part with the page's heading."""
+        chain = [best]
+        while self.nodes[chain[-1]][0] >= 0:
+            chain.append(self.nodes[chain[-1]][0])
+        names = [self.nodes[k][1].rpartition("/")[2].partition(".")[0] for k in chain]
+        at = next((len(chain) - 1 - names[::-1].index(x) for x in ("article", "main") if x in names), 0)
+        children: dict[int, list[int]] = {}
+        for k, n in enumerate(self.nodes):
+            if not n[3]:
+                children.setdefault(n[0], []).append(k)
+        chosen, belongs = chain[at], 0.0
+        for below, k, name in zip(chain[at:], chain[at + 1:], names[at + 1:]):
+            belongs += own[k] - sum(own[c] for c in children.get(k, ()))  # blocks of its own
+            for c in children.get(k, ()):
+                kind = self.nodes[c][1].rpartition("/")[2]
+                if c != below and (self.nodes[c][1] == self.nodes[below][1] or kind.partition(".")[0] in INNER or c in self.headed and name not in ("body", "html", "")):
+                    belongs += own[c]
+            more = own[k] - own[chosen]
+            if more > 0 and 2 * belongs >= more:
+                chosen, belongs = k, 0.0
+        return chosen
+
     def text(self, path: str | None) -> str:
         roots = {k for k, n in enumerate(self.nodes) if n[1] == path and not n[3]} if path is not None else set()
         if not roots:

@@ -25,6 +25,16 @@ def test_page_text():
     assert html_text.Page("<div>" * 3000 + "deep").text(None) == "deep"
 
 
+def test_titles_leads_and_parts_beside_the_best_container_stay():
+    of = lambda n: " ".join(["text"] * n)
+    page = lambda x: html_text.Page(f"<html><body><div class='teaser'><p>{of(5)} out</p></div>{x}</body></html>").text(None)
+    assert page(f"<article><h1>title</h1><p>lead</p><div class='body'><p>{of(85)}</p></div></article>") == f"title\nlead\n{of(85)}"
+    assert page(f"<div id='wrap'><p>{of(55)}</p><div class='text'>{of(45)}</div></div>") == f"{of(55)}\n{of(45)}"
+    assert page(f"<div id='a'><div><h1>title</h1></div><div class='b'><div class='story'>{of(90)}</div></div></div>") == f"title\n{of(90)}"
+    assert page(f"<div id='a'><section><p>{of(9)}</p></section><section><p>{of(90)}</p></section></div>") == f"{of(9)}\n{of(90)}"
+    assert page(f"<div id='a'><blockquote>said</blockquote><div class='text'>{of(90)}</div></div>") == f"said\n{of(90)}"
+
+
 def test_host_consensus_beats_an_odd_page(spark):
     body = lambda art, other: f"<html><body><div class='txt'>{art}</div><div class='teaser{len(art) % 7}'>{other}</div></body></html>"
     rows = [(i, f"http://h.example/{i}", body("<p>" + "long article text " * 20 + f"{i}</p>", "<p>next</p>"), "x") for i in range(5)]
