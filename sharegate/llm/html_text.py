@@ -7,7 +7,7 @@
 3. Every page is read again and gives the blocks below its host's winning path, or below its own best container if it
    has none there.
 
-Boilerplate (``DROPPED`` elements, and containers with a word of ``MARKED`` in class, id or role) is left out in any case.
+Boilerplate (``DROPPED`` elements, and containers with a word of ``MARKED`` in class, id or role, see ``Page._spare``) is left out in any case.
 Inside a block, runs of white space are one space; a line break element is white space. Blocks are joined by one line feed.
 
 Defined results: a null or empty html gives an empty text; a null url belongs to the host ''; repeated pages vote once
@@ -36,6 +36,8 @@ MARKED = frozenset("""ad ads adv advert adverts advertisement advertising sponso
 notices popup modal overlay sidebar sidebars widget widgets related recommended recommendations share sharing social newsletter
 subscribe subscription signup breadcrumb breadcrumbs menu menus nav navbar navigation footer header masthead comment comments disqus
 replies respond pagination pager toolbar login search skip complementary contentinfo alert""".split())
+#: Words of class or id that turn a marked word into a word about the layout.
+MODIFIERS = frozenset("has have no not with without is open opened closed on off enabled disabled".split())
 #: Words of class, id or role that mark an article.
 ARTICLE = frozenset("article main content entry post story articlebody body text".split())
 #: Elements that begin and end a block.
@@ -51,7 +53,7 @@ STOPS = frozenset("ul ol dl table select body html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPLIT = re.compile(r"[^a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -62,6 +64,7 @@ class Page:
     def __init__(self, source: str):
         self.nodes, self.blocks = [(-1, "", 0, False, False)], []
         self.parts, self.links = [], 0
+        self.marks: dict[int, int] = {}  # containers with a marked name, and how surely it means boilerplate
         self.headed = set()  # containers with an h1
         stack = [("", 0)]  # element name, node
         in_link, at = 0, 0
@@ -109,7 +112,9 @@ class Page:
             if name in CONTAINERS or name in DROPPED or marked:
                 parent = self.nodes[node]
                 path = f"{parent[1]}/{name}" + "".join(f".{c}" for c in classes)
-                dropped = parent[3] or name in DROPPED or marked and name not in ("html", "body")
+                dropped = parent[3] or name in DROPPED
+                if marked and name not in ("html", "body") and (marked == 3 or name not in ("article", "main")):
+                    self.marks[len(self.nodes)] = marked
                 self.nodes.append((node, path, parent[2] + 1, dropped, name in ("article", "main") or article and name in ("div", "section", "td")))
                 node = len(self.nodes) - 1
             if name == "h1":
@@ -121,19 +126,41 @@ class Page:
         if at < len(source):
             self._text(source[at:], in_link)
         self._end(stack[-1][1])
+        self._spare()
 
     @staticmethod
-    def _marks(attributes: str) -> tuple[bool, bool, list[str]]:
-        """Whether boilerplate, whether article-like, and the generalised class names."""
-        words, classes = set(), []
+    def _marks(attributes: str) -> tuple[int, bool, list[str]]:
+        """How surely boilerplate (0 no, 1 a name ends with or holds a marked word, 2 a name begins with one, 3 by its role), whether
+        article-like, and the generalised class names. A name with a modifier tells of the layout, not of the container."""
+        mark, article, classes = 0, False, []
         for m in _ATTRIBUTE.finditer(attributes or ""):
             kind, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if kind == "hidden":
+            if kind not in ("class", "id", "role"):
                 continue
-            words.update(x for x in _SPLIT.split(_HUMP.sub("-", value).lower()) if x)
+            for name in value.split():
+                words = [x for x in _SPLIT.split(_HUMP.sub("-", name).lower()) if x]
+                article |= not ARTICLE.isdisjoint(words)
+                if not MARKED.isdisjoint(words) and MODIFIERS.isdisjoint(words):
+                    mark = max(mark, 3 if kind == "role" else 2 if words[0] in MARKED else 1)
             if kind == "class":
                 classes += [x for x in dict.fromkeys(re.sub(r"\d+", "", value.lower()).split()) if x]
-        return not words.isdisjoint(MARKED), not words.isdisjoint(ARTICLE), sorted(classes)
+        return mark, article, sorted(classes)
+
+    def _spare(self) -> None:
+        """Settle ``dropped`` of the marked containers: articles, and those that hold most of the page's unlinked text (nearly all of it, if
+        their name begins with a marked word), are not dropped for a name."""
+        if not self.marks:
+            return
+        held = [0] * len(self.nodes)
+        for node, text, links in self.blocks:
+            if not self.nodes[node][3] and 2 * links <= len(text):
+                held[node] += len(text) - links
+        for k in range(len(self.nodes) - 1, 0, -1):
+            held[self.nodes[k][0]] += held[k]
+        for k, (parent, path, depth, dropped, doubled) in enumerate(self.nodes):
+            mark = self.marks.get(k, 0)
+            out = mark == 3 or mark == 2 and 10 * held[k] <= 9 * held[0] or mark == 1 and 2 * held[k] <= held[0]
+            self.nodes[k] = (parent, path, depth, dropped or out or parent >= 0 and self.nodes[parent][3], doubled)
 
     def _text(self, raw: str, in_link: int) -> None:
         text = entities.unescape(raw) if "&" in raw else raw

@@ -35,6 +35,17 @@ def test_titles_leads_and_parts_beside_the_best_container_stay():
     assert page(f"<div id='a'><blockquote>said</blockquote><div class='text'>{of(90)}</div></div>") == f"said\n{of(90)}"
 
 
+def test_layout_words_do_not_drop_the_article():
+    story = "<p>" + "a long story " * 20 + "</p>"
+    for tag in ("main class='content has-sidebar'", "div class='content no-sidebar'", "article class='post comments-open'", "article class='post category-social'",
+                "div class='page-with-header'", "article data-role='share'", "div data-id='banner'", "div class='page layout-social'", "div class='banner-page'"):
+        name = tag.split()[0]
+        page = html_text.Page(f"<body><div class='sidebar'><p>side</p></div><{tag}>{story}<div class='share-box'>share</div></{name}></body>")
+        assert page.text(None) == ("a long story " * 20).strip(), tag
+    page = html_text.Page(f"<body><div class='post'>{story}</div><div id='comments'>{story}{story}</div><div role='complementary'>{story * 9}</div></body>")
+    assert page.text(None) == ("a long story " * 20).strip()
+
+
 def test_host_consensus_beats_an_odd_page(spark):
     body = lambda art, other: f"<html><body><div class='txt'>{art}</div><div class='teaser{len(art) % 7}'>{other}</div></body></html>"
     rows = [(i, f"http://h.example/{i}", body("<p>" + "long article text " * 20 + f"{i}</p>", "<p>next</p>"), "x") for i in range(5)]
