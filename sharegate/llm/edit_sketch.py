@@ -9,7 +9,7 @@ likely. The likeness of two fingerprints is the share of equal samples.
 
 The random bits repeat after ``PERIOD`` steps and treat characters of one of ``CLASSES`` classes alike.
 
-``with_next_edit`` orders documents by id over range pieces and gives each its next one; ``near_classes`` bands and verifies.
+``with_next_edit`` orders documents by id over range pieces and gives each its next one; ``near_classes`` and ``with_classes`` band and verify.
 
 Defined results: a null text is empty; an empty text has the fingerprint of zeros, like only another empty text; equal texts have equal
 fingerprints; rows with equal ids are ordered by text; a null id comes first; an empty table gives an empty one. Texts
@@ -19,6 +19,7 @@ of any length are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -170,21 +171,54 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, docs.withColumn("fingerprint", F.lit(None).cast("binary")).schema)
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, likeness: float = 0.8, bands: int = 16) -> DataFrame:
-    """(doc_id, class_id): connected classes of fingerprints with the likeness, the class id being the smallest id.
-
-    Bands of SAMPLES / bands samples find candidates; equal fingerprints are one node; members of a bucket are verified
-    over all samples against a centre, another in each band."""
-    width = SAMPLES // bands
-    rows = stored(fingerprinted(docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), text_of(text).alias("text")))
-                  .select("doc_id", F.col("fingerprint").alias("node")))
-    nodes = rows.select("node").distinct()
-    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("node", b * width + 1, F.lit(width))))
-    in_bands = nodes.select(F.col("node").alias("nid"), F.explode(cut).alias("bucket"))
-    pairs = dartminhash.star_pairs(in_bands, "bucket", F.xxhash64("nid", "bucket"))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring("a", k + 1, F.lit(1)) == F.substring("b", k + 1, F.lit(1))))
-    links = stored(pairs.where(same >= likeness * SAMPLES))
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, likeness: float = 0.8) -> DataFrame:
+    """(doc_id, class_id): connected classes of fingerprints with the likeness, the class id being the smallest id."""
+    rows = stored(fingerprinted(docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), text_of(text).alias("text"))).select("doc_id", "fingerprint"))
+    return rows.join(print_classes(rows, likeness=likeness), "fingerprint").select("doc_id", "class_id")
+
+
+def with_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
+    """The rows of ``with_next_edit`` with ``class_id`` as in ``near_classes``."""
+    rows = stored(rows)
+    prints = rows.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    found = print_classes(prints, likeness=likeness).select(F.lower(F.hex("fingerprint")).alias("fingerprint"), "class_id")
+    return rows.join(found, "fingerprint").select(*rows.columns, "class_id")
+
+
+def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
+    """(fingerprint, class_id) of each fingerprint of (doc_id, fingerprint).
+
+    Fingerprints with the likeness differ in at most SAMPLES * (1 - likeness) samples, so that one of one more bands than that is equal
+    in both: no pair is missed. Equal fingerprints are one node. Members of a bucket are verified over all samples against a
+    centre, another in each band; then all pairs of other classes in a bucket are."""
+    bands = min(SAMPLES, SAMPLES - math.ceil(likeness * SAMPLES) + 1)
+    nodes = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("nid", F.monotonically_increasing_id()))  # written once, so it stays
+    edges = [b * SAMPLES // bands for b in range(bands + 1)]
+    cut = F.array(*(F.xxhash64(F.lit(b), F.substring("fingerprint", x + 1, y - x)) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False))))
+    in_bands = nodes.select("nid", F.explode(cut).alias("bucket"))
+    company = stored(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    members = stored(in_bands.join(company, "bucket"))
+
+    def alike(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES) for c in ("fa", "fb"))
+            same = pa.array((a == b).sum(axis=1) >= likeness * SAMPLES)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(same)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("nid").alias(c), F.col("fingerprint").alias(f"f{c}")), c)
+        return pairs.select("a", "b", "fa", "fb").mapInArrow(alike, "a long, b long")
+
+    pairs = stored(dartminhash.star_pairs(members, "bucket", F.xxhash64("nid", "bucket")))
+    links = stored(verified(pairs))
+    label = dartminhash.components(links)
+    labelled = stored(members.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label")))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
+    open_ = stored(labelled.join(mixed, "bucket"))
+    more = open_.select("bucket", F.col("nid").alias("a"), F.col("label").alias("la")) \
+                .join(open_.select("bucket", F.col("nid").alias("b"), F.col("label").alias("lb")), "bucket").where("a < b AND la <> lb").select("a", "b").distinct()
+    links = links.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti")))
     label = dartminhash.components(links)
-    named = rows.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(first, "label").select("doc_id", "class_id")
+    named = stored(nodes.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("fingerprint", "doc_id", F.coalesce("label", "nid").alias("label")))
+    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("fingerprint", "class_id")

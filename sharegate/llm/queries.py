@@ -31,7 +31,7 @@ def op4_quality_rules(spark, sf):
 
 
 def op5_edit_fingerprints(spark, sf):
-    return edit_sketch.with_next_edit(table(spark, sf, "documents").select("doc_id", "text"))
+    return edit_sketch.with_classes(edit_sketch.with_next_edit(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def op6_near_duplicates(spark, sf):

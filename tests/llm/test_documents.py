@@ -302,3 +302,39 @@ def test_fingerprint_edges(edge_docs):
     for r in edit_sketch.near_classes(edge_docs.where("doc_id IS NOT NULL")).collect():
         classes[r.class_id].add(r.doc_id)
     assert {1, 2} <= classes[1] and 7 not in classes[1]
+
+
+def _print_classes(rows):
+    """Smallest id of each connected class of all pairs of fingerprints."""
+    prints = np.stack([p for _, p in rows])
+    near, label = [(prints == p).mean(axis=1) >= 0.8 for p in prints], list(range(len(rows)))
+    while True:
+        now = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+        if now == label:
+            return {i: min(rows[j][0] for j in range(len(rows)) if label[j] == label[k]) for k, (i, _) in enumerate(rows)}
+        label = now
+
+
+def test_classes_of_fingerprints_equal_all_pairs(spark):
+    """A crowd around one fingerprint, and pairs among it that differ in 25 samples."""
+    rng = np.random.default_rng(8)
+    base, prints = rng.integers(0, 256, 128).astype(np.uint8), []
+
+    def changed(p, n):
+        p, at = p.copy(), rng.choice(128, n, replace=False)
+        p[at] ^= rng.integers(1, 256, n).astype(np.uint8)
+        return p
+
+    for k in range(300):
+        prints.append(changed(base, 35))
+        if k % 6 == 0:
+            prints.append(changed(prints[-1], 25))
+    rows = list(enumerate(prints))
+    df = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in rows], "doc_id long, fingerprint binary")
+    by = {bytes(r.fingerprint): r.class_id for r in edit_sketch.print_classes(df).collect()}
+    assert {i: by[p.tobytes()] for i, p in rows} == _print_classes(rows)
+
+
+def test_fingerprint_query_has_classes(spark):
+    rows = queries.op5_edit_fingerprints(spark, SF).collect()
+    assert {r.doc_id: r.class_id for r in rows} == _print_classes([(r.doc_id, np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8)) for r in rows])
