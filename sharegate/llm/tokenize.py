@@ -79,13 +79,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.end = Words(self.tokenizer), _bytes_of([END_ID])
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a text and the end id, as bytes; a null text is empty."""
         if not text:
             return self.end
+        if any(x in text for x in self.added):  # one id each, whatever is around them
+            return _bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS) or any(x in text for x in OTHER_SPACE):
             return self.words.encode(text) + self.end
         first, *rest = text.replace("\n", " \n").split(" ")

@@ -35,6 +35,14 @@ def test_word_cache_is_exact(text):
         assert encoder.ids(text) == ids_of(text).tobytes()
 
 
+def test_added_tokens_in_a_text_keep_their_ids():
+    encoder = tokenize.Encoder(tokenize.default_path())
+    assert encoder.added
+    for token in encoder.added:
+        for text in (token, f"a {token} b", f"a{token}b c\n{token}", f"{token[:-1]} {token}{token} x"):
+            assert encoder.ids(text) == ids_of(text).tobytes()
+
+
 @pytest.mark.parametrize("top", [1, 200, 50_000, 1 << 30, (1 << 60) - 1, (1 << 64) - 1])
 def test_simple8b_round_trip(top):
     rng = np.random.default_rng(top % 97)
