@@ -90,6 +90,16 @@ SELECT page_id, payload_bytes, payload_digest, if(payload_bytes >= 100 AND page_
        if(payload_bytes >= 100 AND page_id <> first_id, first_id, NULL) AS refers_to FROM f"""
 
 
+LINES = """
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     x AS (SELECT row_no, id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM d),
+     y AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+     f AS (SELECT key, max(id) AS keeps FROM y WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT id) >= 5),
+     z AS (SELECT row_no, k, line, keeps IS NOT NULL AND id <> keeps AS gone FROM y LEFT JOIN f USING (key)),
+     kept AS (SELECT row_no, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS t FROM z GROUP BY row_no)
+SELECT doc_id, len(l)::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM d JOIN kept USING (row_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op4_quality_rules": _quality(), "op7_chat_format": _chat(), "op8_warc": WARC, "op9_source_mix": MIX,
-            "op10_repeated_passages": PASSAGES}
+            "op10_repeated_passages": PASSAGES, "op12_line_dedup": LINES}
