@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sharegate.llm import chat, dartminhash, edit_sketch, html_text, line_keep, mixing, packing, quality, spelling, substrings, token_files, warc
+from sharegate.llm import chat, dartminhash, edit_sketch, html_text, line_keep, mixing, packing, quality, spelling, substrings, token_files, turn_repair, warc
 from sharegate.llm.common import shared_folder, stored, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -74,7 +74,12 @@ def op12_line_dedup(spark, sf):
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op5_edit_fingerprints, op6_near_duplicates, op7_chat_format, op8_warc, op9_source_mix, op10_repeated_passages, op11_spelling_variants, op12_line_dedup]
+def op13_conversation_repair(spark, sf):
+    turns = turn_repair.turns_of(table(spark, sf, "conversations"))
+    return turn_repair.repair(turn_repair.damaged(turns), turns)
+
+
+QUERIES = [op1_best_fit_packing, op2_token_files, op3_main_text, op4_quality_rules, op5_edit_fingerprints, op6_near_duplicates, op7_chat_format, op8_warc, op9_source_mix, op10_repeated_passages, op11_spelling_variants, op12_line_dedup, op13_conversation_repair]
 
 
 def queries() -> dict:
