@@ -5,11 +5,14 @@ weight; a source's target stops at ``most`` times its words and the excess goes
 (``source_targets``). Every document of a source with target T and words S is certain of ``floor(T / S)`` whole copies.
 The rest of the target is filled with one more copy of some documents: document i gets the inclusion probability
 p_i in proportion to its own weight (default: the number of binary digits of its size), a random number u_i from a hash of its id and
-text, and the rank (u_i / (1 - u_i)) / (p_i / (1 - p_i)); documents are taken in ascending rank as long as their words
-fit the target. The number taken is fixed by the ranking, so reruns agree.
+text, and the rank (u_i / (1 - u_i)) / (p_i / (1 - p_i)); documents are taken in ascending rank if their words
+fit what is left of the target. The choice is fixed by the ranking, so reruns agree.
 
 No source is gathered: ranks are cut at sketched quantiles into pieces of a bounded number of rows, words are added up per (source, piece),
-and only the piece in which the target ends is ordered row by row.
+and only the piece in which the target ends is ordered row by row. Behind the first document that does not fit, the ranking
+goes on with those that do: what a gap of g words can still take is among the first ``g / s`` documents of each size s, so a source
+folds at most about ``g * ln(g)`` of them, g being less than one document. At last the smallest document left is taken too if that brings the
+source nearer to its target, so that a source misses it by at most half of that document.
 
 Defined results: a null or empty text has size 0 and takes 0 words; repeated rows are documents of their own (equal
 ones are taken together in tie order); a null source is the last source; an empty table gives an empty result; a table
@@ -71,10 +74,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         *([F.struct("*").alias("row")] if keep else []))
     share = F.greatest(F.coalesce(F.col("_dw"), F.lit(1)), F.lit(1)) if doc_weight else F.length(F.bin("size")).cast("long")
     base = base.withColumn("_share", share)
-    sized = base if keep else materialize(base)  # whole rows are read again, not written a second time
+    # whole rows are read again for the result; everything else needs these few columns, written once
+    slim = materialize(base.select("source", "size", "_u", "_share") if keep else base)
+    sized = base if keep else slim
 
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_share") * F.col("size")).alias("_mass"),
-                                      F.count(F.lit(1)).alias("_rows"))
+    per = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_share") * F.col("size")).alias("_mass"),
+                                     F.count(F.lit(1)).alias("_rows"))
     per = materialize(per)
     targets = source_targets(per.select("source", "source_size"), weights, most)
     t = per.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")) \
@@ -82,7 +87,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     t = materialize(t.select("*", whole.alias("_whole"), (F.col("target") - whole * F.col("source_size")).alias("_rest")))
 
-    narrow = _ranked(sized.select("source", "size", "_u", "_share"), t)
+    narrow = _ranked(slim.select("source", "size", "_u", "_share"), t)
     sums = narrow.where("_q IS NOT NULL").groupBy("source", "_piece", "_rest").agg(F.sum("size").alias("_words"))
     upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0))
     cuts = materialize(sums.select("source", "_piece", "_rest", upto.alias("_upto"), "_words").where("_upto > _rest")
@@ -91,15 +96,41 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     inside = _lookup(narrow, cuts, "_at", "_before").where("_piece = _at")
     run = F.sum("size").over(Window.partitionBy("source", "_piece").orderBy("_q").rangeBetween(Window.unboundedPreceding, 0))
     last = inside.select("source", "_q", (run + F.col("_before")).alias("_sum"), "_rest").where("_sum <= _rest") \
-                 .groupBy("source").agg(F.max("_q").alias("_last"))
-    ends = cuts.alias("l").join(last.alias("r"), F.expr("l.source <=> r.source"), "left").select("l.source", "l._at", "r._last")
-    t = materialize(t.alias("l").join(ends.alias("r"), F.expr("l.source <=> r.source"), "left").select("l.*", "r._at", "r._last"))
+                 .groupBy("source").agg(F.max("_q").alias("_last"), F.max("_sum").alias("_got"))
+    ends = cuts.alias("l").join(last.alias("r"), F.expr("l.source <=> r.source"), "left") \
+               .select("l.source", "l._at", "r._last", F.coalesce("r._got", "l._before").alias("_got"))
+    t = materialize(t.alias("l").join(ends.alias("r"), F.expr("l.source <=> r.source"), "left").select("l.*", "r._at", "r._last", (F.col("_rest") - F.col("r._got")).alias("_gap")))
 
+    late = materialize(_behind(_ranked(slim.select("source", "size", "_u", "_share"), t)))
     rows = _ranked(sized, t)
-    fits = F.col("_at").isNull() | (F.col("_piece") < F.col("_at")) | (F.col("_piece") == F.col("_at")) & (F.col("_q") <= F.col("_last"))
-    copies = F.col("_whole") + F.when(F.col("_q").isNotNull() & fits, 1).otherwise(0)
-    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"),
-                       (copies * F.col("size")).alias("taken"), *(["row"] if keep else []))
+    found = rows.alias("a").join((F.broadcast(late) if _few(late) else late).alias("b"), F.expr("a.source <=> b.source AND a._q = b._q"), "left") \
+                .select("a.*", F.col("b._q").isNotNull().alias("_late"))
+    copies = F.col("_whole") + F.expr(f"if(_q IS NOT NULL AND ({FITS} OR _late), 1, 0)")
+    return found.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"),
+                        (copies * F.col("size")).alias("taken"), *(["row"] if keep else []))
+
+
+#: Ranked before the first document that does not fit (a source without one has no such piece).
+FITS = "(_at IS NULL OR _piece < _at OR _piece = _at AND coalesce(_q <= _last, false))"
+
+
+def _behind(ranked: DataFrame) -> DataFrame:
+    """(source, _q) of the documents behind the first misfit that are taken. Rows of one rank are taken together."""
+    units = ranked.where(f"_q IS NOT NULL AND NOT {FITS} AND size > 0").groupBy("source", "_q").agg(F.sum("size").alias("words"), F.first("_gap").alias("gap"))
+    units = materialize(units)
+    nth = F.row_number().over(Window.partitionBy("source", "words").orderBy("_q"))
+    able = units.where("words <= gap").withColumn("_nth", nth).where("_nth * words <= gap")
+    start = F.struct(F.max("gap").alias("gap"), F.array().cast("array<double>").alias("took"))
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("_q", "words"))), start, lambda a, x: F.when(x["words"] <= a["gap"], F.struct(
+        (a["gap"] - x["words"]).alias("gap"), F.concat(a["took"], F.array(x["_q"])).alias("took"))).otherwise(a))
+    folded = materialize(able.groupBy("source").agg(fold.alias("f")).select("source", "f.*"))
+    took = folded.select("source", F.explode("took").alias("_q"))
+    # the smallest that is left, where that is nearer than stopping here
+    left = units.alias("u").join(took.alias("k"), F.expr("u.source <=> k.source AND u._q = k._q"), "left_anti").select("source", "_q", "words", "gap")
+    least = left.groupBy("source").agg(F.min(F.struct("words", "_q")).alias("m"), F.first("gap").alias("gap"))
+    nearer = least.alias("l").join(folded.alias("f"), F.expr("l.source <=> f.source"), "left") \
+                  .where(F.col("l.m.words") < 2 * F.coalesce("f.gap", "l.gap")).select("l.source", F.col("l.m._q").alias("_q"))
+    return took.unionByName(nearer)
 
 
 def _lookup(rows: DataFrame, t: DataFrame, *columns: str) -> DataFrame:

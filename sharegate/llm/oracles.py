@@ -64,8 +64,19 @@ WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_
                   least(0.999999::DOUBLE, greatest(1e-9::DOUBLE, rest * length(bin(d.size)) / mass)) AS p
            FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
      q AS (SELECT *, if(rest > 0 AND mass > 0, (u / (1 - u)) / (p / (1 - p)), NULL) AS q FROM u),
-     n AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q RANGE UNBOUNDED PRECEDING) AS upto FROM q)
-SELECT doc_id, size, source_size, target, ((whole + if(q IS NOT NULL AND upto <= rest, 1, 0)) * size)::BIGINT AS taken FROM n"""
+     n AS (SELECT source, q, rest, sum(size) AS words FROM q WHERE q IS NOT NULL AND size > 0 GROUP BY ALL),
+     k AS (SELECT source, 0::DOUBLE AS last, any_value(rest) AS gap, 0::BIGINT AS step FROM n GROUP BY source
+           UNION ALL
+           SELECT k.source, min(n.q), arg_min(k.gap - n.words, n.q), any_value(k.step) + 1
+           FROM k JOIN n ON k.source IS NOT DISTINCT FROM n.source AND n.q > k.last AND n.words <= k.gap GROUP BY k.source),
+     taken AS (SELECT source, last AS q FROM k WHERE step > 0),
+     ends AS (SELECT source, arg_max(gap, step) AS gap FROM k GROUP BY source),
+     least AS (SELECT n.source, arg_min(n.q, (words, n.q)) AS q, min(words) AS words
+               FROM n LEFT JOIN taken t ON n.source IS NOT DISTINCT FROM t.source AND n.q = t.q WHERE t.q IS NULL GROUP BY n.source),
+     more AS (SELECT * FROM taken UNION ALL
+              SELECT l.source, l.q FROM least l JOIN ends e ON l.source IS NOT DISTINCT FROM e.source WHERE l.words < 2 * e.gap)
+SELECT q.doc_id, q.size, source_size, target, ((whole + if(m.q IS NOT NULL OR q.size = 0, 1, 0)) * q.size)::BIGINT AS taken
+FROM q LEFT JOIN more m ON q.source IS NOT DISTINCT FROM m.source AND q.q = m.q"""
 
 
 PASSAGES = rf"""
