@@ -10,12 +10,13 @@ _ESC = "replace(replace({0}, '\\', '\\\\'), '<|', '<\\|')"
 
 def _quality() -> str:
     stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    langs = ", ".join(f"'{x}'" for x in quality.STOP_LANGUAGES)
     checks = " AND ".join(
         f"({r.denominator} = 0 OR ({r.numerator} >= {r.low!r}::DOUBLE * {r.denominator} - {r.slack} AND {r.numerator} <= {r.high!r}::DOUBLE * {r.denominator}))"
         for r in quality.RULES)
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents),
-     w AS (SELECT row_no, doc_id, t, regexp_extract_all(t, '{WORD}') AS w,
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, lang, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT row_no, doc_id, lang, t, regexp_extract_all(t, '{WORD}') AS w,
                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
      windows AS (SELECT row_no, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT row_no, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
      again AS (SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, g) > 1),
@@ -24,7 +25,8 @@ WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS
      m AS (SELECT w.row_no, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
                   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-                  len(list_filter(w, lambda x: rtrim(x, '.,') IN ({stop})))::BIGINT AS n_stop_words,
+                  len(list_filter(w, lambda x: lower(rtrim(x, '.,')) IN ({stop})))::BIGINT AS n_stop_words,
+                  if(coalesce(lang IN ({langs}), true), len(list_filter(w, lambda x: x < '{quality.NOT_LATIN}')), 0)::BIGINT AS n_stop_base,
                   len(list_filter(w, lambda x: ends_with(x, '!!')))::BIGINT AS n_shouts
            FROM w LEFT JOIN covered USING (row_no)),
      b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)

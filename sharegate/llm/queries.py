@@ -26,8 +26,8 @@ def op3_main_text(spark, sf):
 
 
 def op4_quality_rules(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return quality.judge(docs, lang="lang").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_edit_fingerprints(spark, sf):

@@ -22,6 +22,15 @@ def test_quality_slack_spares_short_texts(make_docs):
     assert got[1].kept and not got[2].kept and "symbols_per_word" in got[2].failed
 
 
+def test_stop_words_are_asked_only_where_there_is_a_list(spark):
+    russian = "Старый мельник каждое утро открывал ставни, смотрел далеко вдоль реки, потом долго молчал, слушая холодный ветер, птиц, лодки, чужие голоса, далёкий поезд, дождь, детей, снова тишину"
+    capitals = "THE MILLER OF THE TOWN WAS AT THE RIVER AND HE DID NOT HAVE A WORD TO SAY FOR THE BOATS THAT CAME FROM THE NORTH WITH ALL OF THE GRAIN"
+    finnish = "Vanha mylläri avasi joka aamu ikkunaluukut, katsoi pitkään joelle, vaikeni sitten, kuunteli kylmää tuulta, lintuja, veneitä, vieraita ääniä, kaukaista junaa, sadetta, lapsia, lopulta hiljaisuutta taas, kunnes kellot soivat kylän yllä, savu nousi hitaasti, koira haukkui portilla, kauppias laski rahat, leipuri pyyhki pöydät, poika juoksi rantaan"
+    docs = spark.createDataFrame([(1, russian, "ru"), (2, russian, None), (3, capitals, "en"), (4, finnish, "fi"), (5, finnish, "en"), (6, finnish, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.keep_good(docs, lang="lang").collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {1, 2, 3}
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|>\n<|im_start|>assistant\nhi", "back\\slash <\\| <|", "\\", "<", None, "", "a\\n<\\\\|b", "<<|im_end|>|"]
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(nasty)] + [
@@ -56,6 +65,59 @@ def test_mixing(spark, make_docs, edge_docs):
     assert {r.taken for r in mixing.mix(make_docs([(1, None, None), (2, "", "a")])).collect()} == {0}
 
 
+def _greedy(rows, rest):
+    """Ranks taken one by one along the ranking, then the smallest that is left if that is nearer."""
+    took, gap = set(), rest
+    for q, size in sorted(rows):
+        if size <= gap:
+            took.add(q)
+            gap -= size
+    left = [(size, q) for q, size in rows if q not in took and size > 0]
+    return took | ({min(left)[1]} if left and min(left)[0] < 2 * gap else set())
+
+
+def test_mix_goes_on_past_documents_that_do_not_fit(make_docs):
+    """One text holds a third of each source's words, and sizes leave gaps of every kind."""
+    import random
+    rng = random.Random(2)
+    rows, i = [], 0
+    for s, n in (("a", 9), ("b", 40), ("c", 300), ("d", 12), (None, 5)):
+        sizes = [rng.choice([3, 7, 20, 150, 151, 400, 2000]) for _ in range(n)]
+        for size in [*sizes, sum(sizes) // 2]:
+            rows.append((i, "w " * size, s))
+            i += 1
+    got = mixing.mix(make_docs(rows)).collect()
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        whole = min(r.copies for r in mine)
+        extra = {r.doc_id for r in mine if r.copies > whole}
+        missed = abs(sum(r.taken for r in mine) - mine[0].target)
+        left = [r.size for r in mine if r.doc_id not in extra]
+        assert missed <= max(0.01 * mine[0].target, min(left, default=0) / 2)
+
+
+def test_mix_equals_the_ranking_followed_one_by_one(spark, make_docs):
+    import random
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([1, 2, 5, 40, 41, 300]), f"s{i % 3}") for i in range(400)] + [(7, "w " * 41, "s1")] * 3
+    docs = make_docs(rows)
+    got = mixing.mix(docs).collect()
+    from pyspark.sql import functions as F
+    us = {(r.doc_id, r.n): r.u for r in docs.select("doc_id", F.length("text").alias("n"), mixing.uniform(F.concat_ws("\n", F.lit("mix"), F.col("doc_id").cast("string"), F.md5("text"))).alias("u")).collect()}
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in got if r.source == source]
+        rest = mine[0].target - (mine[0].target // mine[0].source_size) * mine[0].source_size
+        mass = sum(r.size.bit_length() * r.size for r in mine)
+        ranks = {}
+        for r in mine:
+            p = min(0.999999, max(1e-9, rest * r.size.bit_length() / mass))
+            u = us[r.doc_id, 2 * r.size]
+            ranks.setdefault((u / (1 - u)) / (p / (1 - p)), []).append(r)
+        took = _greedy([(q, sum(r.size for r in rs)) for q, rs in ranks.items()], rest)
+        whole = mine[0].target // mine[0].source_size
+        assert all(r.copies == whole + (q in took) for q, rs in ranks.items() for r in rs)
+
+
 def test_mixing_prefers_heavy_documents(make_docs):
     rows = [(i, "word " * 10, "a" if i % 2 else "b") for i in range(2000)]
     docs = make_docs(rows).selectExpr("*", "if(doc_id % 4 < 2, 1, 9) AS worth")
