@@ -14,8 +14,9 @@ from sharegate.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the threshold table."""
-    return quality.keep_good(docs)
+    """Documents that pass the threshold table. Null and empty texts have no words and go; repeated rows are judged one by
+    one; a null language spares a text no rule; an empty table stays empty."""
+    return quality.keep_good(docs, lang="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +30,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so that sources come near their target words."""
+    """Each document as often as the mix takes it, so that sources come near their target words. Texts without words are not
+    taken; equal rows are taken together; a null source is the last source; an empty table stays empty."""
     mixed = mixing.mix(docs, keep=True).where("copies > 0")
     return mixed.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences; a document that is taken twice is packed twice."""
+    """Token pieces with their sequences; a document that is taken twice is packed twice. A null text is empty
+    and gives its end token; an empty table gives no piece."""
     return packing.pack(stored(packing.token_pieces(docs)))
 
 
