@@ -82,6 +82,68 @@ def glob_sql(name: str, glob: str) -> str:
     return all_of(tests)
 
 
+GLOB_PARTS = ("array<struct<text:string,size:int,sets:array<struct<k:int,negate:boolean,"
+              "ranges:array<struct<lo:string,hi:string>>>>>>")
+
+
+def glob_parts(glob: str) -> list[dict]:
+    """A whole-name glob as the parts between its stars: a literal ``text``, or one set of characters per place."""
+    parts, places, i = [], [], 0
+
+    def close_part():
+        literal = all(not negate and len(ranges) == 1 and ranges[0][0] == ranges[0][1] for negate, ranges in places)
+        sets = None if literal else [{"k": k, "negate": n, "ranges": [{"lo": a, "hi": b} for a, b in r]} for k, (n, r) in enumerate(places)]
+        parts.append({"text": "".join(r[0][0] for _, r in places) if literal else None, "size": len(places), "sets": sets})
+        places.clear()
+
+    while i < len(glob):
+        c = glob[i]
+        i += 1
+        if c == "*":
+            close_part()
+        elif c == "?":
+            places.append((True, []))
+        elif c == "[" and (end := glob.find("]", i + (2 if glob[i:i + 1] == "!" else 1))) > 0:
+            negate = glob[i] == "!"
+            body, ranges, k = glob[i + negate:end], [], 0
+            while k < len(body):
+                wide = body[k + 1:k + 2] == "-" and k + 2 < len(body)
+                ranges.append((body[k], body[k + 2] if wide else body[k]))
+                k += 3 if wide else 1
+            places.append((negate, ranges))
+            i = end + 1
+        else:
+            places.append((False, [(c, c)]))
+    close_part()
+    return [part for k, part in enumerate(parts) if part["size"] or k in (0, len(parts) - 1)]
+
+
+def glob_match(name: Column, parts: Column) -> Column:
+    """Does the name meet a glob given as a column of ``glob_parts``? Starts, ends and searches of literal pieces; no pattern is
+    compiled. The leftmost place of each part between two stars is enough."""
+    size, n = F.length(name), F.size(parts)
+    head, tail = F.get(parts, F.lit(0)), F.get(parts, n - 1)
+
+    def at(place: Column, part: Column) -> Column:
+        def meets(s: Column) -> Column:
+            char = F.substr(name, place + s["k"], F.lit(1))
+            return F.exists(s["ranges"], lambda r: (char >= r["lo"]) & (char <= r["hi"])) != s["negate"]
+        fits = (place >= 1) & (place + part["size"] - 1 <= size)
+        return fits & F.when(part["text"].isNotNull(), F.substr(name, place, part["size"]) == part["text"]).otherwise(F.forall(part["sets"], meets))
+
+    def after(place: Column, part: Column) -> Column:
+        """The place behind the leftmost occurrence from ``place`` on, NULL without one."""
+        last = size - part["size"] + 1
+        literal = F.nullif(F.call_function("locate", part["text"], name, place), F.lit(0))
+        other = F.when(last >= place, F.get(F.filter(F.sequence(place, F.greatest(last, place)), lambda p: at(p, part)), F.lit(0)))
+        return (F.when(part["text"].isNotNull(), literal).otherwise(other) + part["size"]).cast("int")
+
+    middles = F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0)))
+    end = F.aggregate(middles, (head["size"] + 1).cast("int"), lambda place, part: F.when(place.isNotNull(), after(place, part)))
+    starred = at(F.lit(1), head) & at(size - tail["size"] + 1, tail) & F.coalesce(end <= size - tail["size"] + 1, F.lit(False))
+    return F.when(n == 1, (size == head["size"]) & at(F.lit(1), head)).otherwise(starred)
+
+
 _GLOBS = [(rule, desc, glob) for rule, globs, desc in policy.PATH_RULES for glob in globs]
 
 
@@ -89,26 +151,32 @@ def _rule_sql(rule: str, desc: str, glob: str) -> str:
     return f"named_struct('rule', {quote(rule)}, 'desc', {quote(desc)}, 'glob', {glob})"
 
 
-def path_rule(name: str, deny_globs: tuple[str, ...] = (), deny_table: str | None = None) -> Column:
+ALLOWED_NAMES = ", ".join(quote(n) for n in policy.PATH_ALLOWLIST)
+
+
+def path_rule(name: str, deny_globs: tuple[str, ...] = ()) -> Column:
     """struct(rule, desc, glob) of the first path rule a base-name column meets, or NULL.
 
-    ``deny_globs`` are run-wide literals; ``deny_table`` names an array<struct<glob, regex>>
-    column of the row's share. Allow-listed names never match a path rule.
-    """
+    ``deny_globs`` are run-wide literals. Allow-listed names never match a path rule."""
     low = f"lower({name})"
-    allowed = ", ".join(quote(n) for n in policy.PATH_ALLOWLIST)
     cases = [(glob_sql(low, g.lower()), _rule_sql(*policy.USER_PATH_RULE, quote(g.lower()))) for g in deny_globs]
-    if deny_table:
-        matched = f"filter({deny_table}, g -> rlike({low}, g.regex))"
-        cases.append((f"size(coalesce({matched}, array())) > 0",
-                      _rule_sql(*policy.USER_PATH_RULE, f"get({matched}, 0).glob")))
     cases += [(glob_sql(low, glob), _rule_sql(rule, desc, quote(glob))) for rule, desc, glob in _GLOBS]
     cases.append((f"contains({low}, '.bak') OR endswith({name}, '~') OR startswith({name}, '~$')",
                   _rule_sql("OPS-BACKUP", policy.OPS_RULES["OPS-BACKUP"], "'backup name pattern'")))
-    return F.expr(f"CASE WHEN {low} IN ({allowed}) THEN NULL "
+    return F.expr(f"CASE WHEN {low} IN ({ALLOWED_NAMES}) THEN NULL "
                   + " ".join(f"WHEN {test} THEN {row}" for test, row in cases) + " END")
 
 
+def share_path_rule(name: str, found: str, globs: Column) -> Column:
+    """The path rule of a file whose share denies names of its own (array of struct(glob, parts)): run-wide denied names come
+    first, then the share's, then the fixed rules; ``found`` is the result of :func:`path_rule`."""
+    matched = F.get(F.filter(globs, lambda g: glob_match(F.lower(F.col(name)), g["parts"])), F.lit(0))["glob"]
+    own = F.when(~F.expr(f"lower({name}) IN ({ALLOWED_NAMES})"), matched)
+    rule, desc = policy.USER_PATH_RULE
+    denied = F.struct(F.lit(rule).alias("rule"), F.lit(desc).alias("desc"), own.alias("glob"))
+    return F.when(F.expr(f"coalesce({found}.rule = {quote(rule)}, false)") | own.isNull(), F.col(found)).otherwise(denied)
+
+
 _DIR_NAMES = [name for _, names, _ in policy.DIR_RULES for name in names]
 _DIR_REGEX = ("(?s)(?:^|/)(" + "|".join(re.escape(n).replace("\\_", "_") for n in _DIR_NAMES)
               + "|" + policy.VENV_DIR_PATTERN + ")/")

@@ -1,4 +1,4 @@
-"""The classifier: one narrow pass over the files, then small joins on (share, path)."""
+"""The classifier: one pass over the files gives facts, settings and ignore decisions meet those narrow rows."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from sharegate.functions import paths as P
 from sharegate.functions import pii as I
 from sharegate.functions import text as T
 from sharegate.functions.sql import quote
-from sharegate.operators.ignore import ignore_decisions
-from sharegate.operators.settings import Effective
+from sharegate.operators.ignore import ignore_first
+from sharegate.operators.settings import DENY_TABLE, Effective, Wanted, common_settings, policy_row, run_list
 from sharegate.policy import ShareSettings
 from sharegate.session import materialize
 
@@ -34,48 +34,46 @@ def _inner_path(settings: ShareSettings) -> Column:
     return F.expr(f"substring(path, {len(focus) + 2})") if focus else F.col("path")
 
 
-def _dir_prunes(eff: Effective) -> Column:
-    """Shallowest silent directory prune as struct(depth, ord, reason), or NULL."""
-    settings, base = eff.settings, 0
-    if settings.focus:
-        base = settings.focus.strip("/").count("/") + 1
+def _list_prunes(settings: ShareSettings, folders: Column | None, prefixes: Column | None) -> list[Column]:
+    """Prunes by lists of folder names (lower case) and path prefixes as struct(depth, ord, reason), NULL where none applies."""
+    found = []
+    if folders is not None:
+        parts = F.split(F.lower(_inner_path(settings)), "/", -1)
+        at = F.array_position(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda d: F.array_contains(folders, d)), True)
+        found.append(F.when(at > 0, F.struct((at + _focus_depth(settings)).cast("int").alias("depth"), F.lit(1).alias("ord"), F.lit("excluded-folder").alias("reason"))))
+    if prefixes is not None:
+        depths = F.transform(F.filter(prefixes, lambda p: P.under_prefix(F.col("path"), p)), lambda p: F.size(F.split(F.rtrim(p, F.lit("/")), "/", -1)))
+        found.append(F.when(F.size(depths) > 0, F.struct(F.array_min(depths).cast("int").alias("depth"), F.lit(2).alias("ord"), F.lit("excluded-path").alias("reason"))))
+    return found
+
+
+def _focus_depth(settings: ShareSettings) -> int:
+    return settings.focus.strip("/").count("/") + 1 if settings.focus else 0
+
+
+def _dir_prunes(settings: ShareSettings) -> Column:
+    """Shallowest silent directory prune that holds for the whole run as struct(depth, ord, reason), or NULL."""
     inner = _inner_path(settings)
     found = [F.when(F.col("_named") != "", F.struct(
-        (P.dir_depth(inner, F.col("_named")) + base).cast("int").alias("depth"), F.lit(0).alias("ord"),
+        (P.dir_depth(inner, F.col("_named")) + _focus_depth(settings)).cast("int").alias("depth"), F.lit(0).alias("ord"),
         P.dir_rule("_named").alias("reason")))]
-    folders = eff.array("exclude_folders", lower=True)
-    if folders is not None:
-        parts = F.split(F.lower(inner), "/", -1)
-        at = F.array_position(F.transform(F.slice(parts, 1, F.size(parts) - 1),
-                                          lambda d: F.array_contains(folders, d)), True)
-        found.append(F.when(at > 0, F.struct((at + base).cast("int").alias("depth"), F.lit(1).alias("ord"),
-                                             F.lit("excluded-folder").alias("reason"))))
-    prefixes = eff.array("exclude_paths")
+    prefixes = run_list(settings, "exclude_paths")
     if settings.output_prefix:
         own = F.array(F.lit(settings.output_prefix))
         prefixes = own if prefixes is None else F.concat(own, prefixes)
-    if prefixes is not None:
-        depths = F.transform(F.filter(prefixes, lambda p: P.under_prefix(F.col("path"), p)),
-                             lambda p: F.size(F.split(F.rtrim(p, F.lit("/")), "/", -1)))
-        found.append(F.when(F.size(depths) > 0, F.struct(
-            F.array_min(depths).cast("int").alias("depth"), F.lit(2).alias("ord"),
-            F.lit("excluded-path").alias("reason"))))
+    found += _list_prunes(settings, run_list(settings, "exclude_folders", lower=True), prefixes)
     if settings.focus:
         found.append(F.when(~P.under_prefix(F.col("path"), F.lit(settings.focus)), F.struct(
             F.lit(0).alias("depth"), F.lit(3).alias("ord"), F.lit("outside-focus").alias("reason"))))
-    return F.array_min(F.array(*found))
+    return F.array_min(F.array(*found, F.lit(None).cast("struct<depth:int,ord:int,reason:string>")))
 
 
-def _file_prune(eff: Effective, walk: bool) -> Column:
-    settings = eff.settings
-    ext = P.extension(F.col("base"))
+def _file_prune(settings: ShareSettings, walk: bool) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     if walk and settings.exclude_names:
         out = out.when(F.lower("base").isin([n.lower() for n in settings.exclude_names]), F.lit("excluded-name"))
     if walk and settings.exclude_exts:
-        out = out.when(ext.isin([e.lower() for e in settings.exclude_exts]), F.lit("excluded-extension"))
-    if settings.source_only or eff.per_share:
-        out = out.when(eff.value("source_only") & ~P.is_source_name(F.col("base")), F.lit("source-only"))
+        out = out.when(P.extension(F.col("base")).isin([e.lower() for e in settings.exclude_exts]), F.lit("excluded-extension"))
     return out
 
 
@@ -111,7 +109,7 @@ def _gate(settings: ShareSettings) -> str:
     over = "false" if most is None else f"size > {most}"
     head = "content" if window is None else f"substring(content, 1, {window})"
     return f"""
-    CASE WHEN NOT _live OR _path IS NOT NULL THEN 'settled'
+    CASE WHEN NOT _live OR _path IS NOT NULL OR _hidden THEN 'settled'
          WHEN startswith(coalesce(read_error, ''), 'stat:') THEN 'stat'
          WHEN {over} AND NOT coalesce(_safe, false) THEN 'oversize'
          WHEN content IS NULL OR read_error IS NOT NULL OR path IS NULL THEN 'unreadable'
@@ -141,48 +139,80 @@ _VERDICT = f"""
 
 # An override only lets through what has been read: a file nobody could look into stays withheld.
 _READ = "content IS NOT NULL AND read_error IS NULL AND path IS NOT NULL"
+_CLEAN = "_path IS NULL AND _gate IN ('text', 'binary-safe') AND array_min(_hits) IS NULL AND array_min(_bhits) IS NULL"
 
 
-def scan(files: DataFrame, eff: Effective, *, walk: bool = True) -> DataFrame:
-    """Path, reading and content rules in one projection chain; no shuffle, no Python.
+def facts(files: DataFrame, settings: ShareSettings, wanted: Wanted, *, walk: bool = True, keep_content: bool = False) -> DataFrame:
+    """What a file's path and content say, whatever settings its share adds: one projection chain, no shuffle, no Python, no join.
 
     Every later stage is guarded by the earlier ones, so content is decoded only for files
-    no path rule, prune or reading gate has settled. The generator at the end keeps later
+    no path rule, prune, ignore decision or reading gate has settled. Hits keep their family and order, personal data its
+    value's hash, so that ``settle`` can apply any settings to these narrow rows. The generator at the end keeps later
     filters from being pushed below it, which would run every pattern twice.
+
+    ``keep_content`` leaves the content of files that may ship beside their facts.
     """
-    settings = eff.settings
+    known = "ign_depth" in files.columns  # decided on the listing
+    allowed = F.lit(False) if not settings.allow else F.coalesce(F.array_contains(run_list(settings, "allow"), F.col("path")), F.lit(False))
+    dropped = F.expr("ign_depth IS NOT NULL") if known and wanted.ignore else F.lit(False)
+    hidden = F.expr("coalesce(ign_file, false)") & ~allowed if known and wanted.ignore and not wanted.late else F.lit(False)
+    foreign = ~P.is_source_name(F.col("base")) if settings.source_only or wanted.late else F.lit(False)
     staged = (files
               .withColumns({"size": F.expr("coalesce(length, 0L)"), "base": P.basename(F.col("path")),
-                            "_named": P.pruned_dir(_inner_path(settings)), "_broken": eff.broken})
-              .withColumns({"_dir": _dir_prunes(eff), "_file": _file_prune(eff, walk),
+                            "_named": P.pruned_dir(_inner_path(settings)), "_hidden": hidden})
+              .withColumns({"_dir": _dir_prunes(settings), "_file": _file_prune(settings, walk), "_foreign": foreign,
                             "_safe": P.suffix(F.col("base")).isin(policy.BINARY_SAFE_EXTS)})
-              .withColumn("_live", F.expr("_dir IS NULL AND _file IS NULL"))
-              .withColumn("_path", F.when(F.col("_live"), P.path_rule("base", settings.deny_globs, eff.deny_table)))
+              .withColumn("_live", F.expr("_dir IS NULL AND _file IS NULL") & ~dropped & (F.lit(wanted.late or not settings.source_only) | ~F.col("_foreign")))
+              .withColumn("_path", F.when(F.col("_live"), P.path_rule("base", settings.deny_globs)))
               .withColumn("_gate", F.expr(_gate(settings)))
               .withColumns({"_text": F.when(F.expr("_gate = 'text'"), T.decode_text(F.col("content"))),
                             "_bin": F.expr("decode(if(_gate = 'binary-safe', content, NULL), 'ISO-8859-1')")})
               .withColumns({"_text": T.strip_invisible("_text"), "_bin": T.strip_invisible("_bin")}))
-    read = C.with_hits(staged, "_text", "_hits", eff.public)
+    read = C.with_hits(staged, "_text", "_hits", str(wanted.public).lower())
     read = C.with_hits(read, "_bin", "_bhits", secrets_only=True, relaxed=True)
-    judged = (read.withColumn("_top", F.expr("coalesce(array_min(_hits), array_min(_bhits))"))
-              .withColumns({"_row": F.expr(_VERDICT), "_allowed": eff.contains("allow", F.col("path")) & ~F.col("_broken") & F.expr(_READ)})
-              .withColumn("_keep", F.expr("_live AND (_row IS NULL OR _allowed)")))
-    if eff.may_scan_pii:
-        wanted = "_keep AND _pii_on AND content IS NOT NULL AND is_valid_utf8(cast(content AS string))"
-        allow = eff.array("pii_allow")
-        judged = (judged
-                  .withColumns({"_pii_on": eff.value("pii"), "_author": eff.value("pii_skip_author"),
-                                "_pii_ok": F.lit(None).cast("array<string>") if allow is None else allow})
-                  .withColumn("_pii_text", F.expr(f"if({wanted}, cast(content AS string), NULL)"))
-                  .withColumn("_found", I.pii_hits("_pii_text", None if allow is None else "_pii_ok", "_author")))
-        pii = F.struct(F.expr("_found IS NOT NULL AS scanned"), F.expr("coalesce(size(_found), 0) AS n"),
-                       I.pii_rule("get(_found, 0).ord").alias("rule"))
+    may_ship = F.expr(f"_live AND {_READ}") & (F.lit(wanted.late) | allowed | F.expr(_CLEAN))
+    judged = read.withColumns({"_read": F.expr(_READ), "_ship": may_ship})
+    none = "cast(NULL AS array<struct<offset:int,ord:int,match_len:int,value:string,author:boolean>>)"
+    if wanted.pii != "false":
+        judged = judged.withColumn("_pii_text", F.expr(f"if(_ship AND {wanted.pii} AND is_valid_utf8(cast(content AS string)), cast(content AS string), NULL)")) \
+                       .withColumn("_pii", I.pii_facts("_pii_text"))
     else:
-        pii = F.expr("named_struct('scanned', false, 'n', 0, 'rule', cast(NULL AS string))")
-    keep = F.struct("_dir", "_file", "_row", "_allowed", "_keep", pii.alias("_pii"),
-                    eff.value("respect_ignore").alias("_ignore"))
-    return (judged.select("share_id", "path", "content", "size", F.explode(F.array(keep)).alias("k"))
-                  .selectExpr("share_id", "path", "size", "k.*", "if(k._keep, sha2(content, 256), NULL) AS sha256"))
+        judged = judged.withColumn("_pii", F.expr(none))
+    kept = [c for c in ("ign_file", "ign_depth") if known]
+    keep = F.struct("_dir", "_file", "_foreign", "_path", "_gate", F.filter("_hits", lambda h: h.isNotNull()).alias("_hits"),
+                    F.filter("_bhits", lambda h: h.isNotNull()).alias("_bhits"), "_read", "_ship", "_pii", "read_error", *kept)
+    out = judged.select("share_id", "path", "base", "content", "size", F.explode(F.array(keep)).alias("k"))
+    own = ["if(k._ship, content, NULL) AS content"] if keep_content else []
+    return out.selectExpr("share_id", "path", "base", "size", "k.*", "if(k._ship, sha2(content, 256), NULL) AS sha256", *own)
+
+
+def settle(found: DataFrame, eff: Effective) -> DataFrame:
+    """Facts under the settings of each row's share (``eff.attach``): rule, override and personal-data verdicts of narrow rows."""
+    settings = eff.settings
+    own = _list_prunes(settings, eff.own("exclude_folders", lower=True), eff.own("exclude_paths")) if eff.per_share else []
+    rows = found.withColumns({"_broken": eff.broken, "_dir": F.array_min(F.array("_dir", *own)) if own else F.col("_dir"),
+                              "_file": F.coalesce("_file", F.when(eff.value("source_only") & F.col("_foreign"), F.lit("source-only")))})
+    if eff.per_share:
+        rows = rows.withColumn("_path", P.share_path_rule("base", "_path", F.coalesce(F.col("_o.deny_table"), F.array().cast(DENY_TABLE))))
+        rows = rows.withColumn("_hits", F.expr(f"filter(_hits, h -> {eff.public} OR h.ord < {C.N_SECRET})"))
+    rows = (rows.withColumn("_live", F.expr("_dir IS NULL AND _file IS NULL"))
+                .withColumn("_path", F.expr("if(_live, _path, NULL)"))
+                .withColumn("_top", F.expr("coalesce(array_min(_hits), array_min(_bhits))"))
+                .withColumns({"_row": F.expr(_VERDICT), "_allowed": eff.contains("allow", F.col("path")) & ~F.col("_broken") & F.col("_read")})
+                .withColumn("_keep", F.expr("_live AND (_row IS NULL OR _allowed)")))
+    allow = eff.array("pii_allow")
+    listed = F.transform(allow, lambda v: F.sha2(v, 256)) if allow is not None else F.array().cast("array<string>")
+    rows = rows.withColumns({"_skip": eff.value("pii_skip_author"), "_listed": F.coalesce(listed, F.array().cast("array<string>"))}) \
+               .withColumn("_found", F.when(F.col("_keep") & eff.value("pii"), F.expr("filter(_pii, h -> NOT array_contains(_listed, h.value) AND NOT (_skip AND h.author))")))
+    pii = F.struct(F.expr("_found IS NOT NULL AS scanned"), F.expr("coalesce(size(_found), 0) AS n"), I.pii_rule("get(_found, 0).ord").alias("rule"))
+    named = [c for c in ("ign_file", "ign_depth", "policy", "content") if c in found.columns]
+    return rows.select("share_id", "path", "size", "_dir", "_file", "_row", "_allowed", "_keep", pii.alias("_pii"), eff.value("respect_ignore").alias("_ignore"),
+                       F.expr("if(_keep, sha256, NULL)").alias("sha256"), *named)
+
+
+def scan(files: DataFrame, eff: Effective, *, walk: bool = True) -> DataFrame:
+    """Facts and verdicts under the settings of the run."""
+    return settle(facts(files, eff.settings, Wanted.of(eff.settings), walk=walk), eff)
 
 
 _REASON = """
@@ -198,7 +228,7 @@ def decide(scanned: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
     then the allow override, then personal data. Unknown never becomes included."""
     if ignored is not None:
         scanned = scanned.join(ignored, ["share_id", "path"], "left")
-    else:
+    elif "ign_depth" not in scanned.columns:
         scanned = scanned.selectExpr("*", "false AS ign_file", "cast(NULL AS int) AS ign_depth")
     ignored_row = _ops("OPS-GITIGNORE", "'matched ignore file'")
     pii_row = _row(rule="_pii.rule", desc=quote(policy.PII_DESC), family="'pii'",
@@ -212,8 +242,9 @@ def decide(scanned: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
            .selectExpr("*", "CASE WHEN prune_reason IS NOT NULL THEN 'pruned' WHEN _final IS NOT NULL "
                             "THEN 'excluded' ELSE 'included' END AS status"))
     fields = [f"if(status = 'excluded', _final.{f}, NULL) AS {f}" for f in _ROW_FIELDS]
+    named = ["policy"] if "policy" in out.columns else []
     return out.selectExpr(
-        "share_id", "path", "status", *fields, "override_rule", "_pii.n AS pii_matches", "_pii.scanned AS pii_scanned",
+        *named, "share_id", "path", "status", *fields, "override_rule", "_pii.n AS pii_matches", "_pii.scanned AS pii_scanned",
         "size", "if(status = 'included', sha256, NULL) AS sha256", "prune_reason",
         "if(prune_reason = 'ignored-dir', depth, NULL) AS ign_depth")
 
@@ -265,12 +296,34 @@ class Classified:
 
 def classify(files: DataFrame, settings: ShareSettings = ShareSettings(), *, overrides: DataFrame | None = None,
              ignore_rules: DataFrame | None = None, selection: str = WALK) -> Classified:
-    """Decide each file of ``files(share_id, path, content, length, modified, read_error)``."""
+    """Decide each file of ``files(share_id, path, content, length, modified, read_error)``.
+
+    Content is read by one scan; settings that shares add meet its narrow facts afterwards. Files may come with ``ign_file``
+    and ``ign_depth`` (see ``ignore.mark_ignored``), decided on their listing."""
     walk = selection == WALK
     eff = Effective(settings, per_share=overrides is not None)
-    scanned = scan(eff.attach(files, overrides), eff, walk=walk)
     ignored = None
-    if ignore_rules is not None and settings.respect_ignore:
-        min_depth = settings.focus.strip("/").count("/") + 1 if settings.focus else 0
-        ignored = ignore_decisions(files, ignore_rules, walk=walk, min_depth=min_depth)
-    return Classified(decide(scanned, ignored), settings, selection, overrides)
+    if ignore_rules is not None and settings.respect_ignore and "ign_depth" not in files.columns:
+        files, ignored = ignore_first(files, ignore_rules, walk=walk, min_depth=_focus_depth(settings))
+    found = facts(files, settings, Wanted.of(settings, overrides), walk=walk)
+    return Classified(decide(settle(eff.attach(found, overrides), eff), ignored), settings, selection, overrides)
+
+
+def classify_many(files: DataFrame, policies: dict[str, ShareSettings], *, selection: str = WALK) -> DataFrame:
+    """Decisions of every file under each of several policies, with their ``policy`` name, from one scan.
+
+    A policy is to the facts what the settings of a share are: a row of values. Each row of facts is settled once per policy, so
+    the rows grow with the number of policies and the reading does not. Policies agree on ``settings.RUN_FIELDS``."""
+    common = common_settings(list(policies.values()))
+    found = facts(files, common, Wanted.by_any(list(policies.values())), walk=selection == WALK)
+    rows = F.array(*[F.struct(F.lit(name).alias("policy"), policy_row(p).alias("_o")) for name, p in policies.items()])
+    each = found.withColumn("_each", F.explode(rows)).select("*", "_each.policy", F.col("_each._o").alias("_o")).drop("_each")
+    return decide(settle(each, Effective(common, per_share=True)))
+
+
+def policy_diff(files: DataFrame, a: ShareSettings, b: ShareSettings) -> DataFrame:
+    """(share_id, path, decision_a, decision_b) where two policies differ; a policy that prunes the file shows NULL. Content is scanned once."""
+    d = classify_many(files, {"a": a, "b": b})
+    decision = F.when(F.col("status") != "pruned", F.coalesce("rule", F.lit("INCLUDE")))
+    sides = d.groupBy("share_id", "path").agg(*[F.max(F.when(F.col("policy") == p, decision)).alias(f"decision_{p}") for p in "ab"])
+    return sides.where(~F.col("decision_a").eqNullSafe(F.col("decision_b")))

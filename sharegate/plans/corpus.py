@@ -114,6 +114,14 @@ LOCAL_TEXTS = ("SELECT share_id, cast(substring(share_id, 4) AS int) AS share_no
                f"FROM ({PLAIN})")
 LONG = (f"SELECT share_id, path, CASE WHEN doc_id % 499 = 7 THEN text || repeat(' lorem ipsum', 360000) || ' AS' || 'IA' || repeat('7KQM', 4) || "
         f"repeat(' dolor sit a', 360000) ELSE text END AS text FROM ({PLAIN})")
+def _two_ignore_files() -> str:
+    numbered = "source AS share_id, cast(substring(source, 4) AS int) AS share_no"
+    docs = f"SELECT {numbered}, 'k' || cast(doc_id % 5 AS varchar(20)) || '/doc_' || cast(doc_id AS varchar(20)) || '.md' AS path, text FROM documents"
+    rules = {".gitignore": "'*7.md'", ".shareignore": f"'!*27.md' || {NL} || 'k3/'"}
+    return docs + "".join(f" UNION ALL SELECT DISTINCT {numbered}, '{name}' AS path, {body} AS text FROM documents" for name, body in rules.items())
+
+
+TWO_IGNORES = _two_ignore_files()
 AREAS = ("SELECT source AS share_id, 'area/a' || cast(doc_id % 3 AS varchar(20)) || '/b' || cast(doc_id % 5 AS varchar(20)) || '/doc_' || "
          "cast(doc_id AS varchar(20)) || '.md' AS path, text FROM documents")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sharegate.functions.pii import redact_pii
 from sharegate.operators import artifacts, audit, retention
-from sharegate.operators.classify import Classified, classify, content_scan, files_from_texts
+from sharegate.operators.classify import Classified, classify, content_scan, files_from_texts, policy_diff
 from sharegate.operators.ignore import gather_ignore_rules
 from sharegate.operators.personal_data import pii_counts, pii_hits
 from sharegate.operators.quick_scan import quick_scan, quick_verdict
@@ -53,9 +53,7 @@ def content_scan_pages(spark, sf):
 
 
 def share_mode_diff(spark, sf):
-    public = _flat(spark, sf).decision_map
-    private = _flat(spark, sf, ShareSettings(share_mode="private", max_scan_bytes=None)).decision_map
-    return audit.diff_decisions(public, private)
+    return policy_diff(_files(spark, sf, K.FLAT), TEXTS, ShareSettings(share_mode="private", max_scan_bytes=None))
 
 
 # -- paths, precedence, overrides --------------------------------------------
@@ -99,10 +97,23 @@ def per_share_overrides(spark, sf):
 
 def ignore_decisions(spark, sf):
     files = _files(spark, sf, K.TREE_WITH_IGNORES)
-    result = classify(files, TEXTS, ignore_rules=gather_ignore_rules(files)).materialized()
-    rows = result.decisions.where("status <> 'excluded'").select(
-        "share_id", "path", F.coalesce("prune_reason", F.lit("INCLUDE")).alias("decision"))
-    return rows.unionByName(result.exclusions.select("share_id", "path", F.col("rule").alias("decision")))
+    return _with_ignored_dirs(classify(files, TEXTS, ignore_rules=gather_ignore_rules(files)))
+
+
+def _with_ignored_dirs(result: Classified) -> DataFrame:
+    """Every decision, and one row per ignored directory; from one scan."""
+    own = F.struct("path", F.coalesce("rule", "prune_reason", F.lit("INCLUDE")).alias("decision"))
+    folder = F.when(F.col("ign_depth").isNotNull(), F.struct(F.expr("substring_index(path, '/', ign_depth)").alias("path"), F.lit("OPS-GITIGNORE").alias("decision")))
+    rows = result.decisions.select("share_id", F.explode(F.array_compact(F.array(own, folder))).alias("k"))
+    return rows.select("share_id", "k.*").distinct()
+
+
+def ignore_extra_names(spark, sf):
+    """Every share has two ignore files; the settings of even shares name the second one too."""
+    docs = K.load(spark, sf, K.TWO_IGNORES)
+    settings = docs.where("share_no % 2 = 0").select("share_id").distinct().select("share_id", F.lit('{"ignore_files": [".shareignore"]}').alias("json"))
+    rows, files = overrides_from_json(settings), files_from_texts(docs)
+    return _with_ignored_dirs(classify(files, TEXTS, overrides=rows, ignore_rules=gather_ignore_rules(files, TEXTS.ignore_files, rows)))
 
 
 # -- personal data -------------------------------------------------------------
@@ -426,7 +437,7 @@ def verify_status(spark, sf):
 
 QUERIES = [
     content_exclusions_by_rule, content_first_hit, content_scan_pages, share_mode_diff, path_rule_decisions, decision_map,
-    source_only_and_filters, gate_verdict, allow_override_log, per_share_overrides, ignore_decisions, pii_hits_by_doc,
+    source_only_and_filters, gate_verdict, allow_override_log, per_share_overrides, ignore_decisions, ignore_extra_names, pii_hits_by_doc,
     pii_by_lang, pii_by_label, pii_pages, pii_authors, pii_gate, redacted_documents, redacted_authors, manifest_files,
     manifest_header, content_hash_by_source, exclusion_tally, checksum_lines, share_report_rules, tracked_not_shipped,
     shipped_not_tracked, tracked_reason_buckets, verify_objects, triage_top_paths, triage_ext_histogram,

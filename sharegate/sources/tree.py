@@ -18,6 +18,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sharegate import policy
 from sharegate.functions.paths import basename, suffix
+from sharegate.operators.ignore import gather_ignore_rules, ignore_files, mark_ignored
+from sharegate.operators.joins import lookup_join
+from sharegate.operators.settings import complete_overrides
+from sharegate.policy import ShareSettings
 
 FORMAT = "sharegate_tree"
 LISTING = "share_id string, path string, length long, modified timestamp, read_error string"
@@ -137,8 +141,12 @@ _ARROW = pa.schema([("share_id", pa.string()), ("path", pa.string()), ("content"
                     ("modified", pa.timestamp("us", tz="UTC")), ("read_error", pa.string())])
 
 
+_MARKS = [("ign_file", pa.bool_()), ("ign_depth", pa.int32())]
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    marked = "ign_depth" in rows[0]
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([*_ARROW, *(pa.field(*m) for m in _MARKS)]) if marked else _ARROW)
 
 
 def read_files(listing: DataFrame, root: str, tasks: int | None = None, *, max_bytes: int | None = policy.MAX_SCAN_BYTES,
@@ -146,6 +154,7 @@ def read_files(listing: DataFrame, root: str, tasks: int | None = None, *, max_b
     """Listed files with their whole content, dealt out over ``tasks`` (default:
     ``spark.sql.shuffle.partitions``).
 
+    Files that an ignore decision on the listing settles (``ignore.mark_ignored``) are not read, unless their path is in ``allow``.
     Files above ``max_bytes`` (the run's ``max_scan_bytes``) are only read if their kind is scanned at any size or their path is in ``allow``. A file
     too large for one value counts as unreadable, so it is withheld."""
     safe = suffix(basename(F.col("path"))).isin(policy.BINARY_SAFE_EXTS)
@@ -153,7 +162,24 @@ def read_files(listing: DataFrame, root: str, tasks: int | None = None, *, max_b
     if max_bytes is not None:
         small = (F.col("length") <= max_bytes) | safe
         wanted &= small if not allow else small | F.col("path").isin(*allow)
-    rows = listing.select("share_id", "path", "length", "modified", "read_error",
+    marks = [c for c, _ in _MARKS] if "ign_depth" in listing.columns else []
+    if marks:
+        wanted &= F.col("ign_depth").isNull() & (~F.coalesce("ign_file", F.lit(False)) | F.col("path").isin(*allow))
+    rows = listing.select("share_id", "path", "length", "modified", "read_error", *marks,
                           F.coalesce(wanted, F.lit(False)).alias("wanted"))
     tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks).mapInArrow(_reader(os.path.abspath(root)), FILES)
+    return rows.repartition(tasks).mapInArrow(_reader(os.path.abspath(root)), FILES + (", ign_file boolean, ign_depth int" if marks else ""))
+
+
+def read_share(listing: DataFrame, root: str, settings: ShareSettings, *, overrides: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """Listed files for ``classify``: ignore files are read first, decide on the listing, and what they ignore is not read."""
+    if not settings.respect_ignore:
+        return read_files(listing, root, tasks, max_bytes=settings.max_scan_bytes, allow=settings.allow)
+    sources = ignore_files(listing, settings.ignore_files, overrides).drop("name_ord")
+    rules = gather_ignore_rules(read_files(sources, root, tasks), settings.ignore_files, overrides)
+    depth = settings.focus.strip("/").count("/") + 1 if settings.focus else 0
+    marked = mark_ignored(listing, rules, min_depth=depth)
+    if overrides is not None:  # a share may allow a file that is ignored
+        allowed = complete_overrides(overrides).select("share_id", F.explode("allow").alias("path")).distinct().withColumn("_allowed", F.lit(True))
+        marked = lookup_join(marked, allowed, ["share_id", "path"]).withColumn("ign_file", F.col("ign_file") & F.col("_allowed").isNull()).drop("_allowed")
+    return read_files(marked, root, tasks, max_bytes=settings.max_scan_bytes, allow=settings.allow)
