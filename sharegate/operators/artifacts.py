@@ -13,6 +13,7 @@ from sharegate.functions.sql import quote
 from sharegate.functions.text import decode_replace, render_block
 from sharegate.operators import audit
 from sharegate.operators.classify import Classified
+from sharegate.operators.joins import lookup_join
 from sharegate.operators.ordered import greedy_bins, ordered_sha256
 from sharegate.operators.settings import complete_overrides, one_per_share
 from sharegate.policy import ShareSettings, policy_fingerprint
@@ -26,64 +27,105 @@ def manifest_files(included: DataFrame) -> DataFrame:
     return included.select("share_id", "path", "size", "sha256")
 
 
+def _hash_or_error() -> Column:
+    return F.coalesce("sha256", F.raise_error(F.concat(F.lit("included file without a hash: "), "path")).cast("string"))
+
+
 def content_hash(files: DataFrame) -> DataFrame:
-    """(share_id, content_sha256) over the sorted (path, file hash) list of each share. A file without a hash is an error."""
-    sha = F.coalesce("sha256", F.raise_error(F.concat(F.lit("included file without a hash: "), "path")).cast("string"))
-    line = F.concat("path", F.lit("\u0000"), sha, F.lit("\n"))
+    """(share_id, content_sha256) over the sorted (path, file hash) list of each share. A file without a hash is an error.
+
+    One stream of one hash, which one task reads in the end: the option for consumers that know this value."""
+    line = F.concat("path", F.lit("\u0000"), _hash_or_error(), F.lit("\n"))
     return ordered_sha256(files, "share_id", ["path"], line, "content_sha256")
 
 
+def _leaf(path: str = "path") -> Column:
+    """Name of the leaf that a path belongs to: four hexadecimal digits of its SHA-256."""
+    return F.substring(F.sha2(path, 256), 1, 4)
+
+
+def _level(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias(out))
+
+
+def hash_leaves(files: DataFrame) -> DataFrame:
+    """(share_id, leaf, h): the hash tree of each share, as its 65,536 leaves. A leaf's hash is that of its sorted
+    (path, file hash) lines. Leaves are fixed by the path, so no value depends on partitions. A file without a hash is an error."""
+    line = F.concat("path", F.lit("\u0000"), _hash_or_error(), F.lit("\n"))
+    return _level(files.select("share_id", _leaf().alias("leaf"), line.alias("line")), ["share_id", "leaf"], "h")
+
+
+def hash_branches(leaves: DataFrame) -> DataFrame:
+    """(share_id, branch, h): a branch (two digits) has the hash of its sorted leaf lines."""
+    return _level(leaves.select("share_id", F.substring("leaf", 1, 2).alias("branch"), F.concat("leaf", F.lit(" "), "h", F.lit("\n")).alias("line")), ["share_id", "branch"], "h")
+
+
+def hash_roots(branches: DataFrame) -> DataFrame:
+    return _level(branches.select("share_id", F.concat("branch", F.lit(" "), "h", F.lit("\n")).alias("line")), ["share_id"], "content_sha256")
+
+
 def content_hash_tree(files: DataFrame) -> DataFrame:
-    """(share_id, content_sha256): a hash of the same list that no single task has to read.
+    """(share_id, content_sha256): the root of each share's hash tree. No task reads a share."""
+    return hash_roots(hash_branches(hash_leaves(files)))
+
+
+def _differing(a: DataFrame, b: DataFrame, keys: list[str], value: str = "h") -> DataFrame:
+    """Keys whose hash differs or that one side lacks."""
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full_outer")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys)
+
 
-    A file belongs to the leaf that the first four hexadecimal digits of its path's SHA-256 name. A leaf's hash is that of its
-    sorted lines, a branch's (two digits) that of its sorted leaf lines, a share's that of its branches. Leaves are fixed by
-    the path, so the value does not depend on partitions."""
-    digits = F.sha2("path", 256)
-    rows = files.select("share_id", F.substring(digits, 1, 2).alias("branch"), F.substring(digits, 1, 4).alias("leaf"),
-                        F.concat("path", F.lit("\u0000"), "sha256", F.lit("\n")).alias("line"))
+def changed_leaves(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """(share_id, leaf) in which two trees (``hash_leaves``) differ: down from the roots, only what differs is opened."""
+    a, b = hash_branches(recorded), hash_branches(found)
+    shares = _differing(hash_roots(a), hash_roots(b), ["share_id"], "content_sha256")
+    branches = _differing(*(x.join(shares, "share_id", "left_semi") for x in (a, b)), ["share_id", "branch"])
+    opened = [x.withColumn("branch", F.substring("leaf", 1, 2)).join(branches, ["share_id", "branch"], "left_semi") for x in (recorded, found)]
+    return _differing(*opened, ["share_id", "leaf"])
 
-    def level(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias(out))
 
-    leaves = level(rows, ["share_id", "branch", "leaf"], "h").select("share_id", "branch", F.concat("leaf", F.lit(" "), "h", F.lit("\n")).alias("line"))
-    branches = level(leaves, ["share_id", "branch"], "h").select("share_id", F.concat("branch", F.lit(" "), "h", F.lit("\n")).alias("line"))
-    return level(branches, ["share_id"], "content_sha256")
+def changed_paths(listed: DataFrame, delivered: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """(share_id, path, status): files that are MISSING, CORRUPT or UNLISTED among ``delivered(share_id, path, sha256)``, found by
+    descending both hash trees; ``recorded`` is the stored tree of ``listed``. Entries of leaves that agree are compared with nothing."""
+    found = materialize(hash_leaves(delivered))
+    leaves = materialize(changed_leaves(materialize(hash_leaves(listed)) if recorded is None else recorded, found))
+    near = [x.withColumn("leaf", _leaf()).join(leaves, ["share_id", "leaf"], "left_semi").select("share_id", "path", "sha256") for x in (listed, delivered)]
+    return audit.verify_objects(*near).where("status <> 'OK'")
 
 
 def manifest_header(result: Classified, *, generated_utc: str, source_root: str = "",
-                    shards: DataFrame | None = None) -> DataFrame:
-    """One row per share with counts, content hash and the policy that applied.
+                    shards: DataFrame | None = None, hashing: str = "tree") -> DataFrame:
+    """One row per share with counts, content hash and the policy that applied. ``hash_kind`` says how the content hash is
+    made: the root of a tree, or (``hashing="stream"``) one hash over the whole list, which one task reads.
 
-    Shares whose files were all withheld still get a row."""
+    Shares whose files were all withheld still get a row. A directory that is ignored counts once among the excluded."""
     decisions, settings = result.decisions, result.settings
-    live = decisions.where("status <> 'pruned'")
-    counts = live.groupBy("share_id").agg(
-        F.count_if(F.col("status") == "included").alias("file_count"),
-        F.coalesce(F.sum(F.when(F.col("status") == "included", F.col("size"))), F.lit(0)).alias("total_bytes"))
-    held = result.exclusions.groupBy("share_id").agg(F.count(F.lit(1)).alias("excluded_count"))
-    out = (decisions.select("share_id").distinct()
-           .join(counts, "share_id", "left").join(held, "share_id", "left")
-           .join(content_hash(result.included), "share_id", "left")
-           .select("share_id", F.coalesce("file_count", F.lit(0)).alias("file_count"),
-                   F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"),
-                   F.coalesce("excluded_count", F.lit(0)).alias("excluded_count"),
+    hashed = {"tree": content_hash_tree, "stream": content_hash}[hashing](result.included)
+    # an ignored directory is counted at its first file: partial sums per (share, directory), then per share
+    folder = F.when(F.col("ign_depth").isNotNull(), F.expr("substring_index(path, '/', ign_depth)"))
+    once = decisions.groupBy("share_id", folder.alias("_dir")).agg(
+        F.count_if(F.col("status") == "included").alias("i"), F.sum(F.when(F.col("status") == "included", F.col("size"))).alias("b"),
+        F.count_if(F.col("status") == "excluded").alias("x"))
+    counts = once.groupBy("share_id").agg(F.sum("i").alias("file_count"), F.coalesce(F.sum("b"), F.lit(0)).alias("total_bytes"),
+                                          (F.sum("x") + F.count("_dir")).alias("excluded_count"))
+    out = (counts.join(hashed, "share_id", "left")
+           .select("share_id", "file_count", "total_bytes", "excluded_count", F.lit(hashing).alias("hash_kind"),
                    F.coalesce("content_sha256", F.lit(EMPTY_SHA256)).alias("content_sha256")))
     if shards is not None:
         n = shards.groupBy("share_id").agg(F.count(F.lit(1)).alias("shard_count"))
         out = out.join(n, "share_id", "left").withColumn("shard_count", F.coalesce("shard_count", F.lit(0)))
-    mode, fingerprint = F.lit(settings.share_mode), F.lit(policy_fingerprint(settings))
+    mode, fingerprint, chars = F.lit(settings.share_mode), F.lit(policy_fingerprint(settings)), F.lit(settings.max_chars)
     if result.overrides is not None:
         # a share with settings of its own is recorded with its mode and a fingerprint over both
         rows = one_per_share(complete_overrides(result.overrides))
-        own = rows.select("share_id", F.col("share_mode").alias("_mode"), F.to_json(F.struct(*sorted(c for c in rows.columns if c != "share_id"))).alias("_own"))
+        own = rows.select("share_id", F.col("share_mode").alias("_mode"), F.col("max_chars").alias("_chars"), F.to_json(F.struct(*sorted(c for c in rows.columns if c != "share_id"))).alias("_own"))
         out = out.join(own, "share_id", "left")
-        mode = F.coalesce("_mode", mode)
+        mode, chars = F.coalesce("_mode", mode), F.coalesce("_chars", chars)
         fingerprint = F.when(F.col("_own").isNull(), fingerprint).otherwise(F.sha2(F.concat(fingerprint, "_own"), 256))
     return (out.withColumn("schema", F.lit("sharegate.manifest/v1"))
                .withColumn("generated_utc", F.lit(generated_utc)).withColumn("share_mode", mode)
                .withColumn("policy_version", F.lit(policy.POLICY_VERSION))
-               .withColumn("policy_sha256", fingerprint).drop("_mode", "_own")
+               .withColumn("policy_sha256", fingerprint).withColumn("max_chars", chars.cast("long")).drop("_mode", "_own", "_chars")
                .withColumn("source_root", F.lit(source_root)).withColumn("focus", F.lit(settings.focus))
                .withColumn("selection", F.lit(result.selection)))
 
@@ -95,15 +137,19 @@ def _blocks(files: DataFrame) -> DataFrame:
                  .withColumn("block", F.expr(render_block("path", "_ext", "_text"))).drop("_ext", "_text"))
 
 
-def shard_assignment(files: DataFrame, included: DataFrame, max_chars: int = policy.MAX_SHARD_CHARS) -> DataFrame:
-    """(share_id, path, size, n, bin): the shard each included file goes to.
+def shard_assignment(files: DataFrame, included: DataFrame, max_chars: int = policy.MAX_SHARD_CHARS, overrides: DataFrame | None = None) -> DataFrame:
+    """(share_id, path, size, n, bin): the shard each included file goes to. A share's own ``max_chars`` in ``overrides`` goes before the run's.
 
     Only block lengths travel; the text is rendered again when shards are written. A block
     longer than ``max_chars`` gets a shard of its own."""
     lengths = _blocks(files.select("share_id", "path", "content")) \
         .select("share_id", "path", F.length("block").cast("long").alias("n"))
     sized = included.select("share_id", "path", "size").join(lengths, ["share_id", "path"])
-    return greedy_bins(sized, "share_id", max_chars)
+    if overrides is None:
+        return greedy_bins(sized, "share_id", max_chars)
+    own = one_per_share(complete_overrides(overrides)).select("share_id", F.col("max_chars").alias("_own"))
+    limited = lookup_join(sized, own, ["share_id"]).withColumn("_most", F.coalesce("_own", F.lit(max_chars)))
+    return greedy_bins(limited, "share_id", "_most")
 
 
 def merged_shards(files: DataFrame, assignment: DataFrame, prefix: str = "") -> DataFrame:
@@ -145,7 +191,8 @@ def share_report(header: DataFrame, exclusions: DataFrame, settings: ShareSettin
 
     Sorting by (part, ord) gives the document. Excluded files are rows and are never
     gathered, so a share may have any number of them."""
-    shards = "concat('**Merged: ', shard_count, ' shard(s) @ ', format_number(" f"{settings.max_chars}" ", 0), ' chars**')"
+    most = "max_chars" if "max_chars" in header.columns else str(settings.max_chars)
+    shards = f"concat('**Merged: ', shard_count, ' shard(s) @ ', format_number({most}, 0), ' chars**')"
     head = [
         "concat('# Share report - ', upper(share_mode))", "''", "concat('- Generated: ', generated_utc)",
         "concat('- Source root: `', source_root, '`')", "concat('- Focus: `', coalesce(focus, '(none)'), '`')",
@@ -200,15 +247,15 @@ def share_events(header: DataFrame, exclusions: DataFrame, *, archive: str = "",
                  max_chars: int | None = None) -> DataFrame:
     """One ``share`` event per share. The excluded paths and the overrides are the exclusion and override tables of the same
     share and time, not arrays inside the event."""
-    for name in ("shard_count", "raw_files_included"):
+    for name in ("shard_count", "raw_files_included", "max_chars"):
         if name not in header.columns:
-            header = header.withColumn(name, F.lit(None).cast("long" if name == "shard_count" else "boolean"))
+            header = header.withColumn(name, F.lit(None).cast("boolean" if name == "raw_files_included" else "long"))
     return (header.join(audit.rule_tally(exclusions), "share_id", "left")
             .select(F.lit("share").alias("event"), F.col("generated_utc").alias("timestamp_utc"), "share_id",
                     F.lit(archive).alias("archive"), F.lit(archive_bytes).cast("long").alias("archive_bytes"),
-                    "content_sha256", "share_mode", "policy_version", "policy_sha256", "source_root", "focus",
+                    "content_sha256", *(["hash_kind"] if "hash_kind" in header.columns else []), "share_mode", "policy_version", "policy_sha256", "source_root", "focus",
                     "selection", F.col("file_count").alias("included_count"), F.col("total_bytes").alias("included_bytes"),
-                    "excluded_count", F.col("shard_count").alias("merged_shards"), F.lit(max_chars).cast("long").alias("merged_max_chars"),
+                    "excluded_count", F.col("shard_count").alias("merged_shards"), (F.lit(None) if max_chars is None else F.coalesce("max_chars", F.lit(max_chars))).cast("long").alias("merged_max_chars"),
                     "raw_files_included", F.coalesce("excluded_by_rule", F.expr("cast(map() AS map<string,bigint>)")).alias("excluded_by_rule")))
 
 
@@ -228,7 +275,7 @@ def pack(files: DataFrame, result: Classified, *, generated_utc: str, source_roo
     settings, out = result.settings, {}
     shards = None
     if merge:
-        assignment = materialize(shard_assignment(files, result.included, settings.max_chars))
+        assignment = materialize(shard_assignment(files, result.included, settings.max_chars, result.overrides))
         shards = merged_shards(files, assignment, prefix)
         out["shards"] = shards
         shards = materialize(shards.drop("text"))

@@ -164,7 +164,7 @@ def manifest_files(spark, sf):
 
 
 def manifest_header(spark, sf):
-    header = artifacts.manifest_header(_flat(spark, sf).materialized(), generated_utc=NOW_UTC)
+    header = artifacts.manifest_header(_flat(spark, sf).materialized(), generated_utc=NOW_UTC, hashing="stream")
     return header.select("share_id", "file_count", "total_bytes", "excluded_count", "content_sha256", "share_mode")
 
 
@@ -420,19 +420,41 @@ def _delivery(spark, sf):
     sent = listed.join(toxic, "doc_id", "left").where("share_id <> 'src1'") \
                  .withColumn("sha256", F.when(F.col("changed"), F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     shares = docs.select("share_id").distinct()
-    header = shares.join(artifacts.content_hash(listed), "share_id", "left") \
+    header = shares.join(artifacts.content_hash_tree(listed), "share_id", "left") \
                    .withColumn("content_sha256", F.coalesce("content_sha256", F.lit(artifacts.EMPTY_SHA256)))
     return listed, sent, header
 
 
 def verify_hashes(spark, sf):
     listed, sent, header = _delivery(spark, sf)
-    return audit.verify_hashes(header, artifacts.content_hash(sent))
+    return audit.verify_hashes(header, artifacts.content_hash_tree(sent))
 
 
 def verify_status(spark, sf):
     listed, sent, header = _delivery(spark, sf)
-    return audit.share_status(audit.verify_objects(listed, sent), audit.verify_hashes(header, artifacts.content_hash(sent)))
+    return audit.share_status(audit.verify_objects(listed, sent), audit.verify_hashes(header, artifacts.content_hash_tree(sent)))
+
+
+def manifest_header_tree(spark, sf):
+    """The default header: counts in one aggregate, the root of the hash tree as content hash."""
+    header = artifacts.manifest_header(_flat(spark, sf).materialized(), generated_utc=NOW_UTC)
+    return header.select("share_id", "file_count", "total_bytes", "excluded_count", "content_sha256", "hash_kind")
+
+
+def verify_changed_paths(spark, sf):
+    """Which files of a delivery differ, by descending the hash trees."""
+    listed, sent, _ = _delivery(spark, sf)
+    return artifacts.changed_paths(listed, sent)
+
+
+def shard_assignment_per_share(spark, sf):
+    """Even shares have shards of half the size."""
+    files = _files(spark, sf, K.PLAIN)
+    included = files.select("share_id", "path", F.col("length").alias("size"))
+    number = F.substring_index("share_id", "src", -1).cast("int")
+    own = included.select("share_id").distinct().where(number % 2 == 0).select("share_id", F.lit(SHARD_CHARS // 2).alias("max_chars"))
+    rows = artifacts.shard_assignment(files, included, SHARD_CHARS, own)
+    return rows.select("share_id", "path", F.col("n").alias("chars"), F.col("bin").alias("shard_no"))
 
 
 QUERIES = [
@@ -444,7 +466,7 @@ QUERIES = [
     shard_assignment, shard_manifest, retention_plan, retention_summary, ledger_rollup, quick_findings,
     quick_scan_verdict, quick_verdict_pages, structural_paths, folder_sums, structural_pages, stream_gate, stream_rule_rollup,
     allow_unreadable, override_settings, manifest_header_per_share, long_texts, reading_gates, focus_and_output, select_paths, quick_many_runs,
-    content_hash_tree, verify_hashes, verify_status,
+    content_hash_tree, verify_hashes, verify_status, manifest_header_tree, verify_changed_paths, shard_assignment_per_share,
 ]
 
 

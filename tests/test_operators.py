@@ -80,6 +80,59 @@ def test_greedy_bins(spark, many_pieces, limit, sizes):
     assert ordered.segments(df, ["share_id", "size", "path"]).where("share_id = 'hot'").select("seg").distinct().count() > 1
 
 
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_greedy_bins_put_together_in_blocks(spark, many_pieces, monkeypatch, fan):
+    """Own limits per share, pieces in several levels of blocks, items longer than a bin; equal to filling one by one."""
+    monkeypatch.setattr("sharegate.operators.ordered.FAN", fan)
+    rng = random.Random(fan)
+    rows = [(share, rng.randrange(40), f"p{i:04}", rng.choice([0, 1, 3, 10, 11, 40, 90])) for share, n in (("a", 900), ("b", 40), ("c", 1)) for i in range(n)]
+    limits = {"a": 100, "b": 25, "c": 5}
+    df = spark.createDataFrame([(*r, limits[r[0]]) for r in rows], "share_id string, size long, path string, n long, most int")
+    from sharegate.operators.ordered import greedy_bins
+    got = {(r.share_id, r.path): r.bin for r in greedy_bins(df, "share_id", "most").collect()}
+    for share, limit in limits.items():
+        number, fill = 0, None
+        for _, _, path, n in sorted(r for r in rows if r[0] == share):
+            if fill is None or fill + n > limit:
+                number, fill = number + 1, 0
+            fill += n
+            assert got[share, path] == number, (share, path)
+
+
+def test_step_functions_compose():
+    from sharegate.operators.ordered import Step, _piece_summary
+    import pandas as pd
+    rng = random.Random(8)
+    for _ in range(60):
+        limit = rng.choice([10, 37])
+        pieces = [[rng.randrange(1, 15) for _ in range(rng.randrange(1, 9))] for _ in range(4)]
+        steps = [Step.of(_piece_summary("g")(pd.DataFrame({"g": "x", "seg": k, "size": range(len(p)), "path": "p", "n": p, "_limit": limit}))) for k, p in enumerate(pieces)]
+        whole = steps[0].then(steps[1]).then(steps[2].then(steps[3]))
+        for start in [(0, 0), *((3, f) for f in range(1, 50))]:
+            state = start
+            for step in steps:
+                state = step.after(*state)
+            assert whole.after(*start) == state
+
+
+def test_hash_trees_show_what_changed(spark):
+    rows = [(f"s{k % 3}", f"dir/{k}", hashlib.sha256(str(k).encode()).hexdigest()) for k in range(500)]
+    listed = spark.createDataFrame(rows, "share_id string, path string, sha256 string")
+    sent = [r for r in rows if r[1] not in ("dir/7", "dir/8")]
+    sent = [(s, p, "0" * 64 if p == "dir/33" else h) for s, p, h in sent] + [("s0", "new", "1" * 64), ("s9", "lone", "2" * 64)]
+    delivered = spark.createDataFrame(sent, "share_id string, path string, sha256 string")
+    want = {("s1", "dir/7", "MISSING"), ("s2", "dir/8", "MISSING"), ("s0", "dir/33", "CORRUPT"), ("s0", "new", "UNLISTED"), ("s9", "lone", "UNLISTED")}
+    stored = materialize(artifacts.hash_leaves(listed))
+    for recorded in (None, stored):
+        assert {tuple(r) for r in artifacts.changed_paths(listed, delivered, recorded).collect()} == want
+    assert artifacts.changed_paths(listed, listed).count() == 0
+    assert artifacts.changed_leaves(stored, artifacts.hash_leaves(delivered)).count() <= 5
+    roots = artifacts.hash_roots(artifacts.hash_branches(stored))
+    assert {tuple(r) for r in roots.collect()} == {tuple(r) for r in artifacts.content_hash_tree(listed).collect()}
+    with pytest.raises(Exception, match="without a hash"):
+        artifacts.content_hash_tree(listed.withColumn("sha256", F.lit(None).cast("string"))).collect()
+
+
 def test_content_hash(spark, many_pieces):
     rows = [("s", f"{c}/é{i}", f"{i:064x}") for i in range(2000) for c in ("z", "\U0001F600", "�")] + [("t", "a", "b" * 64)]
     df = spark.createDataFrame(rows, "share_id string, path string, sha256 string")
@@ -138,6 +191,7 @@ def test_pack_and_verify(spark, make_files, tmp_path):
     sums = [r.line for r in out["checksums"].where("share_id = 's1'").orderBy("part", "path").collect()]
     assert sums[0].endswith("  a.md") and sums[-1].endswith("part02.txt") and len(sums) == 5
 
+    assert head["s1"].content_sha256 == {r.share_id: r for r in artifacts.content_hash_tree(out["manifest_files"]).collect()}["s1"].content_sha256 and head["s1"].hash_kind == "tree"
     listed, good = out["manifest_files"], artifacts.content_hash(out["manifest_files"])
     ok = audit.share_status(audit.verify_objects(listed, listed), audit.verify_hashes(good, good))
     assert {(r.problems, r.status) for r in ok.collect()} == {(0, 0)}
