@@ -117,7 +117,7 @@ def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     parts = min(MOST_PARTS, size_estimate(rows, "text", PART_BYTES))
     bounds = range_bounds(rows, "doc_id", parts)
-    placed = rows.withColumn("part", piece_of(F.col("doc_id"), bounds)).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
+    placed = rows.withColumn("part", piece_of(F.col("doc_id"), bounds)).repartitionByRange(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
 
     def run(batches):
         ids_of = tokenize.encoder(model).ids

@@ -13,7 +13,8 @@ import os
 import sys
 from array import array
 
-END_ID, CACHE_WORDS = 2, 300_000
+END_ID, CACHE_WORDS = 2, 500_000
+MARKS = ".,;:!?)"  # frequent ones behind words
 #: White space beside blank and line break, by Unicode or by Python's split.
 OTHER_SPACE = tuple(map(chr, [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -36,6 +37,9 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
+BLANK = _byte_characters()[32]
+
+
 class Words(dict):
     """Ids (bytes of little-endian uint32) of words after a blank or with their line break."""
 
@@ -58,9 +62,10 @@ class Words(dict):
         return found
 
     def _new(self, word: str) -> bytes:
-        if word.isalpha():
-            return _bytes_of([t.id for t in self.merge((" " + word).encode().decode("latin-1").translate(self.characters))])
-        k = len(word)
+        if word.isalpha():  # ASCII letters stand for themselves
+            written = BLANK + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(self.characters)
+            return _bytes_of([t.id for t in self.merge(written)])
+        k = len(word.rstrip(MARKS))
         while k and not word[k - 1].isalnum():
             k -= 1
         if 0 < k < len(word) and word[k - 1].isalpha():
