@@ -10,16 +10,23 @@ likely. The likeness of two fingerprints is the share of equal samples.
 The random bits repeat after ``PERIOD`` steps and treat characters of one of ``CLASSES`` classes alike.
 
 ``with_next_edit`` orders documents by id over range pieces and gives each its next one; ``near_classes`` and ``with_classes`` band and verify.
+Fingerprints with a likeness of 0.8 differ in at most 25 samples, so of 32 bands of four samples 7 are equal in both, and of six groups
+of bands one holds two of those: a key for each two bands of a group (70 keys of eight samples) misses no pair, and texts that
+are not alike hardly ever share one. Keys travel packed, six bytes each. Members of a key are verified against its smallest one; keys whose
+members then still belong to several classes have their members of different classes compared.
 
 Defined results: a null text is empty; an empty text has the fingerprint of zeros, like only another empty text; equal texts have equal
-fingerprints; rows with equal ids are ordered by text; a null id comes first; an empty table gives an empty one. Texts
+fingerprints; rows with equal ids are ordered by text; a null id comes first, and a class is named by its smallest id, which is null
+only where no member has one; an empty table gives an empty one. Texts
 of any length are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +116,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _pack_parts(batches):
+    """Rows of a batch by their part, compressed together: a quarter of the bytes of single texts."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])).tolist() if len(part) else []
+        blobs = []
+        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            sink = pa.BufferOutputStream()
+            rows = batch.select(["guest", "key", "text", "doc_id"]).take(pa.array(order[a:b]))
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+
+def _unpack(blob: bytes):
+    rows = pa.ipc.open_stream(blob).read_all()
+    return zip(*(rows.column(c).to_pylist() for c in ("guest", "key", "text", "doc_id")), strict=True)
+
+
 def with_next_edit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal), near_edited, near_next.
 
@@ -125,7 +153,7 @@ def with_next_edit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     guests = placed.join(heads, "key").groupBy("_to", "key").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
     everyone = placed.select("part", F.lit(0).alias("guest"), "key", "text", "doc_id") \
                      .unionByName(guests.select(F.col("_to").alias("part"), F.lit(1).alias("guest"), "key", "text", "doc_id"))
-    ordered = everyone.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "guest", "key", "text")
+    packed = everyone.mapInArrow(_pack_parts, "part int, rows binary").repartition(len(bounds) + 1, "part").sortWithinPartitions("part")
 
     def sketch(ids, texts, following):
         """Rows of the texts; ``following`` is the next of the last."""
@@ -141,20 +169,31 @@ def with_next_edit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             "fingerprint": hexes, "edited_fingerprint": [p.tobytes().hex() for p in edits],
             "near_edited": (own == edits).mean(axis=1), "near_next": (own == after).mean(axis=1)})
 
+    def sketched(blobs):
+        """The documents of one part in order; its guest, if any, comes last and is only a neighbour."""
+        rows = sorted((row for b in blobs for row in _unpack(b)), key=lambda r: (r[0], r[1], r[2].encode("utf-8", "surrogatepass")))
+        own = [r for r in rows if not r[0]]
+        following = rows[len(own)][2] if len(own) < len(rows) else own[0][2]  # the very last is followed by the very first
+        start = held = 0
+        for k, row in enumerate(own):
+            held += len(row[2])
+            if held > CHUNK_CHARS or k == len(own) - 1:
+                yield sketch([r[3] for r in own[start:k + 1]], [r[2] for r in own[start:k + 1]], own[k + 1][2] if k + 1 < len(own) else following)
+                start, held = k + 1, 0
+
     def run(batches):
-        ids, texts, held, part = [], [], 0, None
+        part, blobs = None, []
         for batch in batches:
-            for p, guest, text_, doc in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "text", "doc_id")), strict=True):
-                if texts and p == part and (guest or held > CHUNK_CHARS):
-                    yield sketch(ids, texts, text_)
-                    ids, texts, held = [], [], 0
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if blobs and p != part:
+                    yield from sketched(blobs)
+                    blobs = []
                 part = p
-                if not guest:
-                    ids.append(doc)
-                    texts.append(text_)
-                    held += len(text_)
+                blobs.append(blob)
+        if blobs:
+            yield from sketched(blobs)
 
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    return packed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                    "near_edited double, near_next double")
 
 
@@ -185,19 +224,88 @@ def with_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
     return rows.join(found, "fingerprint").select(*rows.columns, "class_id")
 
 
-def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
-    """(fingerprint, class_id) of each fingerprint of (doc_id, fingerprint).
+BANDS, SLICE_KEYS = 32, 1 << 20
+
+
+def band_pairs(likeness: float) -> list[tuple[int, int]]:
+    """Two bands for each key. With ``d`` differing samples BANDS - d bands are equal; spread over one group less than that, two of them share a group."""
+    clean = BANDS - (SAMPLES - math.ceil(likeness * SAMPLES))
+    if clean < 2:
+        raise ValueError(f"a likeness above {1 - (BANDS - 2) / SAMPLES} is needed")
+    groups = min(clean - 1, BANDS // 2)
+    return [pair for g in range(groups) for pair in itertools.combinations(range(g, BANDS, groups), 2)]
 
-    Fingerprints with the likeness differ in at most SAMPLES * (1 - likeness) samples, so that one of one more bands than that is equal
-    in both: no pair is missed. Equal fingerprints are one node. Members of a bucket are verified over all samples against a
-    centre, another in each band; then all pairs of other classes in a bucket are."""
-    bands = min(SAMPLES, SAMPLES - math.ceil(likeness * SAMPLES) + 1)
+
+def _key_blobs(pairs: list[tuple[int, int]], slices: int):
+    """(nid, fingerprint) to rows of packed keys: per batch and slice the ids of the batch, and for each key its id's place and 32 bits."""
+    first, second = (np.array(x) for x in zip(*pairs, strict=True))
+    salt = np.random.default_rng(7).integers(0, 1 << 63, len(pairs), np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                piece = batch.slice(at, 1 << 14)
+                bands = np.frombuffer(b"".join(piece.column("fingerprint").to_pylist()), "<u4").reshape(-1, BANDS).astype(np.uint64)
+                key = (bands[:, first] << np.uint64(32) | bands[:, second]) ^ salt
+                for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+                    key = (key ^ key >> np.uint64(shift)) * np.uint64(factor)
+                key = (key ^ key >> np.uint64(32)).reshape(-1)
+                where = (key >> np.uint64(32)) % np.uint64(slices)
+                order = np.argsort(where, kind="stable")
+                cuts = np.searchsorted(where[order], np.arange(slices + 1))
+                ids = zlib.compress(np.diff(piece.column("nid").to_numpy(), prepend=0).astype("<i8").tobytes(), 1)
+                place, bits = (order // len(pairs)).astype("<u2"), key[order].astype("<u4")  # the low half
+                full = [s for s in range(slices) if cuts[s] < cuts[s + 1]]
+                yield pa.RecordBatch.from_pydict({
+                    "slice": pa.array(full, pa.int32()), "ids": pa.array([ids] * len(full), pa.binary()),
+                    "place": pa.array([place[cuts[s]:cuts[s + 1]].tobytes() for s in full], pa.binary()),
+                    "bits": pa.array([bits[cuts[s]:cuts[s + 1]].tobytes() for s in full], pa.binary())})
+
+    return run
+
+
+def _meetings(batches):
+    """Keys with company, slice by slice: (a, b) of each member beside the smallest one (bucket null), and the members of
+    keys with three or more (b null), each set of members once."""
+    def met(number, blobs):
+        bits = np.concatenate([np.frombuffer(b[2], "<u4") for b in blobs])
+        nid = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(b[0]), "<i8"))[np.frombuffer(b[1], "<u2")] for b in blobs])
+        order = np.lexsort((nid, bits))
+        bits, nid = bits[order], nid[order]
+        start = np.flatnonzero(np.append(True, bits[1:] != bits[:-1]))
+        size = np.diff(np.append(start, len(bits)))
+        of = np.repeat(np.arange(len(start)), size)
+        least = nid[start][of]
+        pairs = np.unique(np.stack([least, nid], axis=1)[least != nid], axis=0)
+        mixed = nid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        name = np.add.reduceat(mixed ^ mixed >> np.uint64(31), start)
+        many = np.flatnonzero(size >= 3)
+        many = many[np.unique(name[many], return_index=True)[1]]
+        crowd = np.isin(of, many)
+        bucket = (np.int64(number) << 32) + of[crowd]
+        a, b = np.append(pairs[:, 0], nid[crowd]), np.append(pairs[:, 1], np.zeros(crowd.sum(), np.int64))
+        none = np.arange(len(a)) >= len(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(pairs), np.int64), bucket), mask=~none), pa.array(a), pa.array(b, mask=none)], names=["bucket", "a", "b"])
+
+    number, blobs = None, []
+    for batch in batches:
+        for s, *blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "ids", "place", "bits")), strict=True):
+            if blobs and s != number:
+                yield met(number, blobs)
+                blobs = []
+            number = s
+            blobs.append(blob)
+    if blobs:
+        yield met(number, blobs)
+
+
+def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
+    """(fingerprint, class_id) of each fingerprint of (doc_id, fingerprint). Equal fingerprints are one node; no pair with the likeness is missed."""
+    pairs = band_pairs(likeness)
     nodes = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("nid", F.monotonically_increasing_id()))  # written once, so it stays
-    edges = [b * SAMPLES // bands for b in range(bands + 1)]
-    cut = F.array(*(F.xxhash64(F.lit(b), F.substring("fingerprint", x + 1, y - x)) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False))))
-    in_bands = nodes.select("nid", F.explode(cut).alias("bucket"))
-    company = stored(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    members = stored(in_bands.join(company, "bucket"))
+    slices = max(1, -(-nodes.count() * len(pairs) // SLICE_KEYS))
+    keys = nodes.select("nid", "fingerprint").mapInArrow(_key_blobs(pairs, slices), "slice int, ids binary, place binary, bits binary")
+    met = stored(keys.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_meetings, "bucket long, a long, b long"))
 
     def alike(batches):
         for batch in batches:
@@ -210,15 +318,16 @@ def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
             pairs = pairs.join(nodes.select(F.col("nid").alias(c), F.col("fingerprint").alias(f"f{c}")), c)
         return pairs.select("a", "b", "fa", "fb").mapInArrow(alike, "a long, b long")
 
-    pairs = stored(dartminhash.star_pairs(members, "bucket", F.xxhash64("nid", "bucket")))
-    links = stored(verified(pairs))
+    stars = met.where("bucket IS NULL").select("a", "b").distinct()
+    links = stored(verified(stars))
     label = dartminhash.components(links)
+    members = met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("nid"))
     labelled = stored(members.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label")))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
     open_ = stored(labelled.join(mixed, "bucket"))
     more = open_.select("bucket", F.col("nid").alias("a"), F.col("label").alias("la")) \
                 .join(open_.select("bucket", F.col("nid").alias("b"), F.col("label").alias("lb")), "bucket").where("a < b AND la <> lb").select("a", "b").distinct()
-    links = links.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti")))
+    links = links.unionByName(verified(more.join(stars, ["a", "b"], "left_anti")))
     label = dartminhash.components(links)
     named = stored(nodes.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("fingerprint", "doc_id", F.coalesce("label", "nid").alias("label")))
     return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("fingerprint", "class_id")

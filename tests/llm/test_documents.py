@@ -290,6 +290,40 @@ def test_likeness_falls_with_edits():
     assert (a == b).mean() > 0.75 and (a == c).mean() < 0.25
 
 
+def _plain_walk(text):
+    """The walk step by step: which character it is on at each step, then the sampled ones."""
+    w = edit_sketch.walk()
+    if not text:
+        return bytes(128)
+    mixed = [int(x) for x in edit_sketch._class_of(np.array([ord(c) for c in text], np.uint32))]
+    stay = w.stay.reshape(edit_sketch.CLASSES, edit_sketch.PERIOD)
+    at, starts = 0, []
+    for x in mixed:
+        starts.append(at)
+        at += int(stay[(x >> 40) % edit_sketch.CLASSES, at % edit_sketch.PERIOD])
+    out = []
+    for r in w.records:
+        step = max(int(s) for s in r if s < at)
+        k = max(i for i, s in enumerate(starts) if s <= step)
+        out.append(1 + (mixed[k] >> 20) % 255)
+    return bytes(out)
+
+
+def test_band_pairs_miss_no_pair():
+    pairs = edit_sketch.band_pairs(0.8)
+    assert len(pairs) == 70
+    rng = random.Random(3)
+    for _ in range(3000):
+        bad = {x // 4 for x in rng.sample(range(128), 25)} if rng.random() < 0.5 else set(rng.sample(range(32), 25))
+        assert any(a not in bad and b not in bad for a, b in pairs)
+
+
+def test_null_ids_have_classes(spark, make_docs):
+    text = "the same words in every row, " * 30
+    rows = edit_sketch.with_classes(edit_sketch.with_next_edit(make_docs([(None, text, "a"), (5, text + "x", "a"), (None, "another text altogether " * 20, "a")]))).collect()
+    assert {(r.doc_id, r.n_chars, r.class_id) for r in rows} == {(None, len(text), 5), (5, len(text) + 1, 5), (None, 480, None)}
+
+
 def test_fingerprint_query(spark, documents):
     import hashlib
     got = {r.doc_id: r for r in queries.op5_edit_fingerprints(spark, SF).collect()}
@@ -297,6 +331,10 @@ def test_fingerprint_query(spark, documents):
     for k, (i, text) in enumerate(documents):
         edited = edit_sketch.edited(text or "", documents[(k + 1) % len(documents)][1] or "")
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text or "")
+        own, near, after = (_plain_walk(t) for t in (text or "", edited, documents[(k + 1) % len(documents)][1] or "")) if k % 20 == 0 else (None,) * 3
+        if own is not None:
+            assert (got[i].fingerprint, got[i].edited_fingerprint) == (own.hex(), near.hex())
+            assert got[i].near_edited == sum(a == b for a, b in zip(own, near)) / 128 and got[i].near_next == sum(a == b for a, b in zip(own, after)) / 128
         assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
 
 
