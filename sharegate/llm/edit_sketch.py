@@ -12,8 +12,8 @@ The random bits repeat after ``PERIOD`` steps and treat characters of one of ``C
 ``with_next_edit`` orders documents by id over range pieces and gives each its next one; ``near_classes`` and ``with_classes`` band and verify.
 Fingerprints with a likeness of 0.8 differ in at most 25 samples, so of 32 bands of four samples 7 are equal in both, and of six groups
 of bands one holds two of those: a key for each two bands of a group (70 keys of eight samples) misses no pair, and texts that
-are not alike hardly ever share one. Keys travel packed, six bytes each. Members of a key are verified against its smallest one; keys whose
-members then still belong to several classes have their members of different classes compared.
+are not alike hardly ever share one. Keys travel packed, six bytes each. Members of a key are verified against its smallest one, then, where
+a key still holds several classes, against a few other centres; keys that hold several classes after that have their members of different classes compared.
 
 Defined results: a null text is empty; an empty text has the fingerprint of zeros, like only another empty text; equal texts have equal
 fingerprints; rows with equal ids are ordered by text; a null id comes first, and a class is named by its smallest id, which is null
@@ -23,6 +23,7 @@ of any length are read whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -224,7 +225,7 @@ def with_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
     return rows.join(found, "fingerprint").select(*rows.columns, "class_id")
 
 
-BANDS, SLICE_KEYS = 32, 1 << 20
+BANDS, SLICE_KEYS, CENTRES = 32, 1 << 20, 3
 
 
 def band_pairs(likeness: float) -> list[tuple[int, int]]:
@@ -322,12 +323,26 @@ def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
     links = stored(verified(stars))
     label = dartminhash.components(links)
     members = met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("nid"))
-    labelled = stored(members.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label")))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-    open_ = stored(labelled.join(mixed, "bucket"))
+
+    def mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+        """Members of keys that still hold several classes, with their class."""
+        labelled = stored(members.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label")))
+        several = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
+        return stored(labelled.join(several, "bucket"))
+
+    open_, seen = mixed(members, label), [stars]
+    for turn in range(CENTRES):  # other centres first: they join most of a crowd, and spare it the comparison below
+        if open_.isEmpty():
+            break
+        centre = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("nid", "bucket", F.lit(turn)).alias("h"), "nid", "label")).alias("c"))
+        asked = stored(open_.join(centre, "bucket").where("label <> c.label").select(F.least("nid", "c.nid").alias("a"), F.greatest("nid", "c.nid").alias("b")).distinct())
+        links = links.unionByName(stored(verified(asked)))
+        label = dartminhash.components(links)
+        seen.append(asked)
+        open_ = mixed(open_.select("bucket", "nid"), label)
     more = open_.select("bucket", F.col("nid").alias("a"), F.col("label").alias("la")) \
                 .join(open_.select("bucket", F.col("nid").alias("b"), F.col("label").alias("lb")), "bucket").where("a < b AND la <> lb").select("a", "b").distinct()
-    links = links.unionByName(verified(more.join(stars, ["a", "b"], "left_anti")))
+    links = links.unionByName(verified(more.join(functools.reduce(DataFrame.unionByName, seen).distinct(), ["a", "b"], "left_anti")))
     label = dartminhash.components(links)
     named = stored(nodes.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("fingerprint", "doc_id", F.coalesce("label", "nid").alias("label")))
     return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("fingerprint", "class_id")
