@@ -11,7 +11,11 @@ from sharegate.operators.settings import Effective
 from sharegate.policy import ShareSettings
 
 
-def gate_stream(messages: DataFrame, settings: ShareSettings = ShareSettings()) -> DataFrame:
+#: Messages are texts: none is too long to be scanned.
+MESSAGES = ShareSettings(max_scan_bytes=None)
+
+
+def gate_stream(messages: DataFrame, settings: ShareSettings = MESSAGES) -> DataFrame:
     """Decisions for ``messages(share_id, path, text[, ts])``, batch or streaming.
 
     Everything is per row, so the query runs in append mode and keeps no state. ``ts``, if

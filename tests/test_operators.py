@@ -296,6 +296,14 @@ def test_stream_equals_batch_and_replay(spark, make_files, tmp_path):
     assert held == {"m1": "LOC-RFC1918", "m2": "SEC-CONT-AWSKEY", "m3": "OPS-UNREADABLE"}
 
 
+def test_long_messages_are_scanned(spark):
+    from sharegate.streaming.gate import gate_stream
+    key = "AS" + "IA" + "7KQM" * 4
+    rows = [("s", "long", "lorem ipsum " * 800_000 + f" {key} " + "dolor " * 10), ("s", "clean", "lorem ipsum " * 800_000)]
+    got = {r.path: r.rule for r in gate_stream(spark.createDataFrame(rows, "share_id string, path string, text string")).collect()}
+    assert got == {"long": "SEC-CONT-AWSKEY", "clean": None}
+
+
 def test_names_times_and_events(spark):
     assert artifacts.generated_utc("86400") == "1970-01-02T00:00:00+00:00"
     row = ("s", artifacts.generated_utc(86400), "private", "a/b/")
