@@ -330,9 +330,16 @@ def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
         several = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
         return stored(labelled.join(several, "bucket"))
 
+    def crossing(open_: DataFrame) -> tuple[int, int]:
+        """Members of open keys, and pairs of them from different classes."""
+        n = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        found = n.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        return found["n"] or 0, found["pairs"] or 0
+
     open_, seen = mixed(members, label), [stars]
-    for turn in range(CENTRES):  # other centres first: they join most of a crowd, and spare it the comparison below
-        if open_.isEmpty():
+    for turn in range(CENTRES):  # crowds first get other centres: they join most of a crowd, and spare it the comparison below
+        rows_, pairs_ = crossing(open_)
+        if pairs_ <= 2 * rows_:
             break
         centre = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("nid", "bucket", F.lit(turn)).alias("h"), "nid", "label")).alias("c"))
         asked = stored(open_.join(centre, "bucket").where("label <> c.label").select(F.least("nid", "c.nid").alias("a"), F.greatest("nid", "c.nid").alias("b")).distinct())
