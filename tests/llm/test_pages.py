@@ -23,6 +23,8 @@ def test_page_text():
     assert html_text.Page("").text(None) == "" and html_text.Page("just  text").text(None) == "just text"
     assert html_text.Page("<article>a<p>b &amp c <i").text(None) == "a\nb & c"
     assert html_text.Page("<div>" * 3000 + "deep").text(None) == "deep"
+    deep = html_text.Page("<div class='a'><form><label>x</label></i></ul><p>t" * 20_000)  # long and deep pages take linear time and memory
+    assert len(deep.nodes) == 60_001 and max(len(n[1]) for n in deep.nodes) < 3000
 
 
 def test_titles_leads_and_parts_beside_the_best_container_stay():
@@ -46,6 +48,50 @@ def test_layout_words_do_not_drop_the_article():
     assert page.text(None) == ("a long story " * 20).strip()
 
 
+def test_articles_inside_forms_and_headers():
+    story = "a long story " * 20
+    of = lambda x: html_text.Page(f"<html><body><nav><a href=/>home</a></nav>{x}<footer>foot</footer></body></html>").text(None)
+    assert of(f"<form id=f><div class=content><h1>Title</h1><p>{story}</p></div></form>") == f"Title\n{story.strip()}"
+    assert of(f"<table><tr><td><form><p>{story}</p><label>Name <input></label></form></td></tr></table>") == story.strip()
+    assert of(f"<form><fieldset><p>{story}</p></fieldset></form>") == story.strip()
+    assert of(f"<dialog open><article><p>{story}</p></article></dialog>") == story.strip()
+    assert of(f"<div class=post><p>{story}</p><form><p>Your name and {story[:60]}</p><textarea>x</textarea></form></div>") == story.strip()
+    assert of(f"<div class=post><p>short</p></div><form><label>Your name</label><p>mail us at once</p></form>") == "short"
+    assert of(f"<article><header><div><h1>Title</h1><p>by me</p></div><nav><h2>On this page</h2></nav></header><p>{story}</p></article>") == f"Title\n{story.strip()}"
+
+
+def test_stray_quotes_in_tags():
+    of = lambda x: html_text.Page(f"<html><body>{x}</body></html>").text(None)
+    assert of("""<p class="x"">one</p><p>two</p>""") == "one\ntwo"
+    assert of("""<p title=it's>don't <b class='y'>lose</b> this</p><p>that's all</p>""") == "don't lose this\nthat's all"
+    assert of("""<p title = "a > b" data-x='>'>one<!--> two<!-- > --> <i class=a"b>three</p>""") == "one two three"
+    assert of("<p>one</p><p title='never closed>two</p>") == "one\ntwo"
+    assert of("<title-bar>bar</title-bar><p a=b=c>one</p>") == "bar\none"
+    assert html_text.Page("<p " + "a='x\" =" * 200_000 + ">late").text(None) == "late"
+
+
+def test_what_readers_wrote_goes():
+    story, note = "<p>" + "a long story " * 20 + "</p>", "<p>I do not agree</p>"
+    for name in ("feedback", "user-posts", "userPosts", "reader-opinions", "talkback", "discussion", "post-responses"):
+        page = html_text.Page(f"<body><div class='post'>{story}<div class='{name}'>{note}</div></div><div id='{name}'>{note}</div></body>")
+        assert page.text(None) == ("a long story " * 20).strip(), name
+    assert html_text.Page(f"<body><div class='user-content'>{story}</div></body>").text(None) == ("a long story " * 20).strip()
+
+
+def test_two_layouts_of_a_host(spark):
+    story = lambda i: f"<p>{'a long article text ' * 20}{i}</p>"
+    first = lambda i: f"<html><body><div class='txt'>{story(i)}</div></body></html>"
+    second = lambda i: f"<html><body><div class='txt'><p>short teaser</p></div><article class='long'>{story(i)}</article></body></html>"
+    rows = [(i, "http://h.example/", first(i) if i < 12 else second(i)) for i in range(18)] + [(3, "http://h.example/", first(3)), (20, "http://h.example/", second(20) * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html_text.main_text(df).collect())
+    text = lambda i: f"{'a long article text ' * 20}{i}"
+    assert got[:19] == sorted([(i, text(i)) for i in range(18)] + [(3, text(3))])
+    assert got[19][0] == 20 and got[19][1] == "\n".join([text(20)] * 300)
+    paths = html_text.host_paths(df).collect()
+    assert len(paths) == 1 and [(p.path, p.votes) for p in paths[0].paths] == [("/html/body/div.txt", 13), ("/html/body/article.long", 6)]
+
+
 def test_host_consensus_beats_an_odd_page(spark):
     body = lambda art, other: f"<html><body><div class='txt'>{art}</div><div class='teaser{len(art) % 7}'>{other}</div></body></html>"
     rows = [(i, f"http://h.example/{i}", body("<p>" + "long article text " * 20 + f"{i}</p>", "<p>next</p>"), "x") for i in range(5)]
