@@ -241,6 +241,17 @@ def share_name(template: str = "{prefix}{stamp}_share_{mode}", prefix: str = "",
     return F.concat(name, F.lit(suffix))
 
 
+def policy_documents(header: DataFrame) -> DataFrame:
+    """(share_id, body): the policy each share went out under, as JSON: its mode, version, fingerprint and the rules that applied. Rules on local
+    infrastructure do not apply to a private share."""
+    fields = ("rule_id", "family", "kind", "pattern", "desc")
+    rules = [dict(zip(("rule_id", "family", "ord", "kind", "pattern", "desc", "token"), row, strict=True)) for row in policy.rule_rows()]
+    rows = ", ".join("named_struct(" + ", ".join(f"'{f}', {quote(r[f])}" for f in fields) + ")" for r in rules)
+    applied = F.expr(f"filter(array({rows}), r -> share_mode <> 'private' OR r.family <> 'local')").alias("rules")
+    names = [c for c in ("generated_utc", "share_mode", "policy_version", "policy_sha256", "max_chars", "focus", "selection") if c in header.columns]
+    return header.select("share_id", F.to_json(F.struct(*names, applied)).alias("body"))
+
+
 # -- ledger --------------------------------------------------------------------------
 
 def share_events(header: DataFrame, exclusions: DataFrame, *, archive: str = "", archive_bytes: int | None = None,
@@ -268,10 +279,15 @@ def ledger_rollup(ledger: DataFrame, bucket: str = "day") -> DataFrame:
 
 # -- everything -------------------------------------------------------------------------
 
-def pack(files: DataFrame, result: Classified, *, generated_utc: str, source_root: str = "", merge: bool = True,
+def pack(files: DataFrame | None, result: Classified, *, generated_utc: str, source_root: str = "", merge: bool = True,
          include_raw: bool = True, prefix: str = "", tracked: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All result tables of a share run. Decisions (no content) are written once and reused."""
+    """All result tables of a share run. Decisions (no content) are written once and reused.
+
+    A result with stored content (``classify(store=True)``) needs no ``files``, which are then not read again: ``objects`` holds each
+    distinct content once, ``files`` refers to it by hash, and shards are made of the stored bytes. Otherwise ``files`` is read
+    again and must not have changed since it was classified."""
     result = result.materialized()
+    files = files if result.kept is None else result.kept
     settings, out = result.settings, {}
     shards = None
     if merge:
@@ -281,7 +297,9 @@ def pack(files: DataFrame, result: Classified, *, generated_utc: str, source_roo
         shards = materialize(shards.drop("text"))
     header = manifest_header(result, generated_utc=generated_utc, source_root=source_root, shards=shards)
     header = materialize(header.withColumn("raw_files_included", F.lit(include_raw)))
-    if include_raw:
+    if include_raw and result.kept is not None:
+        out["objects"], out["files"] = result.objects, manifest_files(result.included)
+    elif include_raw:
         out["files"] = files.select("share_id", "path", "content") \
             .join(result.included.select("share_id", "path"), ["share_id", "path"], "left_semi")
     if tracked is not None:
@@ -291,6 +309,6 @@ def pack(files: DataFrame, result: Classified, *, generated_utc: str, source_roo
         "manifest_files": manifest_files(result.included), "manifest_header": header,
         "exclusions": result.exclusions, "pruned": result.pruned, "overrides": result.override_log,
         "checksums": checksum_lines(manifest_files(result.included), shards),
-        "report": share_report(header, result.exclusions, settings),
+        "report": share_report(header, result.exclusions, settings), "policy": policy_documents(header),
         "events": share_events(header, result.exclusions, max_chars=settings.max_chars if merge else None),
     }

@@ -13,10 +13,10 @@ from sharegate.functions import paths as P
 from sharegate.functions import pii as I
 from sharegate.functions import text as T
 from sharegate.functions.sql import quote
-from sharegate.operators.ignore import ignore_first
+from sharegate.operators.ignore import ignore_decisions, ignore_first
 from sharegate.operators.settings import DENY_TABLE, Effective, Wanted, common_settings, policy_row, run_list
 from sharegate.policy import ShareSettings
-from sharegate.session import materialize
+from sharegate.session import materialize, stored_table
 
 WALK, EXPLICIT = "filesystem walk", "explicit files"
 
@@ -251,12 +251,21 @@ def decide(scanned: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Classified:
-    """Result tables of one classification; all of them are views on ``decisions``."""
+    """Result tables of one classification; all of them are views on ``decisions``. ``kept`` (of ``classify(store=True)``) is the
+    content that was scanned, ``(share_id, path, sha256, content)``."""
 
     decisions: DataFrame
     settings: ShareSettings
     selection: str = WALK
     overrides: DataFrame | None = None
+    kept: DataFrame | None = None
+
+    @property
+    def objects(self) -> DataFrame:
+        """(sha256, content): each content that is included, once. One file stands for all with its hash; it is chosen
+        among narrow rows, so a content that very many files have is no task's burden."""
+        one = self.included.groupBy("sha256").agg(F.min(F.struct("share_id", "path")).alias("k")).select("k.*")
+        return self.kept.join(one, ["share_id", "path"], "left_semi").select("sha256", "content")
 
     @property
     def included(self) -> DataFrame:
@@ -295,18 +304,26 @@ class Classified:
 
 
 def classify(files: DataFrame, settings: ShareSettings = ShareSettings(), *, overrides: DataFrame | None = None,
-             ignore_rules: DataFrame | None = None, selection: str = WALK) -> Classified:
+             ignore_rules: DataFrame | None = None, selection: str = WALK, store: bool = False) -> Classified:
     """Decide each file of ``files(share_id, path, content, length, modified, read_error)``.
 
     Content is read by one scan; settings that shares add meet its narrow facts afterwards. Files may come with ``ign_file``
-    and ``ign_depth`` (see ``ignore.mark_ignored``), decided on their listing."""
+    and ``ign_depth`` (see ``ignore.mark_ignored``), decided on their listing.
+
+    With ``store`` that scan writes the content that may ship beside its facts, and everything later reads this table:
+    the source is read once, and what ships are the very bytes that were scanned, whatever happens to the files meanwhile."""
     walk = selection == WALK
     eff = Effective(settings, per_share=overrides is not None)
     ignored = None
     if ignore_rules is not None and settings.respect_ignore and "ign_depth" not in files.columns:
         files, ignored = ignore_first(files, ignore_rules, walk=walk, min_depth=_focus_depth(settings))
-    found = facts(files, settings, Wanted.of(settings, overrides), walk=walk)
-    return Classified(decide(settle(eff.attach(found, overrides), eff), ignored), settings, selection, overrides)
+    found, kept = facts(files, settings, Wanted.of(settings, overrides), walk=walk, keep_content=store), None
+    if store:
+        found = stored_table(found)
+        kept, found = found.where("content IS NOT NULL").select("share_id", "path", "sha256", "content"), found.drop("content")
+        if ignored is not None:  # from the written paths, as the files are not to be read again
+            ignored = ignore_decisions(found, ignore_rules, walk=walk, min_depth=_focus_depth(settings))
+    return Classified(decide(settle(eff.attach(found, overrides), eff), ignored), settings, selection, overrides, kept)
 
 
 def classify_many(files: DataFrame, policies: dict[str, ShareSettings], *, selection: str = WALK) -> DataFrame:

@@ -13,13 +13,14 @@ from sharegate.operators import artifacts, audit, retention
 from sharegate.operators.classify import Classified, classify, content_scan, files_from_texts, policy_diff
 from sharegate.operators.ignore import gather_ignore_rules
 from sharegate.operators.personal_data import pii_counts, pii_hits
-from sharegate.operators.quick_scan import quick_scan, quick_verdict
+from sharegate.operators.quick_scan import quick_scan, quick_verdict, texts_of
 from sharegate.operators.structure import folder_summary, structural_filter
 from sharegate.plans import corpus as K
 from sharegate.policy import ShareSettings, policy_fingerprint
+from sharegate.sources.sinks import append_ledger
 from sharegate.sources.tables import overrides_from_json, select_files
 from sharegate.session import ensure_checkpoint_dir, materialize, ship_package
-from sharegate.streaming.gate import gate_stream, route, rule_rollup
+from sharegate.streaming.gate import gate_stream, late_rows, route, rule_rollup
 
 NOW_UTC = "2024-02-01T00:00:00Z"
 RETENTION_NOW, RETENTION_DAYS, RETENTION_MB = "1998-08-03 00:00:00", 2000, 256
@@ -457,6 +458,112 @@ def shard_assignment_per_share(spark, sf):
     return rows.select("share_id", "path", F.col("n").alias("chars"), F.col("bin").alias("shard_no"))
 
 
+# -- stored content, ledger, late rows, reading modes ---------------------------------------
+
+def pack_counts(spark, sf):
+    """Everything a run leaves, from one scan with stored content. Copies of a text are one object; names that end in 7 are denied."""
+    settings = ShareSettings(max_scan_bytes=None, deny_globs=("doc_*7.md",), max_chars=SHARD_CHARS)
+    out = artifacts.pack(None, classify(_files(spark, sf, K.PLAIN), settings, store=True), generated_utc=NOW_UTC)
+    sizes = out["objects"].select("sha256", F.octet_length("content").cast("long").alias("bytes"), (F.sha2("content", 256) == F.col("sha256")).alias("own"))
+    files = out["files"].groupBy("share_id", "sha256").agg(F.count(F.lit(1)).alias("n")).join(sizes, "sha256") \
+                        .groupBy("share_id").agg(F.sum("n").alias("files"), F.count(F.lit(1)).alias("objects"), F.sum("bytes").alias("object_bytes"), F.bool_and("own").alias("hashes_hold"))
+    shards = out["shards"].groupBy("share_id").agg(F.sum("chars").alias("shard_chars"))
+    return files.join(shards, "share_id").join(out["manifest_header"].select("share_id", "excluded_count"), "share_id")
+
+
+def ledger_replayed(spark, sf):
+    """Events stand for share events. Even users' events come first, then all of them, then all again: each key stays once."""
+    ledger = f"{_work_dir(spark)}/ledger"
+    events = K.table(spark, sf, "events").select(F.col("event_type").alias("event"), F.concat(F.lit("user"), "user_id").alias("share_id"),
+                                                 F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_utc"))
+    for part in (events.where("cast(substring(share_id, 5) AS long) % 2 = 0"), events, events):
+        append_ledger(part, ledger)
+    kept = spark.read.schema("event string, share_id string, timestamp_utc string, day string").json(ledger)
+    return kept.groupBy("day", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_late_rows(spark, sf):
+    """Messages of odd conversations arrive first, those of even ones later: windows that the watermark has closed by then stay
+    closed. The gate runs once; the rollup is a second stream over what was withheld."""
+    work = _work_dir(spark)
+    table, name = K.table(spark, sf, "conversations"), f"late_{uuid.uuid4().hex}"
+    for odd in (1, 0):
+        table.where(f"conv_id % 2 = {odd}").write.mode("append").parquet(f"{work}/in")
+        spark.readStream.schema(table.schema).parquet(f"{work}/in").createOrReplaceTempView(name)
+        timed = spark.sql(K.CONVERSATIONS.replace("FROM conversations", f"FROM {name}")).withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn")))
+        decided = gate_stream(timed)
+        route(decided, f"{work}/shared", f"{work}/withheld", f"{work}/gate").awaitTermination()
+        held = spark.readStream.schema(decided.schema).parquet(f"{work}/withheld")
+        counts = rule_rollup(held, window="1 hour", lateness="10 hours")
+        query = (counts.writeStream.outputMode("update").option("checkpointLocation", f"{work}/rollup")
+                 .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{work}/out/batch={n}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    final = spark.read.parquet(f"{work}/out").groupBy("window_start", "rule").agg(F.max_by("n", "batch").alias("n"))
+    late = late_rows(spark.read.schema(decided.schema).parquet(f"{work}/withheld"), final)
+    return late.select((F.unix_timestamp("window_start") / 3600).cast("long").alias("conv_id"), "rule", "n_late")
+
+
+def size_gate(spark, sf):
+    """Files above 2,000 bytes are withheld, whatever they hold, unless their name already is."""
+    return classify(_files(spark, sf, K.FLAT), ShareSettings(max_scan_bytes=2000)).decision_map
+
+
+def nul_windows(spark, sf):
+    """A NUL behind the first 8,192 bytes: text under the default window, binary when the whole file is searched."""
+    tail = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" lorem ipsum" * 700).cast("binary"), F.unhex(F.lit("00")))).otherwise(F.lit("").cast("binary"))
+    files = files_from_texts(K.load(spark, sf, K.PLAIN)).join(K.load(spark, sf, K.PLAIN).select("share_id", "path", tail.alias("tail")), ["share_id", "path"])
+    files = files.withColumn("content", F.concat("content", "tail")).drop("tail")
+    each = [classify(files, ShareSettings(max_scan_bytes=None, nul_window_bytes=w)).decision_map.withColumn("nul_window", F.lit(w).cast("int")) for w in (8192, None)]
+    return each[0].unionByName(each[1])
+
+
+def quick_read_mode(spark, sf):
+    """The quick scan of bytes: malformed ones are dropped, unreadable files are marked."""
+    k = F.col("doc_id") % 5
+    broken = F.concat(F.col("text").cast("binary"), F.lit(" AK").cast("binary"), F.unhex(F.lit("E9")), F.lit("IA" + "Q" * 16).cast("binary"))
+    content = F.when(k == 1, broken).when(k != 0, F.col("text").cast("binary"))
+    docs = K.load(spark, sf, K.PLAIN).select("share_id", "path", content.alias("content"), F.when(k == 0, "gone").alias("read_error"))
+    texts = texts_of(docs)
+    found = quick_scan(texts).select("share_id", "path", "rule")
+    return texts.select("share_id", "path", "skipped").join(found, ["share_id", "path"], "left")
+
+
+def share_report_head(spark, sf):
+    """The lines of the report's head that tell of the share."""
+    result = _flat(spark, sf).materialized()
+    report = artifacts.share_report(artifacts.manifest_header(result, generated_utc=NOW_UTC), result.exclusions, result.settings)
+    return report.where("part = 0 AND (line LIKE '# %' OR line LIKE '**%' OR line LIKE '- Content%' OR line LIKE '- Selection%')").select("share_id", "line")
+
+
+def policy_documents(spark, sf):
+    """The policy each share went out under; shares 0, 4, 8, .. are private."""
+    docs = K.load(spark, sf, K.LOCAL_TEXTS)
+    rows = docs.where("share_no % 4 = 0").select("share_id", F.lit("private").alias("share_mode")).distinct()
+    header = artifacts.manifest_header(classify(files_from_texts(docs), TEXTS, overrides=rows).materialized(), generated_utc=NOW_UTC)
+    body = F.from_json("body", "share_mode string, policy_version string, rules array<struct<rule_id:string,family:string>>")
+    return artifacts.policy_documents(header).select("share_id", body.alias("b")).select(
+        "share_id", "b.share_mode", "b.policy_version", F.size("b.rules").cast("long").alias("n_rules"),
+        F.size(F.filter("b.rules", lambda r: r["family"] == "local")).cast("long").alias("n_local"))
+
+
+def select_explicit(spark, sf):
+    """An explicit list (documents with a label) goes before a path list; its files are decided without the walk's own filters."""
+    files = _files(spark, sf, K.TREE)
+    labels = K.table(spark, sf, "labels").select("doc_id")
+    listed = K.load(spark, sf, K.TREE).join(labels, "doc_id", "left_semi").select("share_id", "path")
+    chosen, how = select_files(files, explicit=listed, path_list=files.select("share_id", "path"))
+    return chosen.select("share_id", "path", F.lit(how).alias("selection"))
+
+
+def missing_documents(spark, sf):
+    """Documents of an audit that a share lacks: every share has its policy, those with a toxic document also a manifest."""
+    docs = K.load(spark, sf, K.PLAIN).select("doc_id", "share_id")
+    toxic = docs.join(K.table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    shares = docs.select("share_id").distinct()
+    present = shares.withColumn("name", F.lit("policy")).unionByName(toxic.select("share_id", F.lit("manifest").alias("name")).distinct())
+    return audit.missing_documents(shares, present, ["manifest", "policy", "exclusions"])
+
+
 QUERIES = [
     content_exclusions_by_rule, content_first_hit, content_scan_pages, share_mode_diff, path_rule_decisions, decision_map,
     source_only_and_filters, gate_verdict, allow_override_log, per_share_overrides, ignore_decisions, ignore_extra_names, pii_hits_by_doc,
@@ -467,6 +574,8 @@ QUERIES = [
     quick_scan_verdict, quick_verdict_pages, structural_paths, folder_sums, structural_pages, stream_gate, stream_rule_rollup,
     allow_unreadable, override_settings, manifest_header_per_share, long_texts, reading_gates, focus_and_output, select_paths, quick_many_runs,
     content_hash_tree, verify_hashes, verify_status, manifest_header_tree, verify_changed_paths, shard_assignment_per_share,
+    pack_counts, ledger_replayed, stream_late_rows, size_gate, nul_windows, quick_read_mode, share_report_head, policy_documents, select_explicit,
+    missing_documents,
 ]
 
 

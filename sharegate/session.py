@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,6 +40,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """Rows written as Parquet beside the session's checkpoints and read back. Unlike a checkpoint, a later reader only reads the
+    columns it uses, so content beside narrow columns costs those readers nothing."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size.row.check.min", "1").parquet(folder)  # a row group is cut by bytes, however large its cells
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that rows read twice are the same rows."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -9,12 +9,13 @@ over all tasks, so a folder that holds a third of all files is no single task's
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import os
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sharegate import policy
 from sharegate.functions.paths import basename, suffix
@@ -22,19 +23,14 @@ from sharegate.operators.ignore import gather_ignore_rules, ignore_files, mark_i
 from sharegate.operators.joins import lookup_join
 from sharegate.operators.settings import complete_overrides
 from sharegate.policy import ShareSettings
+from sharegate.session import materialize
 
-FORMAT = "sharegate_tree"
 LISTING = "share_id string, path string, length long, modified timestamp, read_error string"
 FILES = "share_id string, path string, content binary, length long, modified timestamp, read_error string"
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_BYTES, BATCH_ROWS, ENTRIES = 32 * 1024 * 1024, 10_000, 20_000
 MAX_CELL_BYTES = 1024 * 1024 * 1024  # one value must stay clear of the 2 GiB limit of a cell
 
 
-class Subtree(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
-
-
 def _name(rel: str) -> tuple[str, str | None]:
     """A path as text, and an error if its bytes are not UTF-8: those are escaped as \\xNN."""
     try:
@@ -55,57 +51,74 @@ def _entry(share: str, root: str, path: str) -> tuple:
     return share, rel, st.st_size, dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc), None
 
 
-def _folders(folder: str) -> list[str]:
+def _entries(folder: str):
+    """Entries of a folder, and an error where it cannot be read (any further)."""
     try:
-        return [e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
-    except OSError:
-        return []  # its reader reports it
-
-
-class TreeReader(DataSourceReader):
-    """One partition per folder of the upper levels; each lists its subtree."""
-
-    def __init__(self, root: str, share: str, target: int):
-        self.root, self.share, self.target = root, share, target
-
-    def partitions(self):
-        if not os.path.isdir(self.root):
-            raise NotADirectoryError(self.root)
-        level, done = [self.root], []
-        while level and len(level) + len(done) < self.target:
-            done += level
-            level = sorted(p for folder in level for p in _folders(folder))
-        return [Subtree(f, False) for f in done] + [Subtree(f, True) for f in level]
-
-    def read(self, part: Subtree):
-        lost: list[OSError] = []
-        for folder, dirs, names in os.walk(part.folder, onerror=lost.append):
-            for name in names:
-                yield _entry(self.share, self.root, os.path.join(folder, name))
-            if not part.deep:
-                dirs.clear()
-        for error in lost:  # a folder that cannot be listed must not look empty
-            rel = _name(os.path.relpath(error.filename, self.root).replace(os.sep, "/"))[0]
-            yield self.share, rel, None, None, f"stat:{type(error).__name__}: {error.strerror}"
-
-
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self) -> str:
-        return LISTING
-
-    def reader(self, schema) -> TreeReader:
-        return TreeReader(os.path.abspath(self.options["path"]), self.options.get("share_id", ""),
-                          int(self.options.get("partitions", "64")))
-
-
-def list_tree(spark: SparkSession, root: str, share_id: str = "", partitions: int = 64) -> DataFrame:
-    """Listing of all files below ``root``, a folder every executor can read."""
-    spark.dataSource.register(TreeSource)
-    return spark.read.format(FORMAT).option("share_id", share_id).option("partitions", partitions).load(root)
+        with os.scandir(folder) as entries:
+            yield from entries
+    except OSError as e:
+        yield e
+
+
+_LISTED = [("share_id", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC")),
+           ("read_error", pa.string()), ("folder", pa.binary())]
+
+
+def _walk(root: str, share: str, most: int):
+    """Folders (column ``folder``) to rows of their files, and of the folders left over (``folder`` set) once a task has ``most`` entries."""
+    def read(batches):
+        pending: deque[str] = deque()
+        for batch in batches:
+            pending.extend(map(os.fsdecode, batch.column("folder").to_pylist()))
+        seen, rows = 0, []
+        while pending:
+            folder = pending.popleft()
+            if seen >= most:
+                rows.append((None,) * 5 + (os.fsencode(folder),))
+            else:
+                for e in _entries(folder):
+                    seen += 1
+                    if isinstance(e, OSError):  # a folder that cannot be listed must not look empty
+                        rel = _name(os.path.relpath(folder, root).replace(os.sep, "/"))[0]
+                        rows.append((share, rel, None, None, f"stat:{type(e).__name__}: {e.strerror}", None))
+                    elif e.is_dir(follow_symlinks=False):
+                        pending.append(e.path)
+                    elif not e.is_dir():
+                        rows.append((*_entry(share, root, e.path), None))
+                    if len(rows) >= BATCH_ROWS:
+                        yield _listed(rows)
+                        rows = []
+            if len(rows) >= BATCH_ROWS:
+                yield _listed(rows)
+                rows = []
+        if rows:
+            yield _listed(rows)
+
+    return read
+
+
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _LISTED, strict=True)], names=[n for n, _ in _LISTED])
+
+
+def list_tree(spark: SparkSession, root: str, share_id: str = "", partitions: int = 64, most: int = ENTRIES) -> DataFrame:
+    """Listing of all files below ``root``, a folder every executor can read.
+
+    The tree is listed in Spark stages of at most ``partitions`` tasks. A task walks down from its folders until it has
+    ``most`` entries; folders it has not opened by then are dealt out again in the next stage. So a small tree takes one stage, a deep or uneven one
+    spreads, and the driver sees only whether folders are left. Links to folders are not followed."""
+    root = os.path.abspath(root)
+    if not os.path.isdir(root):
+        raise NotADirectoryError(root)
+    level = spark.createDataFrame([(bytearray(os.fsencode(root)),)], "folder binary")
+    found, spread = [], 1
+    while True:
+        stage = materialize(level.repartition(spread).mapInArrow(_walk(root, share_id, most), LISTING + ", folder binary"))
+        found.append(stage.where("folder IS NULL").drop("folder"))
+        level = stage.where("folder IS NOT NULL").select("folder")
+        if level.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found).coalesce(partitions)
+        spread = partitions
 
 
 def _load(path: str, length: int) -> bytes:

@@ -11,6 +11,7 @@ from sharegate.functions.pii import pii_rule, redact_pii
 from sharegate.functions.text import render_block
 from sharegate.operators import artifacts, audit, ordered
 from sharegate.operators.classify import classify
+from sharegate.operators.ignore import gather_ignore_rules
 from sharegate.operators.personal_data import pii_hits
 from sharegate.operators.quick_scan import quick_scan, quick_verdict, texts_of
 from sharegate.operators.retention import purge_event, retention_plan, retention_summary
@@ -211,6 +212,9 @@ def test_pack_and_verify(spark, make_files, tmp_path):
     assert spark.read.text(f"{tmp_path}/sums").count() == 5
     for _ in range(2):
         sinks.append_ledger(out["events"].withColumn("excluded_by_rule", F.to_json("excluded_by_rule")), f"{tmp_path}/ledger")
+    assert spark.read.json(f"{tmp_path}/ledger").count() == 2  # the second append repeats the first
+    later = out["events"].withColumn("excluded_by_rule", F.to_json("excluded_by_rule")).withColumn("timestamp_utc", F.lit("2026-01-02T00:00:00Z"))
+    sinks.append_ledger(later.unionByName(later), f"{tmp_path}/ledger")
     assert spark.read.json(f"{tmp_path}/ledger").count() == 4
     roll = {r.rule: r.n_excluded for r in artifacts.ledger_rollup(out["events"]).collect()}
     assert roll == {"LOC-RFC1918": 1, "SEC-PATH-PEM": 1, "SEC-PATH-ENV": 1}
@@ -272,6 +276,68 @@ def test_tree_source(spark, tmp_path):
     assert got == {".env": "SEC-PATH-ENV", "src/_netrc": "SEC-PATH-NETRC", "src/deep/er/a.py": "INCLUDE", "src/deep/b.png": "INCLUDE", "src/dangling": "OPS-STAT"}
 
 
+def test_tree_is_listed_in_stages(spark, tmp_path):
+    want = set()
+    for i in range(300):
+        folder = tmp_path / f"d{i % 7}" / f"e{i}" / "f"
+        folder.mkdir(parents=True)
+        (folder / f"x{i}.txt").write_text("x")
+        want.add(f"d{i % 7}/e{i}/f/x{i}.txt")
+    os.symlink(tmp_path / "d0", tmp_path / "again")
+    (tmp_path / "wide").mkdir()
+    for i in range(50):
+        (tmp_path / "wide" / f".w{i}").write_text("")
+        want.add(f"wide/.w{i}")
+    for most in (1, 9, 100_000):
+        listing = tree.list_tree(spark, str(tmp_path), "s", 4, most)
+        rows = [r.path for r in listing.collect()]
+        assert sorted(rows) == sorted(want) and listing.rdd.getNumPartitions() <= 4
+    with pytest.raises(NotADirectoryError):
+        tree.list_tree(spark, str(tmp_path / "none"))
+
+
+def test_stored_content_is_read_once(spark, make_files, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    (tmp_path / "tree" / "d").mkdir(parents=True)
+    names = ["a.py", "d/copy.py", "d/other.md", "d/key.txt"]
+    for name, body in zip(names, ["print(1)\n", "print(1)\n", "hi\n", "id AS" + "IA" + "7KQM" * 4 + " "]):
+        (tmp_path / "tree" / name).write_text(body)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    files = tree.read_files(tree.list_tree(spark, str(tmp_path / "tree"), "s"), str(tmp_path / "tree"))
+    files = files.mapInArrow(counted, files.schema)
+    result = classify(files, ShareSettings(max_chars=40), store=True)
+    for name in names:
+        (tmp_path / "tree" / name).write_text("changed, with AS" + "IA" + "9KQM" * 4)
+    out = artifacts.pack(None, result, generated_utc="2026-01-01T00:00:00Z")
+    objects = {r.sha256: bytes(r.content) for r in out["objects"].collect()}
+    assert sorted(objects.values()) == [b"hi\n", b"print(1)\n"] and all(hashlib.sha256(c).hexdigest() == h for h, c in objects.items())
+    assert {r.path: objects[r.sha256] for r in out["files"].collect()} == {"a.py": b"print(1)\n", "d/copy.py": b"print(1)\n", "d/other.md": b"hi\n"}
+    text = "".join(r.text for r in out["shards"].collect())
+    assert "changed" not in text and text.count("print(1)") == 2 and {r.path for r in out["exclusions"].collect()} == {"d/key.txt"}
+    assert '"rule_id":"LOC-' in out["policy"].first().body
+    assert reads.value == 4
+    for _ in range(2):
+        sinks.add_objects(result.objects, f"{tmp_path}/store")
+        assert spark.read.parquet(f"{tmp_path}/store").count() == 2
+    ignored = classify(make_files({"a.py": "x", ".gitignore": "a.*"}), ignore_rules=gather_ignore_rules(make_files({".gitignore": "a.*"})), store=True)
+    assert {r.path for r in ignored.included.collect()} == {".gitignore"} and ignored.objects.count() == 1
+
+
+def test_finished_batch_is_left_alone(spark, tmp_path):
+    spark.createDataFrame([("s", "m", "hello")], "share_id string, path string, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("share_id string, path string, text string").parquet(f"{tmp_path}/in")
+    names = []
+    for state in ("a", "b"):  # a lost checkpoint replays batch 0
+        route(gate_stream(stream), f"{tmp_path}/ok", f"{tmp_path}/held", f"{tmp_path}/{state}").awaitTermination()
+        names.append(sorted(p.name for p in (tmp_path / "ok" / "batch=0").iterdir()))
+    assert names[0] == names[1] and spark.read.parquet(f"{tmp_path}/ok").count() == 1
+
+
 def test_selection_and_config(spark, make_files, tmp_path):
     files = make_files({"a.py": "1", "b.py": "2"})
     (tmp_path / "list").write_text("./\n\nsrc/\n./a.py\n")
