@@ -17,7 +17,7 @@ from sharegate.operators.joins import lookup_join
 from sharegate.operators.ordered import greedy_bins, ordered_sha256
 from sharegate.operators.settings import complete_overrides, one_per_share
 from sharegate.policy import ShareSettings, policy_fingerprint
-from sharegate.session import materialize
+from sharegate.session import materialize, stored_table
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 SHARD_DIR = "_MERGED/"
@@ -157,8 +157,7 @@ def merged_shards(files: DataFrame, assignment: DataFrame, prefix: str = "") ->
 
     A shard holds at most ``max_chars`` characters (or one block), whatever the share."""
     width = assignment.groupBy("share_id").agg(F.max("bin").alias("shards"))
-    parts = _blocks(files.select("share_id", "path", "content")) \
-        .join(assignment.select("share_id", "path", "size", "bin"), ["share_id", "path"])
+    parts = _blocks(files.select("share_id", "path", "content").join(assignment.select("share_id", "path", "size", "bin"), ["share_id", "path"]))
     ordered = F.array_sort(F.collect_list(F.struct("size", "path", "block")))
     text = F.array_join(F.transform(ordered, lambda b: b["block"]), "")
     number = F.expr("lpad(cast(shard_no AS string), greatest(2, length(cast(shards AS string)), "
@@ -292,9 +291,8 @@ def pack(files: DataFrame | None, result: Classified, *, generated_utc: str, sou
     shards = None
     if merge:
         assignment = materialize(shard_assignment(files, result.included, settings.max_chars, result.overrides))
-        shards = merged_shards(files, assignment, prefix)
-        out["shards"] = shards
-        shards = materialize(shards.drop("text"))
+        out["shards"] = stored_table(merged_shards(files, assignment, prefix))  # made once; what only needs names and hashes reads no text
+        shards = out["shards"].drop("text")
     header = manifest_header(result, generated_utc=generated_utc, source_root=source_root, shards=shards)
     header = materialize(header.withColumn("raw_files_included", F.lit(include_raw)))
     if include_raw and result.kept is not None:
