@@ -10,6 +10,10 @@ are range-sorted and cut into blocks of ``BLOCK_LINES`` lines, compressed; the d
 the parts of the sort (at most ``MOST_PARTS``) the first key of their first block. A lookup finds the part by its bounds, the block by binary search in the
 part's directory, the line by binary search in the block, and reads only the record's range of the archive.
 
+Range reads. Spark has no ranged read of its own, so tasks open archives with pyarrow's file systems (local and shared folders, HDFS, object
+stores): the index scan reads headers and seeks past bodies, a lookup seeks to its ranges. So no archive is ever
+held whole, however large it is. Where pyarrow has no file system for the folder's scheme, archives are read as values by Spark instead.
+
 Defined results: a null html is empty (0 bytes, digest of nothing); a null url is indexed under ")"; line breaks in a url are percent-encoded;
 a null page id sorts before all others and is written as an empty field; pages with equal ids have equal keys and are all
 found; pages with the response's id are responses too; an empty table gives no archives, and an empty result. Columns other than
@@ -20,11 +24,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import io
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +38,7 @@ from sharegate.llm.common import quoted, stored, text_of
 from sharegate.operators.joins import lookup_join
 
 MIN_REVISIT, ARCHIVE_BYTES, BLOCK_LINES, PART_LINES, MOST_PARTS = 100, 16 << 20, 256, 50_000, 2_000
+GAP_BYTES, RUN_BYTES, MOST_TASKS = 1 << 16, 4 << 20, 20_000  # ranges this near are read at once, up to so many bytes
 DATE = "2024-01-01T00:00:00Z"
 BREAK, END = "\r\n", "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,42 +100,65 @@ def _headers(raw: bytes) -> dict[str, str]:
     return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
 
 
-def records(content: bytes):
-    """(offset, length without the closing breaks, headers) of each record of an archive."""
+def records(archive):
+    """(offset, length without the closing breaks, headers) of each record of an open archive; bodies are skipped."""
     at = 0
-    while at < len(content):
-        head = content.index(b"\r\n\r\n", at)
-        fields = _headers(content[at:head])
-        end = head + 4 + int(fields["content-length"])
+    while line := archive.readline():
+        head = [line]
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        fields = _headers(b"".join(head)[:-2])
+        end = archive.tell() + int(fields["content-length"])
         yield at, end - at, fields
-        at = end + len(END)
+        at = archive.seek(end + len(END))
 
 
-def read_record(content: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+def read_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload (the body after the HTTP head)."""
-    raw = content[offset:offset + length]
     head = raw.index(b"\r\n\r\n")
     block = raw[head + 4:]
     return _headers(raw[:head]), block[block.index(b"\r\n\r\n") + 4:]
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
+def _archives(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), "content")
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), *columns)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple[fs.FileSystem, str] | None:
+    """pyarrow's file system and folder for a folder of archives, or None where it has none for the scheme."""
+    first = _archives(spark, path, "path").first()
+    if first is None:
+        return None
+    folder = first["path"].rsplit("/", 1)[0]
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def _opened(place: tuple[fs.FileSystem, str], archive: str) -> io.BufferedReader:
+    return io.BufferedReader(place[0].open_input_file(f"{place[1]}/{archive}"), GAP_BYTES)
 
 
 def write_index(spark: SparkSession, archives: str, path: str) -> None:
-    """Scan the archives and write the sorted, compressed blocks."""
+    """Scan the archives' headers and write the sorted, compressed blocks."""
+    place = file_system(spark, archives)
 
     def scan(batches):
         for batch in batches:
-            for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                found = [(f["warc-target-uri"], int(f["x-page-id"]) if f["x-page-id"] else None, at, n) for at, n, f in records(content.as_py())]
+            for row in batch.to_pylist():
+                with _opened(place, row["archive"]) if place else io.BytesIO(row["content"]) as archive:
+                    found = [(f["warc-target-uri"], int(f["x-page-id"]) if f["x-page-id"] else None, at, n) for at, n, f in records(archive)]
                 url, page, at, n = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_pydict({"url": pa.array(url, pa.string()), "page_id": pa.array(page, pa.int64()), "archive": pa.array([name] * len(at), pa.string()),
+                yield pa.RecordBatch.from_pydict({"url": pa.array(url, pa.string()), "page_id": pa.array(page, pa.int64()),
+                                                  "archive": pa.array([row["archive"]] * len(at), pa.string()),
                                                   "offset": pa.array(at, pa.int64()), "length": pa.array(n, pa.int64())})
 
-    lines = stored(_archives(spark, archives).mapInArrow(scan, "url string, page_id long, archive string, offset long, length long")
+    files = _archives(spark, archives, *([] if place else ["content"]))
+    lines = stored(files.mapInArrow(scan, "url string, page_id long, archive string, offset long, length long")
                    .select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "archive", "offset", "length"))
     n_parts = max(1, min(MOST_PARTS, -(-lines.count() // PART_LINES)))
     ordered = lines.repartitionByRange(n_parts, "key", "archive", "offset").sortWithinPartitions("key", "archive", "offset") \
@@ -195,30 +225,66 @@ def lookup(queries: DataFrame, index: str) -> DataFrame:
     return asked.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(find, "key string, archive string, offset long, length long")
 
 
+CAPTURES = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string"
+_KINDS = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+
+def _captures(raws: list[bytes]) -> pa.RecordBatch:
+    out = []
+    for raw in raws:
+        f, payload = read_record(raw)
+        page, refers = f["x-page-id"], f.get("x-refers-to-page")
+        full = f["warc-type"] == "response"
+        out.append((int(page) if page else None, f["warc-target-uri"], f["warc-type"], int(refers) if refers else None,
+                    len(payload) if full else int(f["x-payload-length"]),
+                    hashlib.sha256(payload).hexdigest() if full else f["warc-payload-digest"].removeprefix("sha256:"),
+                    payload.decode("utf-8", "surrogatepass") if full else None))
+    columns = zip(*out, strict=True) if out else [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=[c.split()[0] for c in CAPTURES.split(", ")])
+
+
+def runs(ranges):
+    """Neighbouring (archive, offset, length), put together to be read at once: no gap above GAP_BYTES, no more than
+    RUN_BYTES unless one range alone is longer. Ranges come in order of archive and offset."""
+    run: list[tuple[str, int, int]] = []
+    for archive, at, n in ranges:
+        if run and (archive != run[0][0] or at > run[-1][1] + run[-1][2] + GAP_BYTES or at + n - run[0][1] > RUN_BYTES):
+            yield run
+            run = []
+        run.append((archive, at, n))
+    if run:
+        yield run
+
+
 def read_captures(found: DataFrame, archives: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest (of the full payload), html (null for revisits).
 
-    Each archive meets the list of its wanted ranges; a response's digest is taken from the bytes that were read."""
+    Ranges are dealt out by archive and offset, so that tasks hold about ARCHIVE_BYTES each and read neighbours at once; a
+    response's digest is taken from the bytes that were read."""
     spark = found.sparkSession
-    wanted = stored(found.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges")))
-    joined = lookup_join(_archives(spark, archives), wanted, ["archive"], "inner", spread_by="archive")
-
-    def read(batches):
+    place = file_system(spark, archives)
+    wanted = stored(found.select("archive", "offset", "length"))
+
+    def ranged(batches):
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True))
+        name, archive = None, io.BytesIO()
+        for run in runs(rows):
+            if run[0][0] != name:
+                archive.close()
+                name, archive = run[0][0], _opened(place, run[0][0])
+            start = archive.seek(run[0][1])
+            held = archive.read(max(at + n for _, at, n in run) - start)
+            yield _captures([held[at - start:at - start + n] for _, at, n in run])
+        archive.close()
+
+    def sliced(batches):
         for batch in batches:
             for content, ranges in zip(batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
-                content, out = content.as_py(), []
-                for r in sorted(ranges, key=lambda r: r["offset"]):
-                    f, payload = read_record(content, r["offset"], r["length"])
-                    page, refers = f["x-page-id"], f.get("x-refers-to-page")
-                    full = f["warc-type"] == "response"
-                    out.append((int(page) if page else None, f["warc-target-uri"], f["warc-type"], int(refers) if refers else None,
-                                len(payload) if full else int(f["x-payload-length"]),
-                                hashlib.sha256(payload).hexdigest() if full else f["warc-payload-digest"].removeprefix("sha256:"),
-                                payload.decode("utf-8", "surrogatepass") if full else None))
-                columns = list(zip(*out, strict=True)) if out else [()] * 7
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                                 names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html"])
-
-    return joined.select("content", "ranges").mapInArrow(
-        read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string")
+                held = content.as_py()
+                yield _captures([held[r["offset"]:r["offset"] + r["length"]] for r in ranges])
+
+    if not place:
+        lists = wanted.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+        return _archives(spark, archives, "content").join(lists, "archive").select("content", "ranges").mapInArrow(sliced, CAPTURES)
+    tasks = min(MOST_TASKS, -(-(wanted.agg(F.sum("length")).first()[0] or 1) // ARCHIVE_BYTES))
+    return wanted.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(ranged, CAPTURES)

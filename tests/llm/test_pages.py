@@ -1,8 +1,12 @@
 import hashlib
 import html as entities
+import io
 import os
 import re
 
+import pytest
+from pyarrow import fs
+
 from sharegate.llm import html_text, queries, warc
 from sharegate.llm.common import shared_folder
 
@@ -119,7 +123,10 @@ def _pages(spark):
     return rows, spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, archive string, digest string")
 
 
-def test_archives_and_index(spark):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_archives_and_index(spark, monkeypatch, ranged):
+    if not ranged:
+        monkeypatch.setattr(warc, "file_system", lambda *_: None)
     rows, df = _pages(spark)
     archives, index = shared_folder(spark), shared_folder(spark)
     warc.write_archives(df, archives)
@@ -136,6 +143,35 @@ def test_archives_and_index(spark):
     assert warc.lookup(missing, index).count() == 0
 
 
+def test_lookups_read_ranges(spark):
+    """A capture of a long archive costs its own bytes and a buffer, and the index scan skips long bodies."""
+    df = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i) * 3_000_000) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    archives, index = shared_folder(spark), shared_folder(spark)
+    warc.write_archives(df, archives)
+    system, folder = warc.file_system(spark, archives)
+    names = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if "/part-" in f.path]
+    reads = []
+
+    class Counted(io.FileIO):
+        def readinto(self, buffer):
+            reads.append(super().readinto(buffer))
+            return reads[-1]
+
+    seen = [(at, n) for name in names for at, n, _ in warc.records(io.BufferedReader(Counted(name), warc.GAP_BYTES))]
+    assert len(seen) == 6 and sum(reads) < 7 * warc.GAP_BYTES
+    warc.write_index(spark, archives, index)
+    asked = df.where("page_id IN (1, 4)").select(warc.capture_key(df.url, df.page_id).alias("key"))
+    got = {r.page_id: r.html for r in warc.read_captures(warc.lookup(asked, index), archives).collect()}
+    assert got == {i: chr(97 + i) * 3_000_000 for i in (1, 4)}
+
+
+def test_runs():
+    gap, most = warc.GAP_BYTES, warc.RUN_BYTES
+    near = [("a", 0, 10), ("a", 14, 10), ("a", 24 + gap, 5)]
+    ranges = [*near, ("a", 30 + 2 * gap + 1, 1), ("b", 0, most + 7), ("b", most + 11, 3)]
+    assert list(warc.runs(ranges)) == [near, ranges[3:4], ranges[4:5], ranges[5:]] and list(warc.runs([])) == []
+
+
 def test_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i % 40}", f"page {i}") for i in range(1500)], "page_id long, url string, html string")
     archives, index = shared_folder(spark), shared_folder(spark)
