@@ -6,7 +6,8 @@ by hashes of (element, cell), so equal elements of two documents hold equal dart
 probability of their weighted Jaccard similarity. Only ranks up to (k ln k + 2 k) / weight are thrown at first, so a document
 costs about its size or k ln k, whichever is larger; empty coordinates throw on.
 
-Elements are runs of ``SHINGLE`` words (all words, if there are fewer) with weight 1, that is, plain Jaccard. Texts
+Elements are runs of ``SHINGLE`` words (all words, if there are fewer). Their weight is 1, that is, plain Jaccard, or with ``counted`` the
+number of times the text holds them: sum of lesser counts over sum of greater counts. Texts
 with equal words are one node. Nodes that share a band form a bucket; its members are compared with one centre, another for each band,
 so that a bucket costs as many comparisons as it has members. The members of buckets that are not one class after that are joined on
 the rare beginnings of their shingle sets (``prefix_pairs``), which finds every link between them. All comparisons are exact. Classes are the connected
@@ -21,6 +22,7 @@ columns of the input do not matter and are kept.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -120,13 +122,43 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sign(batches):
+def weighted_elements(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each document one after another, their number in each document, and how often each occurs."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    first = np.ones(len(values), bool)
+    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    return values[at], np.bincount(owner[at], minlength=len(lengths)), np.diff(np.append(at, len(values))).astype(np.float64)
+
+
+def bag_as_set(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Every further occurrence of an element in a document becomes an element of its own, so that sets compare like bags."""
+    elements, sizes, weights = weighted_elements(values, lengths)
+    at, turn = _places(weights.astype(np.int64))
+    return np.where(turn > 0, _mix(elements[at] ^ _mix(turn.astype(_U) * _U(0x9E3779B97F4A7C15))), elements[at])
+
+
+def _bags(batches):
+    for batch in batches:
+        column = batch.column("s")
+        sizes = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+        bags = bag_as_set(column.flatten().to_numpy(zero_copy_only=False).view(_U), sizes).view(np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.ListArray.from_arrays(offsets, pa.array(bags))], names=["nid", "s"])
+
+
+def _sign(batches, counted: bool = False):
     for batch in batches:
         column = batch.column("_s")
         sizes = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
         values, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
         for a, b in _slices(np.maximum(sizes, 1500)):
-            bands = band_hashes(signatures(values[at[a]:at[b]].view(_U), sizes[a:b], BANDS * ROWS), BANDS, ROWS)
+            mine, lengths, weights = values[at[a]:at[b]].view(_U), sizes[a:b], None
+            if counted:
+                mine, lengths, weights = weighted_elements(mine, lengths)
+            bands = band_hashes(signatures(mine, lengths, BANDS * ROWS, weights), BANDS, ROWS)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
             rest = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([rest.column("doc"), rest.column("node"), bands], names=["doc", "node", "bands"])
@@ -157,13 +189,15 @@ def star_pairs(members: DataFrame, key: str, spin: Column) -> DataFrame:
     return pairs.select(F.least("nid", "_centre").alias("a"), F.greatest("nid", "_centre").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(nid, s): distinct shingles of the wanted nodes, from the first document of each. Texts are not shuffled while the
-    list of wanted nodes is small enough to send; beyond that they are joined by (node, doc)."""
+def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, counted: bool = False) -> DataFrame:
+    """(nid, s): distinct shingles of the wanted nodes, from the first document of each; ``counted``: a repeated one as often as it occurs.
+    Texts are not shuffled while the list of wanted nodes is small enough to send; beyond that they are joined by (node, doc)."""
     rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text).alias("_t"))
     words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
     named = rows.withColumn("node", F.unhex(F.md5(F.array_join(words, " "))))
-    found = lookup_join(named, wanted, ["node", "doc"], "inner", spread_by="doc").select("nid", words.alias("_w"))
+    found = lookup_join(named, wanted, ["node", "doc"], "inner", spread_by="doc", salts=1).select("nid", words.alias("_w"))  # a key is there once: no salt
+    if counted:
+        return found.select("nid", shingles(F.col("_w")).alias("s")).mapInArrow(_bags, "nid long, s array<bigint>")
     return found.select("nid", F.array_distinct(shingles(F.col("_w"))).alias("s"))
 
 
@@ -236,10 +270,12 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of the input: doc_id, node, label (of the class), class_id (least id of its class), n_links (verified links of its text)."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, counted: bool = False) -> DataFrame:
+    """One row per row of the input: doc_id, node, label (of the class), class_id (least id of its class), n_links (verified links of its text).
+
+    ``counted`` weighs every shingle by its number in the text, so that texts which repeat a passage differ from those that hold it once."""
     signed = stored(_nodes(docs, doc_id, text).select("doc", "node", shingles(F.col("_w")).alias("_s"))
-                    .mapInArrow(_sign, "doc long, node binary, bands array<bigint>"))
+                    .mapInArrow(functools.partial(_sign, counted=counted), "doc long, node binary, bands array<bigint>"))
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
                    .withColumn("nid", F.monotonically_increasing_id()))  # written once, so it stays
 
@@ -248,7 +284,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     company = stored(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
     members = stored(in_bands.join(company, "bucket"))
     wanted = members.select("nid").distinct().join(nodes.select("nid", "node", "doc"), "nid")
-    sets = stored(_sets(docs, doc_id, text, stored(wanted)))
+    sets = stored(_sets(docs, doc_id, text, stored(wanted), counted))
 
     pairs = stored(star_pairs(members, "bucket", F.xxhash64("nid", "bucket")))
     links = stored(_verified(pairs, sets))
@@ -276,10 +312,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, counted: bool = False) -> DataFrame:
     """The input with one row of each class of near duplicates, that of its smallest id (then of the smallest digest, then
     text). Rows without words are no near duplicates of anything and stay. Texts are shuffled once, by (id, digest)."""
-    rows = near_duplicates(docs, doc_id, text)
+    rows = near_duplicates(docs, doc_id, text, counted=counted)
     first = rows.where("node IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "node")).alias("k")).select("k.doc", "k.node")
     wordless = rows.where("node IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(F.lit(""))).alias("node")).distinct()
     keys = first.unionByName(wordless).select(F.col("doc").alias("_doc"), F.col("node").alias("_node"))

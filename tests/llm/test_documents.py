@@ -2,7 +2,7 @@ import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -219,6 +219,42 @@ def test_near_duplicates_in_a_template_crowd(make_docs):
     assert got == {i: 5000 + (i - 5000) // 2 * 2 if i >= 5000 else i for i, _, _ in rows}
 
 
+def test_counted_near_duplicates_equal_all_pairs_of_bags(make_docs):
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        own, line = some(60), some(30)
+        for times in (1, 2, 3, 8, 9, 10, 12, 40):  # the same set of shingles but for the seams, other counts
+            rows.append((len(rows), " ".join(own + line * times)))
+        rows.append((len(rows), " ".join(some(3) + own + line * 9)))
+    rows += [(len(rows), "a " * 5000), (len(rows) + 1, "a " * 4500), (len(rows) + 2, "a " * 3000), (len(rows) + 3, None)]
+    bags = {}
+    for i, text in rows:
+        w = words(text or "")
+        bags[i] = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    group = {i: i for i, _ in rows}
+    for i, a in bags.items():
+        for j, b in bags.items():
+            if j < i and a and 5 * (a & b).total() >= 4 * (a | b).total() and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    docs = make_docs([(i, t, "s") for i, t in rows])
+    got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(docs, counted=True).collect()}
+    assert got == group and len(set(group.values())) > 40
+    plain = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(docs).collect()}
+    assert plain == _classes(rows) and len(set(plain.values())) < len(set(group.values()))
+
+
+def test_weighted_elements():
+    values, lengths = np.array([7, 3, 7, 7, 3, 5], np.uint64), np.array([4, 0, 2])
+    elements, sizes, weights = dartminhash.weighted_elements(values, lengths)
+    assert elements.tolist() == [3, 7, 3, 5] and sizes.tolist() == [2, 0, 2] and weights.tolist() == [1, 3, 1, 1]
+    bag = dartminhash.bag_as_set(values, lengths)
+    assert bag[[0, 1, 4, 5]].tolist() == [3, 7, 3, 5] and len(set(bag[:4].tolist())) == 4
+    assert set(dartminhash.bag_as_set(np.array([7, 7], np.uint64), np.array([2])).tolist()) < set(bag[:4].tolist())
+
+
 def test_prefix_pairs_hold_every_similar_pair(spark):
     rng = random.Random(6)
     sets = []
