@@ -19,7 +19,7 @@ from sharegate.plans import corpus as K
 from sharegate.policy import ShareSettings, policy_fingerprint
 from sharegate.sources.sinks import append_ledger
 from sharegate.sources.tables import overrides_from_json, select_files
-from sharegate.session import ensure_checkpoint_dir, materialize, ship_package
+from sharegate.session import ensure_checkpoint_dir, is_folder, materialize, ship_package
 from sharegate.streaming.gate import gate_stream, late_rows, route, rule_rollup
 
 NOW_UTC = "2024-02-01T00:00:00Z"
@@ -314,8 +314,9 @@ def _work_dir(spark) -> str:
 
 
 def _message_stream(spark, sf) -> DataFrame:
-    schema = K.table(spark, sf, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    """The table as a stream. A stream reads folders: a table that is one file is picked from its folder by name."""
+    stream, folder = spark.readStream.schema(K.table(spark, sf, "conversations").schema), f"{sf}/conversations.parquet"
+    stream = stream.parquet(folder) if is_folder(spark, folder) else stream.option("pathGlobFilter", "conversations.parquet").parquet(sf)
     stream.createOrReplaceTempView("sharegate_conversations")
     return spark.sql(K.CONVERSATIONS.replace("FROM conversations", "FROM sharegate_conversations"))
 

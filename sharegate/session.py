@@ -56,6 +56,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path that exists is a folder, on any file system Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that rows read twice are the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
