@@ -29,3 +29,9 @@ def _decisions(spark, sf):
 def test_gate_reads_the_whole_table(spark, tables):
     got = Counter((r.share_id, r.path, r.decision) for r in queries.stream_gate(spark, tables).collect())
     assert got == Counter((r.share_id, r.path, r.rule or "INCLUDE") for r in _decisions(spark, tables)) and sum(got.values()) == len(MESSAGES)
+
+
+def test_rollup_reads_the_whole_table(spark, tables):
+    got = {(r.conv_id, r.rule): r.n for r in queries.stream_rule_rollup(spark, tables).collect()}
+    want = Counter((int(r.path.split("/")[1]), r.rule) for r in _decisions(spark, tables) if r.rule)
+    assert got == dict(want) and want[7, "OPS-UNREADABLE"] == 1
