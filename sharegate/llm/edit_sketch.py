@@ -12,8 +12,10 @@ The random bits repeat after ``PERIOD`` steps and treat characters of one of ``C
 ``with_next_edit`` orders documents by id over range pieces and gives each its next one; ``near_classes`` and ``with_classes`` band and verify.
 Fingerprints with a likeness of 0.8 differ in at most 25 samples, so of 32 bands of four samples 7 are equal in both, and of six groups
 of bands one holds two of those: a key for each two bands of a group (70 keys of eight samples) misses no pair, and texts that
-are not alike hardly ever share one. Keys travel packed, six bytes each. Members of a key are verified against its smallest one, then, where
-a key still holds several classes, against a few other centres; keys that hold several classes after that have their members of different classes compared.
+are not alike hardly ever share one. Keys travel packed, six bytes each. The members of a key meet in one task, with their fingerprints, as a
+tile; the key of a large crowd is cut into parts, and each two parts are a tile. A tile gives the links of a spanning forest, no more than it has members:
+classes grow from one member to the next, and only members that no class has reached are compared, so a crowd costs its members
+times those that are not like it, less those whose distance from the class's first member tells that they are not.
 
 Defined results: a null text is empty; an empty text has the fingerprint of zeros, like only another empty text; equal texts have equal
 fingerprints; rows with equal ids are ordered by text; a null id comes first, and a class is named by its smallest id, which is null
@@ -23,7 +25,6 @@ of any length are read whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import math
@@ -225,7 +226,7 @@ def with_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
     return rows.join(found, "fingerprint").select(*rows.columns, "class_id")
 
 
-BANDS, SLICE_KEYS, CENTRES = 32, 1 << 20, 3
+BANDS, SLICE_KEYS, TILE, LINK_ROWS = 32, 1 << 20, 1 << 14, 1 << 14
 
 
 def band_pairs(likeness: float) -> list[tuple[int, int]]:
@@ -265,91 +266,119 @@ def _key_blobs(pairs: list[tuple[int, int]], slices: int):
     return run
 
 
-def _meetings(batches):
-    """Keys with company, slice by slice: (a, b) of each member beside the smallest one (bucket null), and the members of
-    keys with three or more (b null), each set of members once."""
-    def met(number, blobs):
+def _tiles(most: int):
+    """Keys with company, slice by slice, as tiles (tile, nid) named by a hash of their members, so that equal sets are one tile. A key with up to
+    twice ``most`` members is one tile; of a larger one every two parts of ``most`` members are one, so that each two members meet."""
+    def met(blobs):
         bits = np.concatenate([np.frombuffer(b[2], "<u4") for b in blobs])
         nid = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(b[0]), "<i8"))[np.frombuffer(b[1], "<u2")] for b in blobs])
         order = np.lexsort((nid, bits))
         bits, nid = bits[order], nid[order]
         start = np.flatnonzero(np.append(True, bits[1:] != bits[:-1]))
         size = np.diff(np.append(start, len(bits)))
-        of = np.repeat(np.arange(len(start)), size)
-        least = nid[start][of]
-        pairs = np.unique(np.stack([least, nid], axis=1)[least != nid], axis=0)
-        mixed = nid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        name = np.add.reduceat(mixed ^ mixed >> np.uint64(31), start)
-        many = np.flatnonzero(size >= 3)
-        many = many[np.unique(name[many], return_index=True)[1]]
-        crowd = np.isin(of, many)
-        bucket = (np.int64(number) << 32) + of[crowd]
-        a, b = np.append(pairs[:, 0], nid[crowd]), np.append(pairs[:, 1], np.zeros(crowd.sum(), np.int64))
-        none = np.arange(len(a)) >= len(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(pairs), np.int64), bucket), mask=~none), pa.array(a), pa.array(b, mask=none)], names=["bucket", "a", "b"])
-
-    number, blobs = None, []
-    for batch in batches:
-        for s, *blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "ids", "place", "bits")), strict=True):
-            if blobs and s != number:
-                yield met(number, blobs)
-                blobs = []
-            number = s
-            blobs.append(blob)
-    if blobs:
-        yield met(number, blobs)
+        hashed = dartminhash._mix(nid.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        name = np.add.reduceat(hashed, start)
+        kept = np.flatnonzero(size >= 2)
+        kept = kept[np.unique(np.stack([nid[start[kept]].astype(np.uint64), name[kept]]), axis=1, return_index=True)[1]]
+        whole, of = np.zeros(len(start), bool), np.repeat(np.arange(len(start)), size)
+        whole[kept[size[kept] <= 2 * most]] = True
+        inside = whole[of]
+        yield rows(name[of[inside]], nid[inside])
+        for k in kept[size[kept] > 2 * most].tolist():
+            members = np.arange(start[k], start[k] + size[k])
+            for x, y in itertools.combinations(np.array_split(members, -(-len(members) // most)), 2):
+                both = np.append(x, y)
+                yield rows(np.full(len(both), hashed[both].sum()), nid[both])
+
+    def rows(tile, nid):
+        return pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(nid, pa.int64())], names=["tile", "nid"])
+
+    def run(batches):
+        number, blobs = None, []
+        for batch in batches:
+            for s, *blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "ids", "place", "bits")), strict=True):
+                if blobs and s != number:
+                    yield from met(blobs)
+                    blobs = []
+                number = s
+                blobs.append(blob)
+        if blobs:
+            yield from met(blobs)
+
+    return run
 
 
-def print_classes(rows: DataFrame, *, likeness: float = 0.8) -> DataFrame:
+def _forest(prints: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Links that join the members of a tile as all its pairs with ``least`` equal samples would: one for each member but the first of a class.
+
+    A member is compared only with those that no class has reached yet, and of these only with those that lie about as far from the
+    class's first member as it does itself: distances differ by no more than the two are apart."""
+    apart = prints.shape[1] - least
+    left, links = np.arange(len(prints)), []
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        off = (prints[left] != prints[first]).sum(axis=1)
+        near = off <= apart
+        todo = list(zip(left[near].tolist(), off[near].tolist(), strict=True))
+        links += [(int(first), k) for k, _ in todo]
+        left, off = left[~near], off[~near]
+        while todo and len(left):
+            k, own = todo.pop()
+            may = np.flatnonzero(np.abs(off - own) <= apart)
+            near = may[(prints[left[may]] != prints[k]).sum(axis=1) <= apart]
+            if len(near):
+                found = left[near].tolist()
+                links += [(k, x) for x in found]
+                todo += zip(found, off[near].tolist(), strict=True)
+                left, off = np.delete(left, near), np.delete(off, near)
+    return links
+
+
+def _linked(least: int):
+    """(tile, nid, fingerprint) sorted by tile to the links (a, b) of each tile."""
+    def links_of(pieces):
+        nid, prints = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        order = np.argsort(nid)
+        found = np.array(_forest(prints[order], least), np.int64).reshape(-1, 2)
+        return np.sort(nid[order][found], axis=1)
+
+    def rows_of(found):
+        ends = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        now, pieces, found, held = None, [], [], 0
+        for batch in batches:
+            tile, nid = batch.column("tile").to_numpy(), batch.column("nid").to_numpy()
+            prints = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            cuts = [*np.flatnonzero(np.append(True, tile[1:] != tile[:-1])).tolist(), len(tile)] if len(tile) else []
+            for x, y in itertools.pairwise(cuts):
+                if pieces and tile[x] != now:
+                    found.append(links_of(pieces))
+                    held += len(found[-1])
+                    pieces = []
+                    if held > LINK_ROWS:
+                        yield rows_of(found)
+                        found, held = [], 0
+                now = tile[x]
+                pieces.append((nid[x:y], prints[x:y]))
+        if pieces:
+            found.append(links_of(pieces))
+        if found:
+            yield rows_of(found)
+
+    return run
+
+
+def print_classes(rows: DataFrame, *, likeness: float = 0.8, tile: int = TILE) -> DataFrame:
     """(fingerprint, class_id) of each fingerprint of (doc_id, fingerprint). Equal fingerprints are one node; no pair with the likeness is missed."""
     pairs = band_pairs(likeness)
     nodes = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("nid", F.monotonically_increasing_id()))  # written once, so it stays
     slices = max(1, -(-nodes.count() * len(pairs) // SLICE_KEYS))
     keys = nodes.select("nid", "fingerprint").mapInArrow(_key_blobs(pairs, slices), "slice int, ids binary, place binary, bits binary")
-    met = stored(keys.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_meetings, "bucket long, a long, b long"))
-
-    def alike(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES) for c in ("fa", "fb"))
-            same = pa.array((a == b).sum(axis=1) >= likeness * SAMPLES)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(same)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("nid").alias(c), F.col("fingerprint").alias(f"f{c}")), c)
-        return pairs.select("a", "b", "fa", "fb").mapInArrow(alike, "a long, b long")
-
-    stars = met.where("bucket IS NULL").select("a", "b").distinct()
-    links = stored(verified(stars))
-    label = dartminhash.components(links)
-    members = met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("nid"))
-
-    def mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-        """Members of keys that still hold several classes, with their class."""
-        labelled = stored(members.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label")))
-        several = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-        return stored(labelled.join(several, "bucket"))
-
-    def crossing(open_: DataFrame) -> tuple[int, int]:
-        """Members of open keys, and pairs of them from different classes."""
-        n = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        found = n.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        return found["n"] or 0, found["pairs"] or 0
-
-    open_, seen = mixed(members, label), [stars]
-    for turn in range(CENTRES):  # crowds first get other centres: they join most of a crowd, and spare it the comparison below
-        rows_, pairs_ = crossing(open_)
-        if pairs_ <= 2 * rows_:
-            break
-        centre = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("nid", "bucket", F.lit(turn)).alias("h"), "nid", "label")).alias("c"))
-        asked = stored(open_.join(centre, "bucket").where("label <> c.label").select(F.least("nid", "c.nid").alias("a"), F.greatest("nid", "c.nid").alias("b")).distinct())
-        links = links.unionByName(stored(verified(asked)))
-        label = dartminhash.components(links)
-        seen.append(asked)
-        open_ = mixed(open_.select("bucket", "nid"), label)
-    more = open_.select("bucket", F.col("nid").alias("a"), F.col("label").alias("la")) \
-                .join(open_.select("bucket", F.col("nid").alias("b"), F.col("label").alias("lb")), "bucket").where("a < b AND la <> lb").select("a", "b").distinct()
-    links = links.unionByName(verified(more.join(functools.reduce(DataFrame.unionByName, seen).distinct(), ["a", "b"], "left_anti")))
-    label = dartminhash.components(links)
+    tiles = keys.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_tiles(tile), "tile long, nid long").distinct()
+    members = tiles.join(nodes.select("nid", "fingerprint"), "nid").select("tile", "nid", "fingerprint")
+    links = members.repartition("tile").sortWithinPartitions("tile").mapInArrow(_linked(math.ceil(likeness * SAMPLES)), "a long, b long")
+    label = dartminhash.components(links.distinct())
     named = stored(nodes.join(label.withColumnRenamed("node", "nid"), "nid", "left").select("fingerprint", "doc_id", F.coalesce("label", "nid").alias("label")))
     return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("fingerprint", "class_id")
