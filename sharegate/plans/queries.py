@@ -25,6 +25,7 @@ from sharegate.streaming.gate import gate_stream, late_rows, route, rule_rollup
 NOW_UTC = "2024-02-01T00:00:00Z"
 RETENTION_NOW, RETENTION_DAYS, RETENTION_MB = "1998-08-03 00:00:00", 2000, 256
 SHARD_CHARS = 20_000
+HOURS = 1 << 26  # up to the year 9625
 TEXTS = ShareSettings(max_scan_bytes=None)  # a long document is scanned, not withheld
 
 
@@ -330,17 +331,18 @@ def stream_gate(spark, sf):
 
 
 def stream_rule_rollup(spark, sf):
-    """Messages get a time from their conversation; one window per conversation."""
+    """Messages get a time from their conversation; one window per conversation. Times have fewer hours than ids may have
+    values: hours come again after HOURS conversations, and a window is counted by conversation."""
     work = _work_dir(spark)
-    timed = _message_stream(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn")))
-    counts = rule_rollup(gate_stream(timed), window="1 hour", lateness="30 days")
+    hour, second = F.pmod(F.col("conv_id").cast("long"), F.lit(HOURS)), F.pmod(F.col("turn").cast("long"), F.lit(3600))
+    timed = _message_stream(spark, sf).withColumn("ts", F.timestamp_seconds(hour * 3600 + second))
+    counts = rule_rollup(gate_stream(timed, keys=("conv_id",)), window="1 hour", lateness="30 days", keys=("conv_id",))
     query = (counts.writeStream.outputMode("update").option("checkpointLocation", f"{work}/state")
              .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{work}/out/batch={n}"))
              .trigger(availableNow=True).start())
     query.awaitTermination()
     rows = spark.read.parquet(f"{work}/out")
-    return rows.groupBy("window_start", "rule").agg(F.max_by("n", "batch").alias("n")) \
-               .select((F.unix_timestamp("window_start") / 3600).cast("long").alias("conv_id"), "rule", "n")
+    return rows.groupBy("window_start", "conv_id", "rule").agg(F.max_by("n", "batch").alias("n")).select(F.col("conv_id").cast("long"), "rule", "n")
 
 
 # -- what must stay withheld, settings, verification ----------------------------------

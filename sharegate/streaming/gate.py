@@ -16,17 +16,17 @@ from sharegate.session import path_exists
 MESSAGES = ShareSettings(max_scan_bytes=None)
 
 
-def gate_stream(messages: DataFrame, settings: ShareSettings = MESSAGES) -> DataFrame:
+def gate_stream(messages: DataFrame, settings: ShareSettings = MESSAGES, keys: tuple[str, ...] = ()) -> DataFrame:
     """Decisions for ``messages(share_id, path, text[, ts])``, batch or streaming.
 
     Everything is per row, so the query runs in append mode and keeps no state. ``ts``, if
-    there, passes through."""
-    eff = Effective(settings)
-    if "ts" not in messages.columns:
+    there, and the columns ``keys`` pass through."""
+    eff, passed = Effective(settings), [*(c for c in messages.columns if c == "ts"), *keys]
+    if not passed:
         return decide(scan(files_from_texts(messages), eff))
-    keyed = messages.withColumn("share_id", F.struct("share_id", "ts"))
+    keyed = messages.withColumn("share_id", F.struct("share_id", *passed))
     decided = decide(scan(files_from_texts(keyed), eff))
-    return decided.withColumn("ts", F.col("share_id.ts")).withColumn("share_id", F.col("share_id.share_id"))
+    return decided.withColumns({c: F.col("share_id")[c] for c in passed}).withColumn("share_id", F.col("share_id.share_id"))
 
 
 def route(decisions: DataFrame, shared: str, withheld: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -51,12 +51,12 @@ def route(decisions: DataFrame, shared: str, withheld: str, checkpoint: str, **t
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def rule_rollup(decisions: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Withheld messages per tumbling window of ``ts`` and rule; later rows than the
+def rule_rollup(decisions: DataFrame, window: str = "1 hour", lateness: str = "1 hour", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Withheld messages per tumbling window of ``ts``, the columns ``keys`` and rule; later rows than the
     watermark allows are dropped."""
     return (decisions.where("status = 'excluded'").withWatermark("ts", lateness)
-            .groupBy(F.window("ts", window).alias("w"), "rule").agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "rule", "n"))
+            .groupBy(F.window("ts", window).alias("w"), *keys, "rule").agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "rule", "n"))
 
 
 def late_rows(decisions: DataFrame, counts: DataFrame, window: str = "1 hour") -> DataFrame:

@@ -35,3 +35,12 @@ def test_rollup_reads_the_whole_table(spark, tables):
     got = {(r.conv_id, r.rule): r.n for r in queries.stream_rule_rollup(spark, tables).collect()}
     want = Counter((int(r.path.split("/")[1]), r.rule) for r in _decisions(spark, tables) if r.rule)
     assert got == dict(want) and want[7, "OPS-UNREADABLE"] == 1
+
+
+def test_rollup_of_any_conversation_id(spark, tmp_path):
+    """Ids beyond the hours that a timestamp can count, below 0, and in the same hour; turns beyond an hour's seconds."""
+    ids = [3, 3 + queries.HOURS, 3_000_000_000, 1 << 40, 1 << 62, -(1 << 62), -7]
+    rows = [(c, t, "user", None if t != 1 else "fine") for c in ids for t in (0, 1, 5000)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.rule, r.n) for r in queries.stream_rule_rollup(spark, str(tmp_path)).where("rule = 'OPS-UNREADABLE'").collect())
+    assert got == [(c, "OPS-UNREADABLE", 2) for c in sorted(ids)]
