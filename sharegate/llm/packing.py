@@ -216,11 +216,10 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     path = tokenizer or tokenize.default_path()
 
     def run(batches):
-        encode = tokenize.encoder(path).ids
+        each = tokenize.encoder(path).each
         for batch in batches:
             ids, out = batch.column(0), ([], [], [], [], [])
-            for row, text_ in enumerate(batch.column(1).to_pylist()):
-                raw = encode(text_)
+            for row, raw in enumerate(each(batch.column(1))):
                 n, start, piece = len(raw) // 4, 0, 0
                 while start < n:
                     size = (n % capacity or capacity) if start == 0 and n > capacity else min(capacity, n)

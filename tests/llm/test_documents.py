@@ -43,6 +43,35 @@ def test_added_tokens_in_a_text_keep_their_ids():
             assert encoder.ids(text) == ids_of(text).tobytes()
 
 
+@pytest.mark.parametrize("slice_bytes, stems", [(1 << 20, 1 << 20), (200, 20), (1, 0)])
+def test_texts_encoded_together_keep_their_ids(monkeypatch, slice_bytes, stems):
+    """Slices of many texts and of one, with stems remembered and forgotten."""
+    import random
+
+    import pyarrow as pa
+    monkeypatch.setattr(tokenize, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(tokenize, "MOST_STEMS", stems)
+    monkeypatch.setattr(tokenize, "GROUP", 3)
+    encoder, rng = tokenize.Encoder(tokenize.default_path()), random.Random(7)
+    parts = ["word", "Éclair", "naïve", "漢字", "Ġx", "it's", "'ll", "'", "x'.", "end.", "a,b", "...", "$5", "e\u0301", "x\u0301,", "12.5%", "²", "_a_", "a_", "🙂!", "\u0120", "ªº.", "ǅ", "ʰ;", "Ⅷ",
+             "\x1c", "\xa0", "\t", "", "\u2028", encoder.added[0], encoder.added[0] + "."]
+    texts = [None, "", *((" " if rng.random() < 0.7 else "\n").join(rng.choices(parts, weights=[9] * 25 + [0.1] * (len(parts) - 25), k=rng.randint(1, 30))) for _ in range(500))]
+    for kind in (pa.string(), pa.large_string()):
+        got = list(encoder.each(pa.array(["cut off", *texts], kind)[1:]))
+        assert [x for x, t in zip(got, texts, strict=True) if x != ids_of(t).tobytes()] == []
+    assert list(encoder.each(pa.array([], pa.string()))) == []
+
+
+def test_a_stem_is_merged_once(monkeypatch):
+    """Whatever marks follow it, in one text or in later ones."""
+    import pyarrow as pa
+    encoder, seen, joined = tokenize.Encoder(tokenize.default_path()), [], tokenize.Encoder._joined
+    monkeypatch.setattr(tokenize.Encoder, "_joined", lambda self, words, *a: seen.extend(words.to_pylist()) or joined(self, words, *a))
+    for texts in (["a stem, stem! a stem", "the stem$$$ a"], ["the stem (x) stem"]):
+        assert list(encoder.each(pa.array(texts))) == [ids_of(t).tobytes() for t in texts]
+    assert sorted(seen) == ["(x)", "a", "stem"]
+
+
 @pytest.mark.parametrize("top", [1, 200, 50_000, 1 << 30, (1 << 60) - 1, (1 << 64) - 1])
 def test_simple8b_round_trip(top):
     rng = np.random.default_rng(top % 97)
