@@ -120,7 +120,7 @@ def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     placed = rows.withColumn("part", piece_of(F.col("doc_id"), bounds)).repartitionByRange(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
 
     def run(batches):
-        ids_of = tokenize.encoder(model).ids
+        each = tokenize.encoder(model).each
         part, chunk, held, docs_, counts, size = None, 0, [], [], [], 0
 
         def done():
@@ -131,8 +131,7 @@ def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                 "offsets": pa.array([offsets], pa.list_(pa.int64())), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
 
         for batch in batches:
-            for doc, text_, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = ids_of(text_.as_py())
+            for doc, raw, p in zip(batch.column(0).to_pylist(), each(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if docs_ and (p != part or size + len(raw) // 4 > CHUNK_IDS):
                     yield done()
                     chunk = chunk + 1 if p == part else 0
