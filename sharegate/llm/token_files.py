@@ -38,22 +38,28 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndar
     if not n:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     place = np.arange(n)
-    room = np.minimum((place // block + 1) * block, n) - place  # ids left in the block
+    room = np.minimum(np.minimum((place // block + 1) * block, n) - place, max(COUNTS)).astype(np.uint8)  # ids left in the block
     top = int(ids.max())
-    selector = np.zeros(n, np.int8)  # 0: escape
-    for s in range(14, 0, -1):  # the densest that fits wins
-        count, bits = COUNTS[s], BITS[s]
-        fits = room >= count
+    small = ids.astype(np.uint32) if top < 1 << 32 else ids
+    least = np.zeros(n, np.uint8)  # the selectors up to this one are too narrow
+    for bits in BITS[1:]:
         if top >> bits:
-            bad = np.where(ids >> _U(bits) == 0, n + block, place)
-            fits &= np.minimum.accumulate(bad[::-1])[::-1] - place >= count
+            least += small >= small.dtype.type(1 << bits)
+    widest, seen = least.copy(), 1  # among an id and those behind it, ``seen`` in all
+    selector = np.zeros(n, np.uint8)  # 0: escape
+    for s in range(14, 0, -1):  # the densest that fits wins
+        for k in range(seen, min(COUNTS[s], n)):
+            np.maximum(widest[:n - k], least[k:], out=widest[:n - k])
+        seen = COUNTS[s]
+        fits = (widest < s) & (room >= seen)
         if s < 14 and not fits.any():
             break  # nor does a denser one
         selector[fits] = s
-    step = _COUNT[selector].tolist()
+    step = _COUNT[selector].astype(np.uint8).tobytes()
     starts, at = [], 0
+    put = starts.append
     while at < n:
-        starts.append(at)
+        put(at)
         at += step[at]
     starts = np.array(starts)
     chosen = selector[starts]
@@ -65,9 +71,9 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndar
         if s == 0:
             words[to[mine] + 1] = ids[starts[mine]]
             continue
-        value = np.full(mine.sum(), int(s) << 60, _U)
+        value, at = np.full(mine.sum(), int(s) << 60, _U), starts[mine]
         for k in range(COUNTS[s]):
-            value |= ids[starts[mine] + k] << _U(k * BITS[s])
+            value |= ids[at + k] << _U(k * BITS[s])
         words[to[mine]] = value
     return words, to[np.searchsorted(starts, np.arange(0, n, block))]
 
